@@ -52,3 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder (never reused)."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` below the shared folder and read it back.
+
+    Used before iterative consumers (MLlib fits, tuning grids): each pass
+    then scans Parquet instead of replaying the window/join lineage, and a
+    lost executor recomputes only its own file splits.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
