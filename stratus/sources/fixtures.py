@@ -10,9 +10,9 @@ Scale notes
 -----------
 * ``lineitem`` is the only table that grows fast.  ``nation`` (25 rows) and
   ``region`` (5 rows) are fixed-size dimensions and are broadcast by hint.
-  ``supplier`` grows with the scale factor, so its join is left to Catalyst's
-  size check (``autoBroadcastJoinThreshold``) and AQE, which fall back to a
-  sort-merge join once it no longer fits.
+  ``supplier`` grows with the scale factor (10,000 rows per unit), so its
+  join is size-checked (``operators.joins.dimension_join``): broadcast while
+  the supplier count is under the bound, a sort-merge join beyond it.
 * The daily aggregate is decomposable (min/max/sum), so the hash aggregate
   combines map-side before its shuffle: a location holding a third of all
   lineitems still shuffles at most one partial row per (location, day, task).
@@ -89,7 +89,9 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw_daily + weather_code, one row per (location_id, date)."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
-    joined = li.join(supplier_region(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    from stratus.operators.joins import dimension_join
+    joined = dimension_join(li, supplier_region(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"),
+                            bound_by=table(spark, sf_dir, "supplier").select("s_suppkey"))
     agg = joined.groupBy(F.col("r_name").alias("location_id"),
                          F.to_date("l_shipdate").alias("date")).agg(
         F.max("l_quantity").alias("temp_max"),
