@@ -111,6 +111,27 @@ def q_current_obs(spark, sf_dir):
     return payload_current(spark, sf_dir)
 
 
+def q_payload_hourly(spark, sf_dir):
+    """Hourly forecast blocks -> one row per hour."""
+    path = scratch_path(spark, "hourly-payload")
+    fx.land_hourly_payloads(spark, sf_dir, path)
+    return payload.hourly_rows(payload.read_forecast(spark, path)).drop("fetched_at")
+
+
+def q_processed_roundtrip(spark, sf_dir):
+    """Processed table through the location-bucketed Parquet sink and scan."""
+    path = scratch_path(spark, "processed")
+    files.write_processed(processed(spark, sf_dir), path)
+    return files.read_processed(spark, path)
+
+
+def q_active_coordinates(spark, sf_dir):
+    """``lat,lon`` registry text -> coordinates; defaults when malformed."""
+    lat, lon = files.parse_coordinates(F.col("coordinates"))
+    return fx.coordinate_texts(spark, sf_dir).select("location_id", lat.alias("latitude"),
+                                                     lon.alias("longitude"))
+
+
 def q_cached_payload(spark, sf_dir):
     """Live payload rows, plus stand-in rows for locations without a feed."""
     live = payload_daily(spark, sf_dir).where(F.col("location_id") < "M")
@@ -329,6 +350,9 @@ QUERIES = {
     "payload_daily": q_payload_daily,
     "current_obs": q_current_obs,
     "cached_payload": q_cached_payload,
+    "payload_hourly": q_payload_hourly,
+    "processed_roundtrip": q_processed_roundtrip,
+    "active_coordinates": q_active_coordinates,
     "features_full": q_features_full,
     "lag_features": q_lag_features,
     "rolling_means": q_rolling_means,
@@ -432,6 +456,12 @@ ORACLES = {
           from raw where location_id not in (select location_id from payload_rows where location_id < 'M'))
         where rb <= 41 and least(cnt, 41) >= 30"""),
     "features_full": O.sql("select * from processed"),
+    "payload_hourly": O.sql("select * from hourly"),
+    "processed_roundtrip": O.sql("select * from processed"),
+    "active_coordinates": O.sql("""select p.location_id,
+        case when n.n_nationkey % 5 = 0 then 19.076 else p.latitude end as latitude,
+        case when n.n_nationkey % 5 = 0 then 72.8777 else p.longitude end as longitude
+        from places p join nation n on n.n_name = p.location_id"""),
     "lag_features": O.sql("select location_id, date, " + ", ".join(LAG_COLUMNS)
                           + " from (" + O.feature_select("raw") + ")"),
     "rolling_means": O.sql("select location_id, date, " + ", ".join(ROLL_MEAN_COLUMNS)
@@ -629,7 +659,16 @@ def q_model_comparison(spark, sf_dir):
     return table.join(best, "location_id")
 
 
+def q_training_pipeline(spark, sf_dir):
+    """T1 + M11 + M12: features -> both fits -> persisted models -> evaluation job."""
+    from stratus.plans import jobs
+    result = jobs.train(spark, fx.raw_daily(spark, sf_dir))
+    return result.outputs["metrics"].join(
+        result.outputs["best_model"].select("location_id", F.col("model").alias("best_model")), "location_id")
+
+
 QUERIES.update({
+    "training_pipeline": q_training_pipeline,
     "rf_fit_score": q_rf_fit_score,
     "feature_importance": q_feature_importance,
     "seq_fit_score": q_seq_fit_score,
