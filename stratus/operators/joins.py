@@ -16,15 +16,28 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 1_000_000
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+_CHECKED: dict[tuple, bool] = {}
+
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, key: str | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows (counts at most max_rows+1).
+
+    With ``key`` (e.g. the input path) the answer is remembered for the session.
+    """
+    cache_key = (df.sparkSession.sparkContext.applicationId, key, max_rows) if key else None
+    if cache_key in _CHECKED:
+        return _CHECKED[cache_key]
+    ok = df.limit(max_rows + 1).count() <= max_rows
+    if cache_key:
+        _CHECKED[cache_key] = ok
+    return ok
 
 
 def dimension_join(fact: DataFrame, dim: DataFrame, on: Column | str | list[str], how: str = "inner",
-                   bound_by: DataFrame | None = None, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                   bound_by: DataFrame | None = None, max_rows: int = BROADCAST_MAX_ROWS,
+                   key: str | None = None) -> DataFrame:
     """Join ``fact`` to ``dim``: broadcast ``dim`` if its size is proven small,
     else a sort-merge join (``bound_by`` may give a cheaper upper-bound table)."""
-    if bounded(bound_by if bound_by is not None else dim, max_rows):
+    if bounded(bound_by if bound_by is not None else dim, max_rows, key):
         return fact.join(F.broadcast(dim), on, how)
     return fact.hint("merge").join(dim, on, how)

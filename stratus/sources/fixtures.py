@@ -91,7 +91,8 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     from stratus.operators.joins import dimension_join
     joined = dimension_join(li, supplier_region(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"),
-                            bound_by=table(spark, sf_dir, "supplier").select("s_suppkey"))
+                            bound_by=table(spark, sf_dir, "supplier").select("s_suppkey"),
+                            key=f"{sf_dir}/supplier.parquet")
     agg = joined.groupBy(F.col("r_name").alias("location_id"),
                          F.to_date("l_shipdate").alias("date")).agg(
         F.max("l_quantity").alias("temp_max"),

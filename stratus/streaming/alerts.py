@@ -2,7 +2,7 @@
 
 Observation files land in a folder; a file-source stream reads them with a
 fixed schema, drops duplicate deliveries of the same ``event_id`` within the
-watermark, joins each observation to the latest batch forecast of its
+watermark (in two salted stages, see :func:`dedupe`), joins each observation to the latest batch forecast of its
 location (stream-static join: the static side is the forecast table) and
 applies the alert cascade and the wind caution.  The sink is append-only
 Parquet with a checkpoint in the shared folder, so a restarted query resumes
@@ -33,11 +33,30 @@ OBSERVATION = T.StructType([
 ])
 
 WATERMARK = "1 hour"
+DEDUP_SALTS = 16
+
+
+def dedupe(observations: DataFrame, watermark: str = WATERMARK, salts: int = DEDUP_SALTS) -> DataFrame:
+    """Drop re-deliveries of an ``event_id`` within the watermark.
+
+    Streaming deduplication has no map-side combine: every copy of an id is
+    shuffled to the one state-store task owning it, so a delivery storm of a
+    single id would land in one task.  Two stages split such a hot id: the
+    first dedups on (event_id, input partition mod ``salts``), so a hot id's
+    copies spread over up to ``salts`` tasks; the second sees at most
+    ``salts`` copies per id.  (On a batch DataFrame, one aggregate-based
+    dropDuplicates already combines map-side.)
+    """
+    marked = observations.withWatermark("ts", watermark)
+    if observations.isStreaming and salts > 1:
+        marked = (marked.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+                  .dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt"))
+    return marked.dropDuplicatesWithinWatermark(["event_id"])
 
 
 def score(observations: DataFrame, forecasts: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Streaming (or batch) observations -> one scored row per observation."""
-    deduped = observations.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    deduped = dedupe(observations, watermark)
     joined = deduped.join(forecasts.select("location_id", "forecast_temp"), "location_id", "left")
     temp = F.coalesce(F.col("forecast_temp"), F.col("temperature_2m"))
     a = alerts.alert(temp, F.col("relative_humidity_2m"), F.col("pressure_msl"), F.col("precipitation"))
