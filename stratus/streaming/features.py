@@ -8,7 +8,11 @@ same batch feature function:
    dynamic overwrite: a replayed batch rewrites the same partition);
 2. per touched location, the context is the last 30 stored rows before the
    batch's earliest date plus every stored row from that date on (so late
-   or re-sent rows are handled, not just appends);
+   or re-sent rows are handled, not just appends).  Only a recent date
+   window of the store is read (row groups outside it are skipped by
+   Parquet statistics); a location falls back to its full history only when
+   the window holds fewer rows than its halo needs (a per-location row-count
+   index, rewritten per batch for touched locations, bounds what it can have);
 3. features are computed over the context; complete rows from the last
    pre-batch row onward are written to the feature store under ``batch_id``.
 
@@ -36,22 +40,43 @@ def _write_partition(df: DataFrame, path: str) -> None:
 
 
 STORE = T.StructType(RAW_DAILY.fields + [T.StructField("batch_id", T.LongType())])
+INDEX = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("n_rows", T.LongType()),
+                      T.StructField("batch_id", T.LongType())])
+LOOKBACK_DAYS = 120   # date window expected to hold the 30-row halo of a daily series
+
+
+def _newest(df: DataFrame, keys: list[str], cols: list[str], version: str = "batch_id") -> DataFrame:
+    pick = F.max_by(F.struct(*cols), F.col(version))
+    return df.groupBy(*keys).agg(pick.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     if batch.isEmpty():
         return
     spark = batch.sparkSession
-    raw_path, out_path = os.path.join(root, "raw"), os.path.join(root, "features")
+    raw_path, out_path, idx_path = (os.path.join(root, n) for n in ("raw", "features", "index"))
     _write_partition(batch.select(*RAW_DAILY.fieldNames()).withColumn("batch_id", F.lit(batch_id)), raw_path)
 
-    stored = spark.read.schema(STORE).parquet(raw_path).where(F.col("batch_id") <= batch_id)
-    cut = (stored.where(F.col("batch_id") == batch_id)
-           .groupBy("location_id").agg(F.min("date").alias("_cutoff")))
-    touched = stored.join(cut, "location_id")                      # touched locations only
-    newest = F.max_by(F.struct(*RAW_ORDER), F.col("batch_id"))     # re-sent rows: newest wins
-    latest = (touched.groupBy("location_id", "date", "_cutoff").agg(newest.alias("_v"))
-              .select("location_id", "date", "_cutoff", *[F.col(f"_v.{c}").alias(c) for c in RAW_ORDER]))
+    store = spark.read.schema(STORE).parquet(raw_path)
+    new = store.where(F.col("batch_id") == batch_id)
+    cut = new.groupBy("location_id").agg(F.min("date").alias("_cutoff"), F.count(F.lit(1)).alias("_added"))
+    # Upper bound of each touched location's stored rows (re-sent rows only over-count).
+    index = _newest(spark.read.schema(INDEX).parquet(idx_path).where(F.col("batch_id") < batch_id),
+                    ["location_id"], ["n_rows"])
+    # Read only a recent date window (Parquet min/max statistics skip old row groups) ...
+    start = cut.agg(F.date_sub(F.min("_cutoff"), LOOKBACK_DAYS)).first()[0]
+    older = store.where(F.col("batch_id") < batch_id)
+    recent = older.where(F.col("date") >= F.lit(start))
+    have = (recent.join(cut, "location_id").where(F.col("date") < F.col("_cutoff"))
+            .groupBy("location_id").agg(F.count(F.lit(1)).alias("_seen")))
+    # ... unless a location's window holds fewer halo rows than it may have stored.
+    short = (cut.join(index, "location_id", "left").join(have, "location_id", "left")
+             .where(F.coalesce("_seen", F.lit(0)) < F.least(F.lit(HALO), F.coalesce("n_rows", F.lit(0))))
+             .select("location_id"))
+    history = older.where(F.col("date") < F.lit(start)).join(short, "location_id", "left_semi")
+    rows = recent.unionByName(history).unionByName(new).join(cut.select("location_id", "_cutoff"), "location_id")
+    latest = _newest(rows, ["location_id", "date", "_cutoff"], RAW_ORDER)   # re-sent rows: newest wins
+
     rb = F.row_number().over(Window.partitionBy("location_id").orderBy(F.col("date").desc()))
     before = latest.where(F.col("date") < F.col("_cutoff")).withColumn("_rb", rb).where(F.col("_rb") <= HALO)
     after = latest.where(F.col("date") >= F.col("_cutoff")).withColumn("_rb", F.lit(None).cast("int"))
@@ -64,10 +89,16 @@ def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
             .where(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
             .drop("_rb", "_first"))
     _write_partition(emit.withColumn("batch_id", F.lit(batch_id)), out_path)
+    touched = (cut.join(index, "location_id", "left")
+               .select("location_id", (F.coalesce("n_rows", F.lit(0)) + F.col("_added")).alias("n_rows")))
+    _write_partition(touched.withColumn("batch_id", F.lit(batch_id).cast("long")), idx_path)
 
 
 def run(spark: SparkSession, source: str, root: str, checkpoint: str,
         max_files_per_trigger: int | None = 1) -> None:
+    # An empty index (mode "ignore" keeps an existing one) so the first batch can read it.
+    spark.createDataFrame([], INDEX).write.mode("ignore").partitionBy("batch_id").parquet(
+        os.path.join(root, "index"))
     reader = spark.readStream.schema(RAW_DAILY)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
