@@ -70,17 +70,18 @@ def context_series(rows: DataFrame, forecasts: DataFrame, days: int = CONTEXT_DA
     """W12 + U1: last ``days`` daily means before the final row, the forecast
     point, and the two-point link from the last actual to the forecast."""
     w_desc = Window.partitionBy("location_id").orderBy(F.col("date").desc())
-    ranked = rows.withColumn("_rb", F.row_number().over(w_desc))
-    actual = ranked.where((F.col("_rb") >= 2) & (F.col("_rb") <= days + 1)).select(
-        "location_id", "date", F.col("temp_mean").alias("value"), F.lit("actual").alias("kind"))
-    last_actual = ranked.where(F.col("_rb") == 2).select(
-        "location_id", "date", F.col("temp_mean").alias("value"), F.lit("link").alias("kind"))
-    fc = forecasts.select("location_id", F.col("forecast_date").alias("date"),
-                          F.col("forecast_temp").alias("value"))
-    return (actual.unionByName(last_actual)
-            .unionByName(fc.withColumn("kind", F.lit("forecast")))
-            .unionByName(fc.join(last_actual.select("location_id"), "location_id", "left_semi")
-                         .withColumn("kind", F.lit("link"))))
+    ranked = rows.withColumn("_rb", F.row_number().over(w_desc)).where(F.col("_rb").between(2, days + 1))
+    point = lambda kind: F.struct(F.col("date"), F.col("temp_mean").alias("value"), F.lit(kind).alias("kind"))
+    actual = ranked.select("location_id", F.inline(F.array_compact(F.array(
+        point("actual"), F.when(F.col("_rb") == 2, point("link"))))))
+    fc = (forecasts.join(ranked.where(F.col("_rb") == 2).select("location_id"), "location_id", "left")
+          .select(forecasts["location_id"].alias("location_id"), F.col("forecast_date").alias("date"),
+                  F.col("forecast_temp").alias("value"),
+                  ranked["location_id"].isNotNull().alias("_linked")))
+    fpoint = lambda kind: F.struct(F.col("date"), F.col("value"), F.lit(kind).alias("kind"))
+    fc_rows = fc.select("location_id", F.inline(F.array_compact(F.array(
+        fpoint("forecast"), F.when(F.col("_linked"), fpoint("link"))))))
+    return actual.unionByName(fc_rows)
 
 
 def history_range(rows: DataFrame, start: str | None, end: str | None) -> DataFrame:

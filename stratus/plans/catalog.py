@@ -42,15 +42,26 @@ def scaled_processed(spark, sf_dir) -> DataFrame:
     return scaling.apply_minmax(s, scaling.fit_minmax(s))
 
 
+def _per_model(rows: DataFrame, keep: list[str], models: list[tuple[str, str, object]],
+               value: str) -> DataFrame:
+    """One output row per (input row, model) from a single pass (no union of
+    two scans of the same upstream)."""
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(r).alias("role"), v.alias(value))
+                    for m, r, v in models])
+    return rows.select(*keep, F.inline(arr))
+
+
+def stand_ins() -> list[tuple[str, str, object]]:
+    """(model, role, prediction) of the two deterministic stand-in models."""
+    return [("persistence", "baseline", F.col("temp_mean")),
+            ("midpoint", "sequence", (F.col("temp_max") + F.col("temp_mean_lag_1")) / 2)]
+
+
 def fixture_predictions(spark, sf_dir) -> DataFrame:
     """Deterministic stand-in predictions on the test rows (exact oracles)."""
     test = split_processed(spark, sf_dir).where(F.col("split") == "test")
-    a = test.select("location_id", F.lit("persistence").alias("model"), F.lit("baseline").alias("role"),
-                    "date", F.col(TARGET).alias("actual"), F.col("temp_mean").alias("predicted"))
-    b = test.select("location_id", F.lit("midpoint").alias("model"), F.lit("sequence").alias("role"),
-                    "date", F.col(TARGET).alias("actual"),
-                    ((F.col("temp_max") + F.col("temp_mean_lag_1")) / 2).alias("predicted"))
-    return a.unionByName(b)
+    out = _per_model(test, ["location_id", "date", F.col(TARGET).alias("actual")], stand_ins(), "predicted")
+    return out.select("location_id", "model", "role", "date", "actual", "predicted")
 
 
 def payload_daily(spark, sf_dir) -> DataFrame:
@@ -65,12 +76,8 @@ def payload_current(spark, sf_dir) -> DataFrame:
 def stand_in_forecasts(spark, sf_dir) -> DataFrame:
     """Both stand-in models' next-day forecasts from the latest complete row."""
     latest = forecast.latest_complete(fx.raw_daily(spark, sf_dir), AS_OF)
-    base = ["location_id", "latest_obs_date", "forecast_date"]
-    return (latest.select(*base, F.lit("persistence").alias("model"),
-                          F.col("temp_mean").alias("forecast_temp"))
-            .unionByName(latest.select(*base, F.lit("midpoint").alias("model"),
-                                       ((F.col("temp_max") + F.col("temp_mean_lag_1")) / 2)
-                                       .alias("forecast_temp"))))
+    out = _per_model(latest, ["location_id", "latest_obs_date", "forecast_date"], stand_ins(), "forecast_temp")
+    return out.drop("role")
 
 
 # ---------------------------------------------------------------- S: sources / sinks
