@@ -1,9 +1,12 @@
 """File sinks and scans with fixed schemas.
 
-Processed tables are clustered by a hash bucket of the location rather than
-one directory per location: at millions of locations per-key directories
-would swamp the file listing, while a bounded number of buckets still gives
-partition pruning for a single-location read.
+Processed tables are range-partitioned on location_id and sorted by
+(location_id, date) instead of one directory per location: at millions of
+locations per-key directories would swamp the file listing.  Each file then
+covers a narrow location range, so a single-location read skips the other
+files and row groups through Parquet min/max statistics, and the write runs
+with as many tasks as the shuffle provides (no fixed bucket count capping
+the writer parallelism).
 """
 
 from __future__ import annotations
@@ -14,13 +17,6 @@ from pyspark.sql import types as T
 
 from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LON, RAW_DAILY)
 
-LOCATION_BUCKETS = 64
-
-
-def location_bucket(col: Column, buckets: int = LOCATION_BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int")
-
-
 # ---------------------------------------------------------------- raw CSV
 def write_raw_csv(df: DataFrame, path: str) -> None:
     df.select(RAW_DAILY.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
@@ -34,19 +30,14 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- processed table
-def write_processed(df: DataFrame, path: str, buckets: int = LOCATION_BUCKETS) -> None:
-    (df.withColumn("location_bucket", location_bucket(F.col("location_id"), buckets))
-       .repartition("location_bucket").sortWithinPartitions("location_id", "date")
-       .write.mode("overwrite").partitionBy("location_bucket").parquet(path))
+def write_processed(df: DataFrame, path: str, partitions: int | None = None) -> None:
+    ranged = df.repartitionByRange(partitions, "location_id") if partitions else df.repartitionByRange("location_id")
+    ranged.sortWithinPartitions("location_id", "date").write.mode("overwrite").parquet(path)
 
 
-def read_processed(spark: SparkSession, path: str, location: str | None = None,
-                   buckets: int = LOCATION_BUCKETS) -> DataFrame:
+def read_processed(spark: SparkSession, path: str, location: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
-    if location is not None:
-        df = df.where((F.col("location_bucket") == location_bucket(F.lit(location), buckets))
-                      & (F.col("location_id") == location))
-    return df.drop("location_bucket")
+    return df if location is None else df.where(F.col("location_id") == location)
 
 
 # ---------------------------------------------------------------- forecast export
