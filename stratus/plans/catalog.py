@@ -727,3 +727,12 @@ ORACLES.update({
         group by location_id) f on f.location_id = o.location_id"""),
     "stream_features": O.sql("select * from processed"),
 })
+
+
+def reset_session_caches() -> None:
+    """Forget fitted models, landed payloads and size checks (benchmarks time
+    every run from scratch)."""
+    from stratus.operators import joins
+    _FITTED.clear()
+    fx._LANDED.clear()
+    joins._CHECKED.clear()

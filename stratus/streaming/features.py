@@ -22,6 +22,7 @@ highest batch wins.  Replaying a batch is idempotent.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -51,10 +52,11 @@ def _newest(df: DataFrame, keys: list[str], cols: list[str], version: str = "bat
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    if batch.isEmpty():
-        return
     spark = batch.sparkSession
     raw_path, out_path, idx_path = (os.path.join(root, n) for n in ("raw", "features", "index"))
+    earliest = batch.agg(F.min("date")).first()[0]
+    if earliest is None:          # empty micro-batch
+        return
     _write_partition(batch.select(*RAW_DAILY.fieldNames()).withColumn("batch_id", F.lit(batch_id)), raw_path)
 
     store = spark.read.schema(STORE).parquet(raw_path)
@@ -64,7 +66,7 @@ def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     index = _newest(spark.read.schema(INDEX).parquet(idx_path).where(F.col("batch_id") < batch_id),
                     ["location_id"], ["n_rows"])
     # Read only a recent date window (Parquet min/max statistics skip old row groups) ...
-    start = cut.agg(F.date_sub(F.min("_cutoff"), LOOKBACK_DAYS)).first()[0]
+    start = earliest - dt.timedelta(days=LOOKBACK_DAYS)
     older = store.where(F.col("batch_id") < batch_id)
     recent = older.where(F.col("date") >= F.lit(start))
     have = (recent.join(cut, "location_id").where(F.col("date") < F.col("_cutoff"))

@@ -151,3 +151,20 @@ def test_seasonal_encoding_matches_numpy(spark):
     r = features.with_features(df).orderBy("date").first()
     assert math.isclose(r.sin_day, math.sin(2 * math.pi * 1 / 365.25), abs_tol=1e-9)
     assert math.isclose(r.cos_month, math.cos(2 * math.pi * 1 / 12.0), abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("value,decimals,expected", [(2.5, 0, "2"), (3.5, 0, "4"), (0.25, 1, "0.2"),
+                                                     (31.704, 1, "31.7"), (53.0, 0, "53")])
+def test_display_rounding_is_half_even(spark, value, decimals, expected):
+    from stratus.functions import timefmt
+    out = spark.createDataFrame([(value,)], "v double").select(timefmt.fixed(F.col("v"), decimals, "")).first()[0]
+    assert out == expected == f"{value:.{decimals}f}"
+
+
+def test_place_label_skips_blanks_and_repeats(spark):
+    from stratus.functions.places import place_label
+    rows = [("Pune", "Maharashtra", "Pune", "India"), ("Goa", None, "", "India"), ("X", "X", None, None)]
+    df = spark.createDataFrame(rows, "name string, admin1 string, admin2 string, country string")
+    out = [r[0] for r in df.select(place_label(F.col("name"), F.col("admin1"), F.col("admin2"),
+                                               F.col("country"))).collect()]
+    assert out == ["Pune, Maharashtra, India", "Goa, India", "X"]

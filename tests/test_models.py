@@ -64,3 +64,13 @@ def test_training_job_end_to_end(spark):
     assert res.outputs["metrics"].count() == 4
     assert res.outputs["best_model"].count() == 2
     assert res.outputs["top_importances"].count() == 15
+
+
+def test_retrain_selected_places(spark):
+    from stratus.plans import jobs
+    raw = (series(spark, 150, loc="A").unionByName(series(spark, 150, loc="B"))
+           .unionByName(series(spark, 150, loc="C")))
+    chosen = spark.createDataFrame([("A", "Place A"), ("C", "Place C")], "location_id string, name string")
+    res = jobs.retrain_locations(spark, raw, chosen, forest=M.ForestParams(num_trees=3, max_depth=3))
+    assert {r.location_id for r in res.outputs["metrics"].collect()} == {"A", "C"}
+    assert jobs.active_locations(spark, res.root).count() == 2
