@@ -19,7 +19,7 @@ def hourly_from_daily(df: DataFrame) -> DataFrame:
     return (df.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
             .select(
                 "location_id",
-                F.timestamp_add("HOUR", h, F.col("date").cast("timestamp")).alias("ts"),
+                F.timestamp_add("HOUR", h, F.col("date").cast("timestamp_ntz")).alias("ts"),
                 F.round(temp, DIURNAL_DIGITS).alias("temperature_2m"),
                 F.col("humidity").alias("relative_humidity_2m"),
                 F.when(F.col("precipitation") > 0, 20).otherwise(0).alias("precipitation_probability"),

@@ -9,7 +9,10 @@ from stratus.schemas import DEFAULT_UTC_OFFSET_SECONDS
 
 
 def local_time(utc_ts: Column, offset_seconds: Column) -> Column:
-    """UTC clock shifted by the payload's offset (default +05:30)."""
+    """UTC wall clock (TIMESTAMP_NTZ) shifted by the payload's offset (default +05:30).
+
+    Wall-clock arithmetic on TIMESTAMP_NTZ does not depend on the session time zone.
+    """
     secs = F.coalesce(offset_seconds, F.lit(DEFAULT_UTC_OFFSET_SECONDS))
     return utc_ts + F.make_interval(secs=secs.cast("decimal(18,6)"))
 

@@ -16,7 +16,7 @@ from stratus.schemas import CONTEXT_DAYS
 
 def next_hours(hourly: DataFrame, as_of_ts: str, hours: int = 24) -> DataFrame:
     """``hours`` rows from the current hour; from the first row if absent."""
-    now_hour = F.date_trunc("hour", F.lit(as_of_ts).cast("timestamp"))
+    now_hour = F.date_trunc("hour", F.lit(as_of_ts).cast("timestamp_ntz"))
     whole = Window.partitionBy("location_id")
     start = F.coalesce(F.min(F.when(F.col("ts") == now_hour, F.col("ts"))).over(whole),
                        F.min("ts").over(whole))

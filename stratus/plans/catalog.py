@@ -307,7 +307,7 @@ def q_place_label(spark, sf_dir):
 def q_local_time(spark, sf_dir):
     """local clock from the payload's UTC offset (default +05:30)."""
     p = fx.forecast_payloads(spark, sf_dir, AS_OF)
-    local = timefmt.local_time(F.lit(UTC_CLOCK).cast("timestamp"), F.col("utc_offset_seconds"))
+    local = timefmt.local_time(F.lit(UTC_CLOCK).cast("timestamp_ntz"), F.col("utc_offset_seconds"))
     return p.select("location_id", "utc_offset_seconds", local.alias("local_time")).withColumn(
         "clock", timefmt.clock_label(F.col("local_time")))
 

@@ -131,7 +131,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("event_id").alias("_emax"),
     )
     return agg.select(
-        "location_id", F.col("_ts").cast("timestamp").alias("ts"),
+        "location_id", F.col("_ts").cast("timestamp_ntz").alias("ts"),
         F.col("_t").cast("double").alias("temperature_2m"),
         (F.col("_umin") % 101).cast("double").alias("relative_humidity_2m"),
         (F.col("_n") % 101).cast("int").alias("precipitation_probability"),

@@ -67,12 +67,12 @@ def ingest_archive(payloads: DataFrame) -> DataFrame:
 
 
 def hourly_rows(payloads: DataFrame) -> DataFrame:
-    """Hourly block -> one row per hour."""
+    """Hourly block -> one row per hour; ``ts`` is location-local wall-clock time (TIMESTAMP_NTZ)."""
     fields = ["time"] + [k for k, _ in HOURLY_FIELDS]
     zipped = F.arrays_zip(*[F.col(f"hourly.{f}") for f in fields])
     return (payloads.where(F.col("hourly").isNotNull())
             .select("location_id", "fetched_at", F.inline(zipped))
-            .withColumn("ts", F.to_timestamp("time", "yyyy-MM-dd'T'HH:mm")).drop("time"))
+            .withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time"))
 
 
 def current_obs(payloads: DataFrame) -> DataFrame:
