@@ -48,3 +48,23 @@ def apply_minmax(df: DataFrame, stats: DataFrame, cols: list[str] | None = None,
     keep_stats = [f"{TARGET}_min", f"{TARGET}_max"]
     drop = [f"{c}_{m}" for c in cols for m in ("min", "max") if f"{c}_{m}" not in keep_stats]
     return joined.withColumns(scaled).drop(*drop)
+
+
+def with_minmax(split_df: DataFrame, cols: list[str] | None = None, suffix: str = "_s") -> DataFrame:
+    """A5 + M4 in one pass: train-only min/max as whole-partition window
+    aggregates on location_id (the partitioning the split already has), so
+    there is no second scan of the upstream and no join.  Locations without
+    training rows are dropped, as the join-based :func:`apply_minmax` does.
+    """
+    from pyspark.sql import Window
+    cols = cols or SEQUENCE_FEATURES + [TARGET]
+    whole = Window.partitionBy("location_id")
+    train = F.col("split") == "train"
+    stats = {}
+    for c in cols:
+        stats[f"{c}_min"] = F.min(F.when(train, F.col(c))).over(whole)
+        stats[f"{c}_max"] = F.max(F.when(train, F.col(c))).over(whole)
+    fitted = split_df.withColumns(stats).where(F.col(f"{cols[0]}_min").isNotNull())
+    scaled = {f"{c}{suffix}": scale(F.col(c), F.col(f"{c}_min"), F.col(f"{c}_max")) for c in cols}
+    keep_stats = {f"{TARGET}_min", f"{TARGET}_max"}
+    return fitted.withColumns(scaled).drop(*[k for k in stats if k not in keep_stats])

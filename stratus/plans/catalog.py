@@ -38,8 +38,7 @@ def split_processed(spark, sf_dir) -> DataFrame:
 
 
 def scaled_processed(spark, sf_dir) -> DataFrame:
-    s = split_processed(spark, sf_dir)
-    return scaling.apply_minmax(s, scaling.fit_minmax(s))
+    return scaling.with_minmax(split_processed(spark, sf_dir))
 
 
 def _per_model(rows: DataFrame, keep: list[str], models: list[tuple[str, str, object]],

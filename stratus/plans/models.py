@@ -104,9 +104,8 @@ def sequence_name(kind: str) -> str:
 def sequence_dataset(processed: DataFrame, seq_len: int = DEFAULT_SEQ_LEN) -> tuple[DataFrame, DataFrame]:
     """W4 -> A5 -> M4 -> W5/W6: (sequence rows with vector features, scaler stats)."""
     s = split.with_split(processed)
-    stats = scaling.fit_minmax(s)
-    scaled = scaling.apply_minmax(s, stats)
-    seq = sequences.with_sequences(scaled, seq_len)
+    stats = scaling.fit_minmax(s)              # persisted scaler (M9); evaluated only when used
+    seq = sequences.with_sequences(scaling.with_minmax(s), seq_len)
     data = seq.select("location_id", "date", "seq_split", TARGET, f"{TARGET}_s",
                       f"{TARGET}_min", f"{TARGET}_max",
                       array_to_vector(sequences.flat_features("seq")).alias("features"))

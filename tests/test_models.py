@@ -74,3 +74,12 @@ def test_retrain_selected_places(spark):
     res = jobs.retrain_locations(spark, raw, chosen, forest=M.ForestParams(num_trees=3, max_depth=3))
     assert {r.location_id for r in res.outputs["metrics"].collect()} == {"A", "C"}
     assert jobs.active_locations(spark, res.root).count() == 2
+
+
+def test_gbt_sequence_model_fits_and_forecasts(spark):
+    processed = features.engineer(series(spark, 120))
+    data, stats = M.sequence_dataset(processed, 5)
+    model = M.fit_sequence(data, "GBT", max_iter=3, max_depth=2)
+    assert M.score_sequence(model, data, M.sequence_name("gbt")).count() == 18   # 90 rows, split 72
+    out, _ = M.forecast_sequence(model, stats, series(spark, 120), "2030-01-01", "seq_gbt", 5)
+    assert out.count() == 1
