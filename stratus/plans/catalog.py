@@ -633,6 +633,14 @@ def q_seq_fit_score(spark, sf_dir):
     return metrics.metrics(M.score_sequence(model, data, M.sequence_name("linear")))
 
 
+def q_seq_gbt_fit_score(spark, sf_dir):
+    """M6, M7 (gradient-boosted variant): test metrics per location."""
+    from stratus.plans import models as M
+    model, _ = sequence_model(spark, sf_dir, "gbt")
+    data, _ = M.sequence_dataset(processed(spark, sf_dir), SEQ_LEN)
+    return metrics.metrics(M.score_sequence(model, data, M.sequence_name("gbt")))
+
+
 def q_rf_forecast(spark, sf_dir):
     """M8: next-day forecast from the latest complete row up to as_of."""
     from stratus.plans import models as M
@@ -678,6 +686,7 @@ QUERIES.update({
     "rf_fit_score": q_rf_fit_score,
     "feature_importance": q_feature_importance,
     "seq_fit_score": q_seq_fit_score,
+    "seq_gbt_fit_score": q_seq_gbt_fit_score,
     "rf_forecast": q_rf_forecast,
     "seq_forecast": q_seq_forecast,
     "tuning": q_tuning,

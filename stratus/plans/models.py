@@ -118,7 +118,7 @@ def sequence_estimator(kind: str = "linear", **params):
     if k == "linear":
         return LinearRegression(solver="auto", regParam=params.get("reg_param", 0.0),
                                 elasticNetParam=params.get("elastic_net", 0.0), **common)
-    return GBTRegressor(maxIter=params.get("max_iter", 50), maxDepth=params.get("max_depth", 5),
+    return GBTRegressor(maxIter=params.get("max_iter", 20), maxDepth=params.get("max_depth", 5),
                         stepSize=params.get("step_size", 0.1), seed=params.get("seed", 42),
                         cacheNodeIds=True, checkpointInterval=10, **common)
 
