@@ -681,8 +681,30 @@ def q_training_pipeline(spark, sf_dir):
         result.outputs["best_model"].select("location_id", F.col("model").alias("best_model")), "location_id")
 
 
+def q_live_export(spark, sf_dir):
+    """Live-forecast lifecycle with the real models: M8 + M9 forecasts, best
+    model by test RMSE (A4, J5), current observation and place (J4), alert
+    cascade (P8), written as the JSON document (S10) and read back."""
+    from stratus.plans import models as M
+    raw = fx.raw_daily(spark, sf_dir)
+    forest = forest_model(spark, sf_dir)
+    seq_model, stats = sequence_model(spark, sf_dir)
+    seq_name = M.sequence_name("linear")
+    seq_fc, _ = M.forecast_sequence(seq_model, stats, raw, AS_OF, seq_name)
+    forecasts = M.forecast_forest(forest, raw, AS_OF).unionByName(seq_fc)
+    best = metrics.best_model(q_model_comparison(spark, sf_dir).drop("best_model").dropDuplicates(
+        ["location_id", "model"]))
+    locs = fx.locations(spark, sf_dir)
+    chosen = forecast.choose_forecast(forecasts, files.best_model_for(locs, best))
+    doc = forecast.export_rows(chosen, payload_current(spark, sf_dir), locs, EXPORT_STAMP)
+    out = scratch_path(spark, "live-export")
+    files.write_export(doc, out)
+    return files.read_export(spark, out)
+
+
 QUERIES.update({
     "training_pipeline": q_training_pipeline,
+    "live_export": q_live_export,
     "rf_fit_score": q_rf_fit_score,
     "feature_importance": q_feature_importance,
     "seq_fit_score": q_seq_fit_score,
