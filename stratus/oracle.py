@@ -116,9 +116,5 @@ def sql(body: str) -> str:
     return f"with {ctes}\n{body}"
 
 
-def with_base(body: str) -> str:  # backwards-compatible name
-    return sql(body)
-
-
 __all__ = ["sql", "feature_select", "not_null", "ALL_FEATURE_COLS", "SCALE_COLS", "AS_OF",
            "AS_OF_HOURLY", "SEQUENCE_FEATURES"]

@@ -139,8 +139,9 @@ def q_active_coordinates(spark, sf_dir):
 
 
 def q_cached_payload(spark, sf_dir):
-    """Live payload rows, plus stand-in rows for locations without a feed."""
-    live = payload_daily(spark, sf_dir).where(F.col("location_id") < "M")
+    """Live payload rows, plus stand-in rows built from the whole stored
+    table for locations whose live fetch failed."""
+    live = payload_daily(spark, sf_dir).where(fx.live_feed_ok(F.col("location_id")))
     return payload.cached_payload_rows(fx.raw_daily(spark, sf_dir), live)
 
 

@@ -261,6 +261,12 @@ def land_archive_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
      .write.mode("overwrite").json(path))
 
 
+def live_feed_ok(location_id):
+    """Fixture rule for failed live fetches: places named from "M" on get no
+    live payload, so the cached-payload fallback (S14) has work to do."""
+    return location_id < F.lit("M")
+
+
 _LANDED: dict[tuple, str] = {}
 
 
