@@ -25,6 +25,7 @@ from __future__ import annotations
 import datetime as dt
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,15 @@ def _newest(df: DataFrame, keys: list[str], cols: list[str], version: str = "bat
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
+    # The micro-batch is read twice (earliest date, raw write): keep it for the batch.
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _process(batch, batch_id, root)
+    finally:
+        batch.unpersist()
+
+
+def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
     raw_path, out_path, idx_path = (os.path.join(root, n) for n in ("raw", "features", "index"))
     earliest = batch.agg(F.min("date")).first()[0]
