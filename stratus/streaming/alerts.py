@@ -42,14 +42,16 @@ def dedupe(observations: DataFrame, watermark: str = WATERMARK, salts: int = DED
     Streaming deduplication has no map-side combine: every copy of an id is
     shuffled to the one state-store task owning it, so a delivery storm of a
     single id would land in one task.  Two stages split such a hot id: the
-    first dedups on (event_id, input partition mod ``salts``), so a hot id's
-    copies spread over up to ``salts`` tasks; the second sees at most
-    ``salts`` copies per id.  (On a batch DataFrame, one aggregate-based
-    dropDuplicates already combines map-side.)
+    first dedups on (event_id, random salt in [0, ``salts``)), so a hot id's
+    copies spread over up to ``salts`` tasks; the second, authoritative stage
+    dedups on event_id alone and sees at most ``salts`` copies per id.  The
+    salt need not be reproducible: a copy that gets a new salt on a retry is
+    still caught by the second stage.  (On a batch DataFrame, one
+    aggregate-based dropDuplicates already combines map-side.)
     """
     marked = observations.withWatermark("ts", watermark)
     if observations.isStreaming and salts > 1:
-        marked = (marked.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        marked = (marked.withColumn("_salt", F.floor(F.rand() * salts).cast("int"))
                   .dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt"))
     return marked.dropDuplicatesWithinWatermark(["event_id"])
 
