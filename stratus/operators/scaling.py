@@ -2,10 +2,14 @@
 
 Spark's MinMaxScaler fits one range for the whole column and maps a constant
 column to 0.5; the training code scales each series on its own and a zero
-range keeps span 1.  So the scaler is a grouped aggregate joined back on
-location_id.  After the split's window the data is already hash-partitioned
-by location_id and the stats aggregate produces the same partitioning, so
-the join adds no exchange for the large side.
+range keeps span 1.  Two forms:
+
+* :func:`with_minmax` (used in the pipelines) fits and applies in one pass
+  with train-only min/max window aggregates over location_id -- the
+  partitioning the split's window already produced, so no exchange, no join
+  and no second scan of the upstream;
+* :func:`fit_minmax` + :func:`apply_minmax` produce and use a persisted stats
+  table (one row per location), needed to scale live sequences (M9).
 """
 
 from __future__ import annotations
