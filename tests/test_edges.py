@@ -168,3 +168,25 @@ def test_place_label_skips_blanks_and_repeats(spark):
     out = [r[0] for r in df.select(place_label(F.col("name"), F.col("admin1"), F.col("admin2"),
                                                F.col("country"))).collect()]
     assert out == ["Pune, Maharashtra, India", "Goa, India", "X"]
+
+
+def test_current_defaults_for_missing_and_null(spark, tmp_path):
+    docs = [{"location_id": "A", "fetched_at": "2024-01-01T00:00:00"},
+            {"location_id": "B", "fetched_at": "2024-01-01T00:00:00",
+             "current": {"temperature_2m": 30.5, "pressure_msl": None}}]
+    p = tmp_path / "cur.json"
+    p.write_text("\n".join(json.dumps(d) for d in docs))
+    rows = {r.location_id: r for r in payload.current_obs(payload.read_forecast(spark, str(p))).collect()}
+    assert (rows["A"].temperature_2m, rows["A"].pressure_msl, rows["A"].relative_humidity_2m) == (0.0, 1013.0, 0.0)
+    assert (rows["B"].temperature_2m, rows["B"].pressure_msl) == (30.5, 1013.0)
+
+
+def test_hourly_block_parses_local_times(spark, tmp_path):
+    doc = {"location_id": "A", "fetched_at": "2024-01-01T00:00:00",
+           "hourly": {"time": ["2024-01-15T06:00", "2024-01-15T07:00"], "temperature_2m": [1.0, 2.0],
+                      "weather_code": [3]}}
+    p = tmp_path / "hourly.json"
+    p.write_text(json.dumps(doc))
+    rows = payload.hourly_rows(payload.read_forecast(spark, str(p))).orderBy("ts").collect()
+    assert [r.ts for r in rows] == [dt.datetime(2024, 1, 15, 6), dt.datetime(2024, 1, 15, 7)]
+    assert rows[1].weather_code is None and rows[1].temperature_2m == 2.0
