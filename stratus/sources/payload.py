@@ -37,10 +37,19 @@ def _null_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
+def _zip_block(payloads: DataFrame, block: str, fields: list[str]) -> Column:
+    """arrays_zip of a block's fields.  A missing field becomes an empty array
+    (then null-padded): arrays_zip would return null -- losing every row of
+    the payload -- if any one input array were null."""
+    types = {f.name: f.dataType for f in payloads.schema[block].dataType.fields}
+    return F.arrays_zip(*[F.coalesce(F.col(f"{block}.{f}"), F.array().cast(types[f])).alias(f)
+                          for f in fields])
+
+
 def daily_rows(payloads: DataFrame, with_code: bool = False) -> DataFrame:
     """S1 + S3: one typed row per (payload, day) with canonical names."""
     fields = list(RENAME) + (["weather_code"] if with_code else [])
-    zipped = F.arrays_zip(*[F.col(f"daily.{f}") for f in fields])
+    zipped = _zip_block(payloads, "daily", fields)
     rows = (payloads.where(F.col("daily").isNotNull())
             .select("location_id", "fetched_at", F.inline(zipped))
             .withColumnsRenamed(RENAME))
@@ -69,7 +78,7 @@ def ingest_archive(payloads: DataFrame) -> DataFrame:
 def hourly_rows(payloads: DataFrame) -> DataFrame:
     """Hourly block -> one row per hour; ``ts`` is location-local wall-clock time (TIMESTAMP_NTZ)."""
     fields = ["time"] + [k for k, _ in HOURLY_FIELDS]
-    zipped = F.arrays_zip(*[F.col(f"hourly.{f}") for f in fields])
+    zipped = _zip_block(payloads, "hourly", fields)
     return (payloads.where(F.col("hourly").isNotNull())
             .select("location_id", "fetched_at", F.inline(zipped))
             .withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time"))
