@@ -24,10 +24,10 @@ def _session(master: str | None) -> SparkSession:
     return SparkSession.builder.getOrCreate()
 
 
-def _raw(spark: SparkSession, path: str, fmt: str):
+def _raw(spark: SparkSession, path: str, fmt: str, location_id: str | None = None):
     from stratus.sources import files, payload
     if fmt == "csv":
-        return files.read_raw_csv(spark, path)
+        return files.read_raw_csv(spark, path, location_id)
     if fmt == "payload":
         return payload.ingest_archive(payload.read_archive(spark, path))
     return spark.read.parquet(path)
@@ -37,7 +37,8 @@ def train(args) -> None:
     from stratus.plans import jobs, models
     spark = _session(args.master)
     params = models.ForestParams(num_trees=args.trees, max_depth=args.depth)
-    result = jobs.train(spark, _raw(spark, args.raw, args.format), args.root, params, args.seq_kind, args.seq_len)
+    raw = _raw(spark, args.raw, args.format, args.location_id)
+    result = jobs.train(spark, raw, args.root, params, args.seq_kind, args.seq_len)
     print(f"root: {result.root}  processed rows: {result.processed_rows}")
     result.outputs["metrics"].orderBy("location_id", "model").show(truncate=False)
     result.outputs["best_model"].orderBy("location_id").show(truncate=False)
@@ -86,6 +87,7 @@ def main() -> None:
     t.add_argument("--raw", required=True)
     t.add_argument("--format", choices=["csv", "payload", "parquet"], default="csv")
     t.add_argument("--root")
+    t.add_argument("--location-id", help="single-place CSV (date + 7 measures): tag rows with this id")
     t.add_argument("--trees", type=int, default=100)
     t.add_argument("--depth", type=int, default=10)
     for p in (t, sub.add_parser("evaluate"), sub.add_parser("forecast")):

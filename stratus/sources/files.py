@@ -22,11 +22,17 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
     df.select(RAW_DAILY.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
+    """Typed scan of the raw CSV.  With ``location_id``, reads the single-place
+    layout (``date`` + 7 measures, no location column) and tags its rows."""
+    fields = [f for f in RAW_DAILY.fields if location_id is None or f.name != "location_id"]
     schema = T.StructType([T.StructField(f.name, f.dataType if f.name != "date" else T.StringType())
-                           for f in RAW_DAILY.fields])
-    return (spark.read.schema(schema).option("header", True).csv(path)
-            .withColumn("date", F.to_date("date", "yyyy-MM-dd")))
+                           for f in fields])
+    df = (spark.read.schema(schema).option("header", True).csv(path)
+          .withColumn("date", F.to_date("date", "yyyy-MM-dd")))
+    if location_id is not None:
+        df = df.select(F.lit(location_id).alias("location_id"), *[f.name for f in fields])
+    return df
 
 
 # ---------------------------------------------------------------- processed table

@@ -65,7 +65,8 @@ def dedupe_daily(rows: DataFrame) -> DataFrame:
     holding a third of all rows is reduced before the shuffle.
     """
     value_cols = [c for c in rows.columns if c not in ("location_id", "date", "fetched_at")]
-    newest = F.max_by(F.struct(*value_cols), F.col("fetched_at"))
+    # A copy without fetch time ranks oldest (max_by skips null orderings).
+    newest = F.max_by(F.struct(*value_cols), F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")))
     return (rows.groupBy("location_id", "date").agg(newest.alias("v"))
             .select("location_id", "date", *[F.col(f"v.{c}").alias(c) for c in value_cols]))
 

@@ -190,3 +190,22 @@ def test_hourly_block_parses_local_times(spark, tmp_path):
     rows = payload.hourly_rows(payload.read_forecast(spark, str(p))).orderBy("ts").collect()
     assert [r.ts for r in rows] == [dt.datetime(2024, 1, 15, 6), dt.datetime(2024, 1, 15, 7)]
     assert rows[1].weather_code is None and rows[1].temperature_2m == 2.0
+
+
+def test_copy_without_fetch_time_ranks_oldest(spark):
+    a = series(spark, 2).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    b = (series(spark, 1).withColumn("temp_max", F.lit(55.0))
+         .withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")))
+    out = payload.dedupe_daily(a.unionByName(b)).orderBy("date").collect()
+    assert [r.temp_max for r in out] == [55.0, 31.0]
+    only_null = payload.dedupe_daily(a).orderBy("date").collect()
+    assert all(r.temp_max is not None for r in only_null)
+
+
+def test_single_place_csv_layout(spark, tmp_path):
+    from stratus.sources import files
+    p = tmp_path / "raw_weather.csv"
+    p.write_text("date,temp_max,temp_min,temp_mean,humidity,precipitation,wind_speed,pressure\n"
+                 "2024-07-01,33.0,25.0,29.0,53.0,0.0,18.1,1002.1\n")
+    r = files.read_raw_csv(spark, str(p), location_id="here").first()
+    assert (r.location_id, r.date, r.temp_mean, r.pressure) == ("here", dt.date(2024, 7, 1), 29.0, 1002.1)
