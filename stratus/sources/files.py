@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LON, RAW_DAILY)
+from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LON, LAG_COLUMNS, RAW_DAILY, RAW_ORDER,
+                             ROLL_MEAN_COLUMNS, SEASONAL, TARGET)
 
 # ---------------------------------------------------------------- raw CSV
 def write_raw_csv(df: DataFrame, path: str) -> None:
@@ -46,6 +47,30 @@ def read_processed(spark: SparkSession, path: str, location: str | None = None)
     return df if location is None else df.where(F.col("location_id") == location)
 
 
+PROCESSED_CSV = T.StructType(
+    [T.StructField("date", T.StringType())]
+    + [T.StructField(c, T.DoubleType()) for c in RAW_ORDER + [TARGET] + LAG_COLUMNS + ROLL_MEAN_COLUMNS]
+    + [T.StructField(c, T.IntegerType() if c in ("month", "day_of_year") else T.DoubleType()) for c in SEASONAL])
+
+
+def write_processed_csv(df: DataFrame, path: str) -> None:
+    """CSV form of the processed table (42 columns + location_id first)."""
+    cols = ["location_id"] + PROCESSED_CSV.fieldNames()
+    df.select(cols).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_processed_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
+    """Typed scan of a processed CSV; with ``location_id``, the single-place
+    layout without a location column."""
+    fields = ([] if location_id is not None else [T.StructField("location_id", T.StringType())]) \
+        + PROCESSED_CSV.fields
+    df = (spark.read.schema(T.StructType(fields)).option("header", True).csv(path)
+          .withColumn("date", F.to_date(F.substring("date", 1, 10), "yyyy-MM-dd")))
+    if location_id is not None:
+        df = df.select(F.lit(location_id).alias("location_id"), *PROCESSED_CSV.fieldNames())
+    return df
+
+
 # ---------------------------------------------------------------- forecast export
 EXPORT_FIELDS = ["location", "coordinates", "temp_today", "temp_tomorrow", "humidity", "wind_speed",
                  "pressure", "precipitation", "model_used", "biometeorological_alert",
@@ -75,13 +100,17 @@ def write_metrics_csv(df: DataFrame, path: str) -> None:
        .write.mode("overwrite").option("header", True).csv(path))
 
 
-def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([T.StructField("location_id", T.StringType()),
-                           T.StructField("Model", T.StringType()),
-                           T.StructField("Test RMSE (°C)", T.DoubleType()),
-                           T.StructField("Test MAE (°C)", T.DoubleType())])
-    return (spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-            .withColumnsRenamed({v: k for k, v in METRICS_HEADER.items()}))
+def read_metrics_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
+    """Typed scan; with ``location_id``, the single-place layout (Model, RMSE, MAE)."""
+    fields = [T.StructField("Model", T.StringType()), T.StructField("Test RMSE (°C)", T.DoubleType()),
+              T.StructField("Test MAE (°C)", T.DoubleType())]
+    if location_id is None:
+        fields = [T.StructField("location_id", T.StringType())] + fields
+    df = (spark.read.schema(T.StructType(fields)).option("header", True).option("enforceSchema", False)
+          .csv(path).withColumnsRenamed({v: k for k, v in METRICS_HEADER.items()}))
+    if location_id is not None:
+        df = df.select(F.lit(location_id).alias("location_id"), "model", "rmse", "mae")
+    return df
 
 
 # ---------------------------------------------------------------- registries

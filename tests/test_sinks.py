@@ -53,3 +53,21 @@ def test_metrics_csv_header(spark):
     files.write_metrics_csv(E.queries()["model_metrics"](spark, SF_SMALL), path)
     header = spark.read.text(path).first()[0]
     assert header == "location_id,Model,Test RMSE (°C),Test MAE (°C)"
+
+
+def test_processed_csv_round_trip(spark):
+    from stratus.operators.features import engineer
+    df = engineer(fx.raw_daily(spark, SF_SMALL))
+    path = scratch_path(spark, "t-processed-csv")
+    files.write_processed_csv(df, path)
+    back = files.read_processed_csv(spark, path)
+    assert dict(back.dtypes)["month"] == "int" and back.count() == df.count()
+    assert _rows(back, ["location_id", "date", "temp_mean_roll_mean_30", "sin_day"]) == \
+        _rows(df, ["location_id", "date", "temp_mean_roll_mean_30", "sin_day"])
+
+
+def test_single_place_metrics_csv(spark, tmp_path):
+    p = tmp_path / "metrics_comparison.csv"
+    p.write_text("Model,Test RMSE (°C),Test MAE (°C)\nRandom Forest (Baseline),0.8639883888751697,0.6581250000000006\n")
+    r = files.read_metrics_csv(spark, str(p), location_id="here").first()
+    assert (r.location_id, r.model, r.rmse) == ("here", "Random Forest (Baseline)", 0.8639883888751697)
