@@ -642,6 +642,12 @@ def q_seq_gbt_fit_score(spark, sf_dir):
     return metrics.metrics(M.score_sequence(model, data, M.sequence_name("gbt")))
 
 
+def q_seq_local_fit_score(spark, sf_dir):
+    """M6 per location (one least-squares model per place), test metrics."""
+    from stratus.plans import models as M
+    return metrics.metrics(M.fit_score_per_location(processed(spark, sf_dir), SEQ_LEN))
+
+
 def q_rf_forecast(spark, sf_dir):
     """M8: next-day forecast from the latest complete row up to as_of."""
     from stratus.plans import models as M
@@ -710,6 +716,7 @@ QUERIES.update({
     "feature_importance": q_feature_importance,
     "seq_fit_score": q_seq_fit_score,
     "seq_gbt_fit_score": q_seq_gbt_fit_score,
+    "seq_local_fit_score": q_seq_local_fit_score,
     "rf_forecast": q_rf_forecast,
     "seq_forecast": q_seq_forecast,
     "tuning": q_tuning,
