@@ -132,9 +132,11 @@ def q_processed_roundtrip(spark, sf_dir):
 
 
 def q_active_coordinates(spark, sf_dir):
-    """``lat,lon`` registry text -> coordinates; defaults when malformed."""
+    """Registry texts -> active location label and coordinates; defaults
+    when blank or malformed."""
     lat, lon = files.parse_coordinates(F.col("coordinates"))
-    return fx.coordinate_texts(spark, sf_dir).select("location_id", lat.alias("latitude"),
+    return fx.coordinate_texts(spark, sf_dir).select("location_id", files.location_name(F.col("label"))
+                                                     .alias("location"), lat.alias("latitude"),
                                                      lon.alias("longitude"))
 
 
@@ -466,6 +468,7 @@ ORACLES = {
     "payload_hourly": O.sql("select * from hourly"),
     "processed_roundtrip": O.sql("select * from processed"),
     "active_coordinates": O.sql("""select p.location_id,
+        case when n.n_nationkey % 7 = 0 then 'Mumbai, India' else p.name end as location,
         case when n.n_nationkey % 5 = 0 then 19.076 else p.latitude end as latitude,
         case when n.n_nationkey % 5 = 0 then 72.8777 else p.longitude end as longitude
         from places p join nation n on n.n_name = p.location_id"""),

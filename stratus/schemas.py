@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- columns
-KEYS = ["location_id", "date"]
-
 # Daily measures, in the order the feature table lists them.
 MEASURES = ["temp_mean", "temp_max", "temp_min", "humidity",
             "precipitation", "wind_speed", "pressure"]
@@ -162,12 +160,6 @@ LOCATIONS = T.StructType([
     T.StructField("longitude", T.DoubleType()),
 ])
 
-METRICS = T.StructType([
-    T.StructField("location_id", T.StringType()), T.StructField("model", T.StringType()),
-    T.StructField("rmse", T.DoubleType()), T.StructField("mae", T.DoubleType()),
-    T.StructField("n", T.LongType()),
-])
-
 # FIXED VALUES: active-location defaults when no registry row exists.
 DEFAULT_LOCATION = "Mumbai, India"
 DEFAULT_LAT = 19.0760

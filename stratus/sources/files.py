@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LON, LAG_COLUMNS, RAW_DAILY, RAW_ORDER,
-                             ROLL_MEAN_COLUMNS, SEASONAL, TARGET)
+from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LOCATION, DEFAULT_LON, LAG_COLUMNS,
+                             LOCATIONS, RAW_DAILY, RAW_ORDER, ROLL_MEAN_COLUMNS, SEASONAL, TARGET)
 
 # ---------------------------------------------------------------- raw CSV
 def write_raw_csv(df: DataFrame, path: str) -> None:
@@ -130,3 +130,17 @@ def parse_coordinates(text: Column) -> tuple[Column, Column]:
     lat = F.when(has_pair, F.trim(F.element_at(parts, 1)).try_cast("double"))
     lon = F.when(has_pair, F.trim(F.element_at(parts, 2)).try_cast("double"))
     return F.coalesce(lat, F.lit(DEFAULT_LAT)), F.coalesce(lon, F.lit(DEFAULT_LON))
+
+
+def location_name(text: Column) -> Column:
+    """Registered active-location label, default when missing or blank."""
+    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit(DEFAULT_LOCATION))
+
+
+def write_locations(df: DataFrame, path: str) -> None:
+    """The ``locations`` dimension (one row per place)."""
+    df.select(LOCATIONS.fieldNames()).write.mode("overwrite").parquet(path)
+
+
+def read_locations(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LOCATIONS).parquet(path)

@@ -299,9 +299,11 @@ def _pick(name: str):
 
 
 def coordinate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry texts ``lat,lon`` per nation place; every fifth one is malformed."""
+    """Registry texts per nation place: ``lat,lon`` (every fifth one is
+    malformed) and the place label (every seventh one is blank)."""
     p = nation_places(spark, sf_dir).join(table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("location_id"), "n_nationkey"), "location_id")
     text = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("lat"), F.col("latitude").cast("string")))\
         .otherwise(F.concat_ws(",", F.col("latitude").cast("string"), F.col("longitude").cast("string")))
-    return p.select("location_id", text.alias("coordinates"))
+    label = F.when(F.col("n_nationkey") % 7 == 0, F.lit(" ")).otherwise(F.col("name"))
+    return p.select("location_id", text.alias("coordinates"), label.alias("label"))

@@ -71,3 +71,10 @@ def test_single_place_metrics_csv(spark, tmp_path):
     p.write_text("Model,Test RMSE (°C),Test MAE (°C)\nRandom Forest (Baseline),0.8639883888751697,0.6581250000000006\n")
     r = files.read_metrics_csv(spark, str(p), location_id="here").first()
     assert (r.location_id, r.model, r.rmse) == ("here", "Random Forest (Baseline)", 0.8639883888751697)
+
+
+def test_locations_table_round_trip(spark):
+    locs = fx.locations(spark, SF_SMALL)
+    path = scratch_path(spark, "t-locs")
+    files.write_locations(locs, path)
+    assert _rows(files.read_locations(spark, path), locs.columns) == _rows(locs, locs.columns)
