@@ -38,10 +38,21 @@ def build_session(master: str = "local[8]", app: str = "stratus",
     return spark
 
 
+class SharedDirMissing(RuntimeError):
+    """A cluster session must name its shared folder in spark.checkpoint.dir."""
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster-wide checkpoint folder; set a scratch one only if unset."""
+    """The cluster-wide checkpoint folder (``spark.checkpoint.dir``).
+
+    Only a local-mode session without the setting (tests, single-machine
+    runs) gets a scratch folder; a cluster session without it is an error,
+    since a machine-local folder is not visible to other executors.
+    """
     current = spark.conf.get(CHECKPOINT_CONF, None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise SharedDirMissing(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         current = tempfile.mkdtemp(prefix="stratus-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
     if spark.sparkContext.getCheckpointDir() is None:

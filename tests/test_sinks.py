@@ -78,3 +78,9 @@ def test_locations_table_round_trip(spark):
     path = scratch_path(spark, "t-locs")
     files.write_locations(locs, path)
     assert _rows(files.read_locations(spark, path), locs.columns) == _rows(locs, locs.columns)
+
+
+def test_shared_dir_comes_from_the_session(spark):
+    from stratus.session import shared_dir
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(shared_dir(spark))
