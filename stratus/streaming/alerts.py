@@ -70,7 +70,14 @@ def score(observations: DataFrame, forecasts: DataFrame, watermark: str = WATERM
 
 def run(spark: SparkSession, source: str, forecasts: DataFrame, sink: str, checkpoint: str,
         max_files_per_trigger: int | None = None) -> None:
-    """Process everything landed so far (``availableNow``) and stop."""
+    """Process everything landed so far (``availableNow``) and stop.
+
+    The static side of the stream-static join is re-evaluated on every
+    micro-batch, so it is written once to the shared folder first: each batch
+    then reads a small Parquet table instead of recomputing the forecasts.
+    """
+    from stratus.session import materialize
+    forecasts = materialize(forecasts.select("location_id", "forecast_temp"), "alert-forecasts")
     reader = spark.readStream.schema(OBSERVATION)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
