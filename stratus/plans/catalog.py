@@ -671,14 +671,18 @@ def q_tuning(spark, sf_dir):
     return M.tune_sequence(processed(spark, sf_dir), seq_lens=(3, 7, 14), reg_params=(0.0, 0.1))
 
 
-def q_model_comparison(spark, sf_dir):
-    """Both real models' metrics and the chosen best model."""
+def real_predictions(spark, sf_dir) -> DataFrame:
+    """Test-split predictions of the fitted forest and linear sequence model (long rows)."""
     from stratus.plans import models as M
     model, _ = sequence_model(spark, sf_dir)
     data, _ = M.sequence_dataset(processed(spark, sf_dir), SEQ_LEN)
-    preds = (M.score_forest(forest_model(spark, sf_dir), split_processed(spark, sf_dir))
-             .unionByName(M.score_sequence(model, data, M.sequence_name("linear"))))
-    table = metrics.metrics(preds)
+    return (M.score_forest(forest_model(spark, sf_dir), split_processed(spark, sf_dir))
+            .unionByName(M.score_sequence(model, data, M.sequence_name("linear"))))
+
+
+def q_model_comparison(spark, sf_dir):
+    """Both real models' metrics and the chosen best model."""
+    table = metrics.metrics(real_predictions(spark, sf_dir))
     best = metrics.best_model(table).select("location_id", F.col("model").alias("best_model"))
     return table.join(best, "location_id")
 
@@ -702,8 +706,7 @@ def q_live_export(spark, sf_dir):
     seq_name = M.sequence_name("linear")
     seq_fc, _ = M.forecast_sequence(seq_model, stats, raw, AS_OF, seq_name)
     forecasts = M.forecast_forest(forest, raw, AS_OF).unionByName(seq_fc)
-    best = metrics.best_model(q_model_comparison(spark, sf_dir).drop("best_model").dropDuplicates(
-        ["location_id", "model"]))
+    best = metrics.best_model(metrics.metrics(real_predictions(spark, sf_dir)))
     locs = fx.locations(spark, sf_dir)
     chosen = forecast.choose_forecast(forecasts, files.best_model_for(locs, best))
     doc = forecast.export_rows(chosen, payload_current(spark, sf_dir), locs, EXPORT_STAMP)
