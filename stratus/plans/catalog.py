@@ -742,7 +742,9 @@ def q_stream_alerts(spark, sf_dir):
     source, sink, ckpt = (scratch_path(spark, n) for n in ("obs-landing", "obs-alerts", "obs-ckpt"))
     fx.observations(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(source)
     stream_alerts.run(spark, source, hourly_climatology(spark, sf_dir), sink, ckpt)
-    return spark.read.parquet(sink)
+    # Event time is an instant (TIMESTAMP) for the watermark; report it as the
+    # wall clock it came in as (TIMESTAMP_NTZ), like every other time column.
+    return spark.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def q_stream_features(spark, sf_dir):
