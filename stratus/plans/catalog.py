@@ -715,8 +715,22 @@ def q_live_export(spark, sf_dir):
     return files.read_export(spark, out)
 
 
+def q_retrain_places(spark, sf_dir):
+    """Retrain for the places whose baseline lost (the sequence model had
+    the lower test RMSE), then record them as the active places."""
+    from stratus.plans import jobs
+    table = metrics.metrics(real_predictions(spark, sf_dir))
+    chosen = (metrics.best_model(table).where(F.col("model") != "Random Forest")
+              .join(fx.locations(spark, sf_dir), "location_id"))
+    if chosen.isEmpty():          # nothing to retrain: an empty metrics table
+        return table.limit(0)
+    result = jobs.retrain_locations(spark, fx.raw_daily(spark, sf_dir), chosen)
+    return result.outputs["metrics"]
+
+
 QUERIES.update({
     "training_pipeline": q_training_pipeline,
+    "retrain_places": q_retrain_places,
     "live_export": q_live_export,
     "rf_fit_score": q_rf_fit_score,
     "feature_importance": q_feature_importance,
