@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import decontam, oracles, pieces, quality, shards, toxicity
+from stratus.llm import decontam, neardup, oracles, pieces, quality, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
             .drop("text_hash"))
@@ -39,11 +43,13 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_near_duplicates": op4_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_pieces": op7_pieces,
     "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_near_duplicates": oracles.OP4,
     "op6_decontamination": oracles.OP6,
 }

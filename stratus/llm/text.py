@@ -189,3 +189,10 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def unsigned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, np.int64).view(np.uint64)
+
+
+def per_doc_sum_wrapping(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums mod 2**64 of unsigned values over ranges."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[edges[1:]] - total[edges[:-1]]
