@@ -41,3 +41,18 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.a, edge.b FROM r
 SELECT d.doc_id, CAST(coalesce(any_value(size.n), 0) AS BIGINT) AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
 FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN size ON size.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+win AS (
+  SELECT doc_id, s, md5(array_to_string(ws[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS s FROM d WHERE len(ws) >= 50)),
+own AS (SELECT h, min(doc_id) AS lo FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (
+  SELECT doc_id, unnest(range(s, s + 50)) AS p FROM win JOIN own USING (h) WHERE doc_id > lo) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN ps IS NULL THEN array_to_string(ws, ' ')
+              ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(ps, p)), lambda p: ws[p]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""

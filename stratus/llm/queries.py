@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import decontam, neardup, oracles, pieces, quality, shards, toxicity
+from stratus.llm import decontam, neardup, oracles, pieces, quality, repeats, shards, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (repeats.repeats_removed(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (shards.assign_shards(_table(spark, sf_dir, "documents"), 40)
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
@@ -46,10 +51,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op6_decontamination": op6_decontamination,
     "op7_pieces": op7_pieces,
+    "op8_repeats": op8_repeats,
     "op10_shards": op10_shards,
 }
 
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": oracles.OP4,
     "op6_decontamination": oracles.OP6,
+    "op8_repeats": oracles.OP8,
 }
