@@ -235,8 +235,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: that of the smallest id (rows without words all stay).
 
-    Rows that repeat an id and a text are copies too; one of them stays.
+    Rows that repeat an id are one document: the greatest row stays.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, percent)
-    gone = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "not-kept")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = materialize(near_duplicates(docs.select("doc_id", "text"), shingle, percent), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    again = (found.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count()
+             .where("count > 1").select(F.col("doc_id").alias("_id")))
+    again = materialize(again, "repeated-ids")
+    leave = materialize(gone.unionByName(again).distinct(), "not-kept")
+    rest = docs.join(leave, F.col("doc_id") == F.col("_id"), "left_anti")
+    order = ["text", *(c for c in docs.columns if c != "text")]
+    one = (docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
+           .groupBy("doc_id").agg(F.max(F.struct(*(F.col(f"`{c}`") for c in order))).alias("_row")).select("_row.*"))
+    return rest.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -56,3 +56,25 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) A
               ELSE array_to_string(list_transform(list_filter(range(1, len(ws) + 1), lambda p: NOT list_contains(ps, p)), lambda p: ws[p]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)
 """
+
+OP5 = r"""
+WITH asked AS (
+  SELECT conv_id, turn, 'call_' || turn AS call_id, text, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS tool
+  FROM conversations WHERE role IN ('user', 'system')),
+answer AS (SELECT conv_id, turn, 'call_' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+calls AS (
+  SELECT a.conv_id, a.call_id, a.turn AS place, 'call' AS kind, CASE WHEN r.turn IS NULL THEN 'open' ELSE 'linked' END AS status,
+         a.turn AS place_after, CAST(0 AS BIGINT) AS depth, a.tool, coalesce(length(a.text), 0) > 0 AS valid,
+         CASE WHEN coalesce(length(a.text), 0) > 0 THEN ''
+              ELSE CASE a.tool WHEN 'reply' THEN 'prompt' ELSE 'instructions' END || CASE WHEN a.text IS NULL THEN ': missing' ELSE ': too short' END
+         END AS errors, coalesce(r.turn, -1) AS answered_at,
+         '{"arguments":{' || CASE WHEN a.text IS NULL THEN '' ELSE CASE a.tool WHEN 'reply' THEN '"prompt":' ELSE '"instructions":' END
+         || CAST(to_json(a.text) AS VARCHAR) || ',' END || '"turn":' || a.turn || '},"id":"' || a.call_id || '","name":"' || a.tool
+         || '","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS message
+  FROM asked a LEFT JOIN answer r USING (conv_id, call_id)),
+orphan AS (
+  SELECT conv_id, call_id, turn AS place, 'result' AS kind, 'orphan' AS status, turn AS place_after, CAST(0 AS BIGINT) AS depth,
+         CAST(NULL AS VARCHAR) AS tool, false AS valid, '' AS errors, CAST(-1 AS BIGINT) AS answered_at, CAST(NULL AS VARCHAR) AS message
+  FROM answer ANTI JOIN asked USING (conv_id, call_id))
+SELECT * FROM calls UNION ALL SELECT * FROM orphan
+"""

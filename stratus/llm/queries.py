@@ -2,54 +2,72 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import decontam, lm, neardup, oracles, pieces, pii, quality, repeats, shards, toxicity
+from stratus.llm import decontam, lm, neardup, oracles, pieces, pii, quality, repeats, shards, toolcalls, toxicity
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package when the driver was started outside its folder."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.personal_data(_table(spark, sf_dir, "documents"))
+    return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return (toolcalls.link_tool_calls(*toolcalls.calls_of_conversations(turns), toolcalls.SCHEMAS)
+            .withColumn("errors", F.array_join("errors", "; "))
+            .withColumn("answered_at", F.coalesce("answered_at", F.lit(-1))))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return (decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
             .drop("text_hash"))
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_pieces(_table(spark, sf_dir, "documents"))
+    return pieces.encode_pieces(table(spark, sf_dir, "documents"))
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (repeats.repeats_removed(_table(spark, sf_dir, "documents"))
+    return (repeats.repeats_removed(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (shards.assign_shards(_table(spark, sf_dir, "documents"), 40)
+    return (shards.assign_shards(table(spark, sf_dir, "documents"), 40)
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
 
 
@@ -58,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_tool_calls": op5_tool_calls,
     "op6_decontamination": op6_decontamination,
     "op7_pieces": op7_pieces,
     "op8_repeats": op8_repeats,
@@ -67,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_near_duplicates": oracles.OP4,
+    "op5_tool_calls": oracles.OP5,
     "op6_decontamination": oracles.OP6,
     "op8_repeats": oracles.OP8,
 }

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratus.llm import text as X
 
@@ -244,6 +245,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
     inner = [f"c{i}" for i in range(len(names))]
     text_at = inner[names.index("text")]
     plain = docs.toDF(*inner).withColumnRenamed(text_at, "text")
-    schema = plain.schema.add("score", "double")
+    schema = StructType([*plain.schema.fields, StructField("score", DoubleType())])
     scored = plain.mapInArrow(_score(model, plain.columns), schema)
     return scored.where(F.col("score") < 0.5).drop("score").toDF(*names)
