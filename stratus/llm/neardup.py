@@ -5,15 +5,18 @@
    its own fixed random walk reaches first (optimal densification).
 2. Documents with equal shingle sets form a class; its smallest id represents it.
 3. Bands of ``ROWS`` bins are bucket keys.  Their number follows from the
-   threshold, so that a pair at the threshold shares no bucket with a chance of at
-   most ``MISS``.
+   threshold, so that a pair at the threshold shares fewer than two buckets with a
+   chance of at most ``MISS``.
 4. Each bucket proposes a star: its centre paired with every member of another
    component.  Pairs are confirmed on full shingle sets; links are contracted to
    components.  Then the centre leaves the bucket (all it could link is settled) and
-   what still spans several components proposes the next star.  This goes on until
-   no bucket spans two components, so no confirmable link of a bucket is lost, and a
-   round never has more pairs than bucket rows.  When all remaining pairs are at
-   most ``FINISH`` per bucket row, they are confirmed at once instead.
+   what still spans several components proposes the next star, until no bucket spans
+   two components.  A round never has more pairs than bucket rows.
+5. After ``STARS`` rounds the rows of buckets that still span components are bucketed
+   anew by every two of their document's remaining keys: documents that met in one
+   bucket by chance, say over a passage that many share, part; a pair at the
+   threshold shares two keys or more but for a chance of about ``MISS``.  When all
+   remaining pairs are at most ``FINISH`` per bucket row, they are confirmed at once.
 
 Everything is keyed joins and aggregates over tables in the shared folder: hot
 buckets and hot copies are skewed keys of plain joins (split by adaptive execution)
@@ -29,7 +32,6 @@ are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +43,17 @@ from stratus.llm import text as X
 from stratus.session import materialize
 
 ROWS = 7
-MISS = 1e-6
+MISS = 1e-5
+STARS = 2
 FINISH = 4
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
-    """Bands after which a pair at ``percent`` similarity is missed with chance ``miss``."""
-    return math.ceil(math.log(miss) / math.log1p(-(percent / 100) ** rows))
+    """Bands of which a pair at ``percent`` similarity shares two or more but for a chance of ``miss``."""
+    p, n = (percent / 100) ** rows, 2
+    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > miss:
+        n += 1
+    return n
 
 
 def shingle_sets(buf: X.Buffer, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +128,7 @@ def _sets(shingle: int):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``c, root`` for every component id ``c`` that a link ``(u, v)`` touches: the least id reachable.
 
     Rounds of hooking to the least neighbour and pointer jumping; each is written
@@ -184,6 +190,14 @@ def _span(buckets: DataFrame) -> DataFrame:
             .where("lo != hi").select("key", "centre", "n"))
 
 
+def _narrowed(buckets: DataFrame) -> DataFrame:
+    """Rows of buckets that span components, bucketed by every two keys of a document (at most its bands)."""
+    alive = _span(buckets).select("key")
+    keys = (buckets.join(alive, "key").groupBy("rep", "c").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    two = F.expr("flatten(transform(keys, (x, i) -> transform(filter(keys, (y, j) -> j > i), y -> xxhash64(x, y))))")
+    return materialize(keys.select(F.explode(two).alias("key"), "rep", "c"), "narrowed")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -198,8 +212,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sets = materialize(texts.mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "shingle-sets")
     comp = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"))
     buckets = buckets.withColumn("c", F.col("rep"))
-    tried = None
+    tried, rounds = None, 0
     while True:
+        if rounds == STARS:
+            buckets = _narrowed(buckets)
         centres = materialize(_span(buckets), "centres")
         size = centres.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
         if not size[0]:
@@ -218,14 +234,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         linked = materialize(confirm(pairs, sets, percent), "confirmed")
-        ends = (linked.join(comp.select(F.col("rep").alias("a"), F.col("c").alias("u")), "a")
-                .join(comp.select(F.col("rep").alias("b"), F.col("c").alias("v")), "b").where("u != v").select("u", "v"))
-        roots = components(comp, ends)
-        comp = materialize(comp.join(roots, "c", "left").select("rep", F.coalesce("root", "c").alias("c")), "components")
+        if not linked.isEmpty():
+            ends = (linked.join(comp.select(F.col("rep").alias("a"), F.col("c").alias("u")), "a")
+                    .join(comp.select(F.col("rep").alias("b"), F.col("c").alias("v")), "b").where("u != v").select("u", "v"))
+            roots = components(ends)
+            comp = materialize(comp.join(roots, "c", "left").select("rep", F.coalesce("root", "c").alias("c")), "components")
         if rest is None:
             break
         tried = pairs if tried is None else tried.unionByName(pairs)
         buckets = materialize(rest.join(comp, "rep"), "buckets")
+        rounds += 1
     out = members.join(comp, "rep", "left")
     component = F.coalesce("c", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
