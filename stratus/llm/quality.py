@@ -31,6 +31,8 @@ BUCKETS = 1 << 16
 TARGET_ROWS = 20_000
 #: Share of trusted documents that may fall below the cut-off.
 TRUSTED_LOSS = 0.002
+#: Share of the raw multinomial mixed into the target's: no ratio is below log(MIXED).
+MIXED = 0.05
 #: Ratios are integers in units of 1 / SCALE, so sums do not depend on their order.
 SCALE = 1 << 16
 BIN = 0.005
@@ -83,12 +85,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                .mapInArrow(_count_buckets(buckets), "bucket long, raw long, target long")
                .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
     got = counted.toPandas()
-    raw, target = np.ones(buckets), np.ones(buckets)
-    raw[got.bucket] += got.raw
-    target[got.bucket] += got.target
-    if not got.target.sum():
-        return np.zeros(buckets, np.int64)
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    ratio = np.zeros(buckets)
+    if got.target.sum():
+        raw, target = got.raw.to_numpy() / got.raw.sum(), got.target.to_numpy() / got.target.sum()
+        ratio[got.bucket] = np.log((1 - MIXED) * target / raw + MIXED)
     return np.rint(ratio * SCALE).astype(np.int64)
 
 

@@ -45,7 +45,7 @@ BUCKETS = 1 << 17
 DIM = 4
 PASSAGE = 16
 NGRAMS = (3, 4, 5)
-EPOCHS = 30
+EPOCHS = 80
 RATE = 0.3
 SCALE = 1 << 20
 #: Embedding entries whose gradient is about as large as the TOP-th largest move at full rate.
