@@ -30,7 +30,7 @@ def _raw(spark: SparkSession, path: str, fmt: str, location_id: str | None = Non
         return files.read_raw_csv(spark, path, location_id)
     if fmt == "payload":
         return payload.ingest_archive(payload.read_archive(spark, path))
-    return spark.read.parquet(path)
+    return files.read_raw_parquet(spark, path)
 
 
 def train(args) -> None:
@@ -72,11 +72,16 @@ def forecast(args) -> None:
         .select("location_id", F.col("location_id").alias("name"), *[F.lit(None).cast(t).alias(c) for c, t in
                 [("admin1", "string"), ("admin2", "string"), ("country", "string"),
                  ("latitude", "double"), ("longitude", "double")]])
-    chosen = fc.choose_forecast(forecasts, files.best_model_for(places, registry))
+    best = files.best_model_for(places, registry)
+    chosen = fc.choose_forecast(forecasts, best)
+    # Every place is in the export or in the rejects beside it.
+    short = rejects.select("location_id", F.lit(None).cast("string").alias("model"), "reason")
+    lost = fc.forecast_rejects(forecasts, best).unionByName(short)
+    lost.write.mode("overwrite").json(args.out.rstrip("/") + "-rejects")
     current = payload.current_obs(payloads).drop("fetched_at", "utc_offset_seconds")
     doc = fc.export_rows(chosen, current, places, args.stamp or f"{args.as_of} 00:00:00")
     files.write_export(doc, args.out)
-    print(f"wrote {args.out}; sequence rejects: {rejects.count()}")
+    print(f"wrote {args.out}; rejects beside it in {args.out.rstrip('/')}-rejects")
 
 
 def main() -> None:

@@ -97,10 +97,6 @@ def engineer(raw: DataFrame) -> DataFrame:
     return complete_rows(with_features(raw))
 
 
-def seasonal_only(df: DataFrame, date_col: str = "date") -> DataFrame:
-    return df.withColumns(seasonal_columns(date_col))
-
-
 def row_loss(raw: DataFrame) -> DataFrame:
     """Rows in, dropped, kept per location -- one aggregate after the window."""
     feats = with_features(raw)

@@ -35,16 +35,20 @@ def latest_complete(rows: DataFrame, as_of: str, features: list[str] | None = No
 
 
 def tomorrow_condition(forecasts: DataFrame, daily_rows: DataFrame, current: DataFrame) -> DataFrame:
-    """J1 + P12: the forecast day's weather label, or the fallback cascade."""
+    """J1 + P12: the forecast day's weather label, or the fallback cascade.
+
+    The cascade decides when the day is missing or the feed has no codes at all; a
+    null code of a feed that has codes is ``Unknown``.
+    """
     day = daily_rows.select("location_id", F.col("date").alias("forecast_date"), "weather_code",
-                            F.lit(True).alias("_matched"))
+                            F.col("has_codes").alias("_matched"))
     joined = (forecasts.select("location_id", "forecast_date")
               .join(day, ["location_id", "forecast_date"], "left")
               .join(current, "location_id", "left"))
     labelled = codes.with_condition(joined, "weather_code", "_label")
     fallback = alerts.condition_fallback(F.col("precipitation"), F.col("wind_speed_10m"),
                                          F.col("relative_humidity_2m"))
-    matched = F.col("_matched").isNotNull()
+    matched = F.coalesce("_matched", F.lit(False))
     return (labelled.withColumn("condition", F.when(matched, F.col("_label")).otherwise(fallback))
             .select("location_id", "forecast_date", "condition"))
 
@@ -55,6 +59,14 @@ def choose_forecast(forecasts: DataFrame, best: DataFrame) -> DataFrame:
                           ["location_id", "model"])
 
 
+def forecast_rejects(forecasts: DataFrame, best: DataFrame) -> DataFrame:
+    """Places whose registered best model gave no forecast (absent from :func:`choose_forecast`)."""
+    made = forecasts.select("location_id", "model").distinct()
+    wanted = best.select("location_id", F.col("best_model").alias("model"))
+    return (wanted.join(made, ["location_id", "model"], "left_anti")
+            .select("location_id", "model", F.lit("no forecast by the best model").alias("reason")))
+
+
 def export_rows(chosen: DataFrame, current: DataFrame, locs: DataFrame, stamp: str) -> DataFrame:
     """J4 + P8: the forecast/alert document, one row per location."""
     label = places.place_label(F.col("name"), F.col("admin1"), F.col("admin2"), F.col("country"))

@@ -36,6 +36,15 @@ def with_sequences(scaled: DataFrame, seq_len: int = DEFAULT_SEQ_LEN,
                           F.when(F.col("rn") <= F.col("split_at"), "train").otherwise("test"))
 
 
+def sequence_rejects(split_df: DataFrame, seq_len: int = DEFAULT_SEQ_LEN) -> DataFrame:
+    """Places that get no sequence: shorter than ``seq_len`` or without a training row (Q7)."""
+    # n and split_at are per-place constants of the split; one aggregate, combined before the shuffle.
+    sizes = split_df.groupBy("location_id").agg(F.max("n").alias("rows"), F.max("split_at").alias("split_at"))
+    reason = (F.when(F.col("split_at") < 1, "no training row")
+              .when(F.col("rows") < seq_len, "fewer complete rows than the sequence length"))
+    return sizes.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("location_id", "rows", "reason")
+
+
 def flat_features(seq_col: str = "seq"):
     """L x 11 window -> one flat array (for array_to_vector)."""
     return F.flatten(F.col(seq_col))

@@ -11,7 +11,7 @@ from stratus.functions.codes import wmo_values_sql
 from stratus.schemas import (LAGS, MEASURES, RAW_ORDER, ROLL_COLUMNS, ROLL_WINDOWS,
                              SEQUENCE_FEATURES, TABULAR_FEATURES, TARGET)
 from stratus.sources.fixtures import (AS_OF_DAILY, AS_OF_HOURLY, DAILY_SQL, HOURLY_SQL,
-                                      LOCATIONS_SQL, NATION_PLACES_SQL, OBSERVATIONS_SQL,
+                                      LOCATIONS_SQL, NATION_PLACES_SQL, NO_CODES, OBSERVATIONS_SQL,
                                       PAYLOAD_AHEAD, PAYLOAD_PAST)
 
 RAW_COLS = ", ".join(["location_id", "date"] + RAW_ORDER)
@@ -92,11 +92,12 @@ CTES = {
         select *, row_number() over (partition by location_id order by date desc) as rb
         from feat_asof where {not_null(TABULAR_FEATURES)}) where rb = 1""",
     "payload_rows": f"""
-        select * exclude (r) from (select d.*, row_number() over (partition by location_id order by date desc) as r
+        select * replace (case when location_id = '{NO_CODES}' then null else weather_code end as weather_code)
+        from (select * exclude (r) from (select d.*, row_number() over (partition by location_id order by date desc) as r
           from daily d where date <= {AS_OF}) where r <= {PAYLOAD_PAST}
         union all
         select * exclude (r) from (select d.*, row_number() over (partition by location_id order by date) as r
-          from daily d where date > {AS_OF}) where r <= {PAYLOAD_AHEAD}""",
+          from daily d where date > {AS_OF}) where r <= {PAYLOAD_AHEAD})""",
     "current_obs": f"""select location_id, temp_mean as temperature_2m, humidity as relative_humidity_2m,
         precipitation, pressure as pressure_msl, wind_speed as wind_speed_10m from (
         select *, row_number() over (partition by location_id order by date desc) as r
@@ -111,8 +112,9 @@ CTES = {
 }
 
 
-def sql(body: str) -> str:
-    ctes = ",\n".join(f"{name} as ({text})" for name, text in CTES.items())
+def sql(body: str, **views: str) -> str:
+    """``body`` over the derived views; ``views`` replaces some, e.g. ``daily`` by another family of places."""
+    ctes = ",\n".join(f"{name} as ({text})" for name, text in (CTES | views).items())
     return f"with {ctes}\n{body}"
 
 

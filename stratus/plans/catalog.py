@@ -23,22 +23,23 @@ from stratus.sources import fixtures as fx
 
 AS_OF = fx.AS_OF_DAILY
 SEQ_LEN = 7
+LONG_SEQ_LEN = 500
 HISTORY_START, HISTORY_END = "1996-01-01", "2000-12-31"
 UTC_CLOCK = fx.AS_OF_HOURLY
 EXPORT_STAMP = f"{AS_OF} 00:00:00"
 
 
 # ---------------------------------------------------------------- shared inputs
-def processed(spark, sf_dir) -> DataFrame:
-    return feat.engineer(fx.raw_daily(spark, sf_dir))
+def processed(spark, sf_dir, by="region") -> DataFrame:
+    return feat.engineer(fx.raw_daily(spark, sf_dir, by))
 
 
-def split_processed(spark, sf_dir) -> DataFrame:
-    return split.with_split(processed(spark, sf_dir))
+def split_processed(spark, sf_dir, by="region") -> DataFrame:
+    return split.with_split(processed(spark, sf_dir, by))
 
 
-def scaled_processed(spark, sf_dir) -> DataFrame:
-    return scaling.with_minmax(split_processed(spark, sf_dir))
+def scaled_processed(spark, sf_dir, by="region") -> DataFrame:
+    return scaling.with_minmax(split_processed(spark, sf_dir, by))
 
 
 def _per_model(rows: DataFrame, keep: list[str], models: list[tuple[str, str, object]],
@@ -56,9 +57,9 @@ def stand_ins() -> list[tuple[str, str, object]]:
             ("midpoint", "sequence", (F.col("temp_max") + F.col("temp_mean_lag_1")) / 2)]
 
 
-def fixture_predictions(spark, sf_dir) -> DataFrame:
+def fixture_predictions(spark, sf_dir, by="region") -> DataFrame:
     """Deterministic stand-in predictions on the test rows (exact oracles)."""
-    test = split_processed(spark, sf_dir).where(F.col("split") == "test")
+    test = split_processed(spark, sf_dir, by).where(F.col("split") == "test")
     out = _per_model(test, ["location_id", "date", F.col(TARGET).alias("actual")], stand_ins(), "predicted")
     return out.select("location_id", "model", "role", "date", "actual", "predicted")
 
@@ -67,6 +68,10 @@ def payload_daily(spark, sf_dir) -> DataFrame:
     return payload.dedupe_daily(payload.daily_rows(fx.forecast_payloads(spark, sf_dir, AS_OF), with_code=True))
 
 
+def without_flag(rows: DataFrame) -> DataFrame:
+    return rows.drop("has_codes")
+
+
 def payload_current(spark, sf_dir) -> DataFrame:
     return payload.current_obs(fx.forecast_payloads(spark, sf_dir, AS_OF)).drop("fetched_at",
                                                                                "utc_offset_seconds")
@@ -87,6 +92,13 @@ def q_raw_daily(spark, sf_dir):
     return files.read_raw_csv(spark, path)
 
 
+def q_csv_ingest(spark, sf_dir):
+    """Two CSV deliveries with NaN and repeated days -> the normalised raw table."""
+    path = scratch_path(spark, "csv-deliveries")
+    fx.land_csv_deliveries(spark, sf_dir, path)
+    return files.read_raw_csv(spark, path)
+
+
 def q_archive_ingest(spark, sf_dir):
     """Archive payload JSON -> rows, rejects split, newest fetch wins."""
     path = scratch_path(spark, "archive-payload")
@@ -109,7 +121,7 @@ def q_history_window(spark, sf_dir):
 
 def q_payload_daily(spark, sf_dir):
     """Forecast payload daily block (41 days incl. weather code) -> rows."""
-    return payload_daily(spark, sf_dir)
+    return without_flag(payload_daily(spark, sf_dir))
 
 
 def q_current_obs(spark, sf_dir):
@@ -148,9 +160,9 @@ def q_cached_payload(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- W / F: features
-def q_features_full(spark, sf_dir):
+def q_features_full(spark, sf_dir, by="region"):
     """The processed training table."""
-    return processed(spark, sf_dir)
+    return processed(spark, sf_dir, by)
 
 
 def q_lag_features(spark, sf_dir):
@@ -170,15 +182,15 @@ def q_seasonal(spark, sf_dir):
         c.alias(n) for n, c in feat.seasonal_columns().items()])
 
 
-def q_row_loss(spark, sf_dir):
+def q_row_loss(spark, sf_dir, by="region"):
     """A8."""
-    return feat.row_loss(fx.raw_daily(spark, sf_dir))
+    return feat.row_loss(fx.raw_daily(spark, sf_dir, by))
 
 
 # ---------------------------------------------------------------- split, scaling, sequences
-def q_chrono_split(spark, sf_dir):
+def q_chrono_split(spark, sf_dir, by="region"):
     """W4."""
-    return split_processed(spark, sf_dir).select("location_id", "date", "rn", "n", "split_at", "split")
+    return split_processed(spark, sf_dir, by).select("location_id", "date", "rn", "n", "split_at", "split")
 
 
 def q_split_summary(spark, sf_dir):
@@ -191,15 +203,20 @@ def q_minmax_stats(spark, sf_dir):
     return scaling.fit_minmax(split_processed(spark, sf_dir))
 
 
-def q_scaled_features(spark, sf_dir):
+def q_scaled_features(spark, sf_dir, by="region"):
     """M4."""
     cols = [f"{c}_s" for c in SEQUENCE_FEATURES + [TARGET]]
-    return scaled_processed(spark, sf_dir).select("location_id", "date", "split", *cols)
+    return scaled_processed(spark, sf_dir, by).select("location_id", "date", "split", *cols)
 
 
-def q_sequence_ends(spark, sf_dir):
+def q_sequence_rejects(spark, sf_dir, by="supplier"):
+    """Q7: places too short for a training window of ``LONG_SEQ_LEN`` days."""
+    return sequences.sequence_rejects(split_processed(spark, sf_dir, by), LONG_SEQ_LEN)
+
+
+def q_sequence_ends(spark, sf_dir, by="region"):
     """One row per sequence end with its split and window summary."""
-    seq = sequences.with_sequences(scaled_processed(spark, sf_dir), SEQ_LEN)
+    seq = sequences.with_sequences(scaled_processed(spark, sf_dir, by), SEQ_LEN)
     last = SEQ_LEN - 1
     return seq.select(
         "location_id", "date", "rn", "seq_split",
@@ -211,15 +228,15 @@ def q_sequence_ends(spark, sf_dir):
         F.col(f"{TARGET}_s"), F.col(TARGET))
 
 
-def q_latest_complete(spark, sf_dir):
+def q_latest_complete(spark, sf_dir, by="region"):
     """Latest complete feature row up to as_of, per location."""
-    latest = forecast.latest_complete(fx.raw_daily(spark, sf_dir), AS_OF)
+    latest = forecast.latest_complete(fx.raw_daily(spark, sf_dir, by), AS_OF)
     return latest.select("location_id", "latest_obs_date", "forecast_date", *TABULAR_FEATURES)
 
 
-def q_latest_sequence(spark, sf_dir):
+def q_latest_sequence(spark, sf_dir, by="region"):
     """Last L complete rows up to as_of."""
-    ok, _ = sequences.latest_sequence(fx.raw_daily(spark, sf_dir), AS_OF, SEQ_LEN)
+    ok, _ = sequences.latest_sequence(fx.raw_daily(spark, sf_dir, by), AS_OF, SEQ_LEN)
     return ok.select("location_id", "seq_rows", "seq_start", "seq_end",
                      F.col("seq")[0][0].alias("first_temp_mean"),
                      F.col("seq")[SEQ_LEN - 1][0].alias("last_temp_mean"),
@@ -227,13 +244,13 @@ def q_latest_sequence(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P: alerts and labels
-def _daily_alerts(spark, sf_dir):
-    return alerts.with_alert(fx.daily(spark, sf_dir), "temp_mean", "humidity", "pressure", "precipitation")
+def _daily_alerts(spark, sf_dir, by="region"):
+    return alerts.with_alert(fx.daily(spark, sf_dir, by), "temp_mean", "humidity", "pressure", "precipitation")
 
 
-def q_alerts(spark, sf_dir):
+def q_alerts(spark, sf_dir, by="region"):
     """P8 on every daily row (temp_mean in place of the forecast)."""
-    return _daily_alerts(spark, sf_dir).select("location_id", "date", "alert_level", "risk_pct", "guideline")
+    return _daily_alerts(spark, sf_dir, by).select("location_id", "date", "alert_level", "risk_pct", "guideline")
 
 
 def q_alert_rows(spark, sf_dir):
@@ -260,9 +277,9 @@ def q_tomorrow_condition(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- views
-def q_hourly_24h(spark, sf_dir):
+def q_hourly_24h(spark, sf_dir, by="event"):
     """Next 24 hours from the current hour."""
-    return views.hourly_table(views.next_hours(fx.hourly(spark, sf_dir), UTC_CLOCK))
+    return views.hourly_table(views.next_hours(fx.hourly(spark, sf_dir, by), UTC_CLOCK))
 
 
 def q_ten_day(spark, sf_dir):
@@ -315,14 +332,14 @@ def q_local_time(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- metrics
-def q_model_metrics(spark, sf_dir):
+def q_model_metrics(spark, sf_dir, by="region"):
     """A1-A3, U1."""
-    return metrics.metrics(fixture_predictions(spark, sf_dir))
+    return metrics.metrics(fixture_predictions(spark, sf_dir, by))
 
 
-def q_best_model(spark, sf_dir):
+def q_best_model(spark, sf_dir, by="region"):
     """A4."""
-    return metrics.best_model(metrics.metrics(fixture_predictions(spark, sf_dir)))
+    return metrics.best_model(metrics.metrics(fixture_predictions(spark, sf_dir, by)))
 
 
 def q_last_120(spark, sf_dir):
@@ -337,6 +354,16 @@ def q_metrics_csv(spark, sf_dir):
     return files.read_metrics_csv(spark, path)
 
 
+def q_forecast_rejects(spark, sf_dir):
+    """With a registry of only the places before "M", the others fall to the default
+    model, which made no forecast here: each place is chosen or rejected."""
+    registry = metrics.best_model(metrics.metrics(fixture_predictions(spark, sf_dir)))
+    best = files.best_model_for(fx.locations(spark, sf_dir), registry.where(fx.live_feed_ok(F.col("location_id"))))
+    made = stand_in_forecasts(spark, sf_dir)
+    chosen = forecast.choose_forecast(made, best).select("location_id", "model", F.lit("chosen").alias("reason"))
+    return chosen.unionByName(forecast.forecast_rejects(made, best))
+
+
 def q_forecast_export(spark, sf_dir):
     """Best model's forecast + current obs + place -> alert document."""
     best = metrics.best_model(metrics.metrics(fixture_predictions(spark, sf_dir)))
@@ -354,6 +381,9 @@ def q_forecast_export(spark, sf_dir):
 QUERIES = {
     "raw_daily": q_raw_daily,
     "archive_ingest": q_archive_ingest,
+    "csv_ingest": q_csv_ingest,
+    "sequence_rejects": q_sequence_rejects,
+    "forecast_rejects": q_forecast_rejects,
     "archive_rejects": q_archive_rejects,
     "history_window": q_history_window,
     "payload_daily": q_payload_daily,
@@ -450,6 +480,15 @@ _PLACE_LABEL = """concat_ws(', ', name,
 ORACLES = {
     "raw_daily": O.sql("select * from raw"),
     "archive_ingest": O.sql("select * from raw"),
+    "csv_ingest": O.sql(f"""select location_id, date, {', '.join(c for c in RAW_ORDER if c != 'pressure')},
+        case when day(date) = 13 then null else pressure end as pressure from raw"""),
+    "sequence_rejects": O.sql(f"""select location_id, max(n) as rows, case when max(split_at) < 1 then 'no training row'
+        else 'fewer complete rows than the sequence length' end as reason
+        from split group by location_id having max(split_at) < 1 or max(n) < {LONG_SEQ_LEN}""", daily=fx.SUPPLIER_DAILY_SQL),
+    "forecast_rejects": O.sql("""select l.location_id,
+        case when l.location_id < 'M' then b.model else 'Random Forest' end as model,
+        case when l.location_id < 'M' then 'chosen' else 'no forecast by the best model' end as reason
+        from locs l left join best b on b.location_id = l.location_id"""),
     "archive_rejects": O.sql("select distinct location_id, 'no daily block' as reason from daily"),
     "history_window": O.sql(f"select * from raw where date between {O.AS_OF} - {HISTORY_DAYS + HISTORY_DELAY_DAYS}"
                             f" and {O.AS_OF} - {HISTORY_DELAY_DAYS}"),
@@ -469,8 +508,8 @@ ORACLES = {
     "processed_roundtrip": O.sql("select * from processed"),
     "active_coordinates": O.sql("""select p.location_id,
         case when n.n_nationkey % 7 = 0 then 'Mumbai, India' else p.name end as location,
-        case when n.n_nationkey % 5 = 0 then 19.076 else p.latitude end as latitude,
-        case when n.n_nationkey % 5 = 0 then 72.8777 else p.longitude end as longitude
+        case when n.n_nationkey % 5 < 3 then 19.076 else p.latitude end as latitude,
+        case when n.n_nationkey % 5 < 3 then 72.8777 else p.longitude end as longitude
         from places p join nation n on n.n_name = p.location_id"""),
     "lag_features": O.sql("select location_id, date, " + ", ".join(LAG_COLUMNS)
                           + " from (" + O.feature_select("raw") + ")"),
@@ -513,7 +552,7 @@ ORACLES = {
     "conditions": O.sql("""select location_id, date, weather_code, coalesce(wmo_label, 'Unknown') as condition
         from daily left join wmo on weather_code = wmo_code"""),
     "tomorrow_condition": O.sql("""select l.location_id, l.forecast_date,
-        case when p.date is not null then coalesce(w.wmo_label, 'Unknown')
+        case when p.date is not null and l.location_id <> 'ASIA' then coalesce(w.wmo_label, 'Unknown')
              when c.precipitation > 5 then 'Rainy / Wet'
              when c.wind_speed_10m > 20 then 'Windy'
              when c.relative_humidity_2m > 80 then 'Humid'
@@ -590,6 +629,34 @@ ORACLES = {
 }
 
 
+# ---------------------------------------------------------------- places that grow with the data
+def _family(base: str, **views: str) -> str:
+    """An oracle of the region family over another family of places."""
+    text = ORACLES[base]
+    for name, new in views.items():
+        old = f"{name} as ({O.CTES[name]})"
+        assert old in text
+        text = text.replace(old, f"{name} as ({new})")
+    return text
+
+
+def _by(plan, by):
+    def run(spark, sf_dir):
+        return plan(spark, sf_dir, by=by)
+    run.__doc__ = f"{plan.__doc__} One place per {by}."
+    return run
+
+
+for _name, _plan in {"features": q_features_full, "row_loss": q_row_loss, "chrono_split": q_chrono_split,
+                     "scaled_features": q_scaled_features, "sequence_ends": q_sequence_ends,
+                     "latest_complete": q_latest_complete, "latest_sequence": q_latest_sequence, "alerts": q_alerts,
+                     "model_metrics": q_model_metrics, "best_model": q_best_model}.items():
+    QUERIES[f"supplier_{_name}"] = _by(_plan, "supplier")
+    ORACLES[f"supplier_{_name}"] = _family({"features": "features_full"}.get(_name, _name), daily=fx.SUPPLIER_DAILY_SQL)
+QUERIES["user_hourly_24h"] = _by(q_hourly_24h, "user")
+ORACLES["user_hourly_24h"] = _family("hourly_24h", hourly=fx.USER_HOURLY_SQL)
+
+
 # ---------------------------------------------------------------- model plans (rows-only checks)
 _FITTED: dict[tuple, object] = {}
 
@@ -645,12 +712,6 @@ def q_seq_gbt_fit_score(spark, sf_dir):
     return metrics.metrics(M.score_sequence(model, data, M.sequence_name("gbt")))
 
 
-def q_seq_local_fit_score(spark, sf_dir):
-    """M6 per location (one least-squares model per place), test metrics."""
-    from stratus.plans import models as M
-    return metrics.metrics(M.fit_score_per_location(processed(spark, sf_dir), SEQ_LEN))
-
-
 def q_rf_forecast(spark, sf_dir):
     """M8: next-day forecast from the latest complete row up to as_of."""
     from stratus.plans import models as M
@@ -722,9 +783,10 @@ def q_retrain_places(spark, sf_dir):
     table = metrics.metrics(real_predictions(spark, sf_dir))
     chosen = (metrics.best_model(table).where(F.col("model") != "Random Forest")
               .join(fx.locations(spark, sf_dir), "location_id"))
-    if chosen.isEmpty():          # nothing to retrain: an empty metrics table
+    try:
+        result = jobs.retrain_locations(spark, fx.raw_daily(spark, sf_dir), chosen)
+    except jobs.PipelineStageError:      # no place to retrain
         return table.limit(0)
-    result = jobs.retrain_locations(spark, fx.raw_daily(spark, sf_dir), chosen)
     return result.outputs["metrics"]
 
 
@@ -736,7 +798,6 @@ QUERIES.update({
     "feature_importance": q_feature_importance,
     "seq_fit_score": q_seq_fit_score,
     "seq_gbt_fit_score": q_seq_gbt_fit_score,
-    "seq_local_fit_score": q_seq_local_fit_score,
     "rf_forecast": q_rf_forecast,
     "seq_forecast": q_seq_forecast,
     "tuning": q_tuning,
@@ -790,9 +851,6 @@ ORACLES.update({
 
 
 def reset_session_caches() -> None:
-    """Forget fitted models, landed payloads and size checks (benchmarks time
-    every run from scratch)."""
-    from stratus.operators import joins
+    """Forget fitted models and landed payloads (benchmarks time every run from scratch)."""
     _FITTED.clear()
     fx._LANDED.clear()
-    joins._CHECKED.clear()

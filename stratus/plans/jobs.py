@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratus.operators import features, metrics, split
+from stratus.operators import features, metrics, sequences, split
 from stratus.plans import models as M
 from stratus.schemas import DEFAULT_SEQ_LEN
 from stratus.session import scratch_path
@@ -46,6 +46,8 @@ def train(spark: SparkSession, raw: DataFrame, root: str | None = None,
     forest_model = M.fit_forest(split.with_split(processed), forest)
     M.save_pipeline(forest_model, os.path.join(root, "models", "forest"))
 
+    sequences.sequence_rejects(split.with_split(processed), seq_len).write.mode("overwrite").parquet(
+        os.path.join(root, "sequence_rejects"))
     data, stats = M.sequence_dataset(processed, seq_len)
     seq_model = M.fit_sequence(data, seq_kind)
     seq_model.write().overwrite().save(os.path.join(root, "models", M.sequence_name(seq_kind)))

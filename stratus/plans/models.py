@@ -204,50 +204,3 @@ def save_pipeline(model, path: str) -> None:
 
 def load_pipeline(path: str) -> PipelineModel:
     return PipelineModel.load(path)
-
-
-def save_linear(model, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-# ---------------------------------------------------------------- per-location fits
-LOCAL_PREDICTIONS = ("location_id string, model string, role string, date date, "
-                     "actual double, predicted double")
-
-
-def _local_ols(name: str):
-    """Per-group helper: least squares on the group's training windows, then
-    predictions for its test windows (scaled space -> degrees)."""
-    import numpy as np
-    import pandas as pd
-
-    def fit_score(pdf: pd.DataFrame) -> pd.DataFrame:
-        train = pdf[pdf["seq_split"] == "train"]
-        test = pdf[pdf["seq_split"] == "test"]
-        if train.empty or test.empty:
-            return pd.DataFrame(columns=["location_id", "model", "role", "date", "actual", "predicted"])
-        x = np.vstack(train["flat"].to_numpy())
-        x = np.hstack([x, np.ones((len(x), 1))])
-        coef, *_ = np.linalg.lstsq(x, train[f"{TARGET}_s"].to_numpy(dtype=float), rcond=None)
-        xt = np.hstack([np.vstack(test["flat"].to_numpy()), np.ones((len(test), 1))])
-        lo, hi = test[f"{TARGET}_min"].to_numpy(), test[f"{TARGET}_max"].to_numpy()
-        span = np.where(hi > lo, hi - lo, 1.0)
-        return pd.DataFrame({"location_id": test["location_id"].to_numpy(), "model": name,
-                             "role": "sequence", "date": test["date"].to_numpy(),
-                             "actual": test[TARGET].to_numpy(dtype=float),
-                             "predicted": (xt @ coef) * span + lo})
-    return fit_score
-
-
-def fit_score_per_location(processed: DataFrame, seq_len: int = DEFAULT_SEQ_LEN,
-                           name: str = "seq_linear_local") -> DataFrame:
-    """One linear sequence model per location, as the single-place training
-    does: the scaled windows are grouped by location_id (hash-partitioned, so
-    Spark spreads the locations over tasks) and each group is solved with
-    NumPy least squares inside its task.  A group holds one location's windows,
-    bounded by its calendar span (e.g. 1,830 rows x 77 values for 5 years)."""
-    s = split.with_split(processed)
-    seq = sequences.with_sequences(scaling.with_minmax(s), seq_len)
-    rows = seq.select("location_id", "date", "seq_split", TARGET, f"{TARGET}_s", f"{TARGET}_min",
-                      f"{TARGET}_max", sequences.flat_features("seq").alias("flat"))
-    return rows.groupBy("location_id").applyInPandas(_local_ols(name), LOCAL_PREDICTIONS)

@@ -29,7 +29,6 @@ def build_session(master: str = "local[8]", app: str = "stratus",
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 
 from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LOCATION, DEFAULT_LON, LAG_COLUMNS,
                              LOCATIONS, RAW_DAILY, RAW_ORDER, ROLL_MEAN_COLUMNS, SEASONAL, TARGET)
+from stratus.session import materialize
+from stratus.sources.payload import normalise_raw
 
 # ---------------------------------------------------------------- raw CSV
 def write_raw_csv(df: DataFrame, path: str) -> None:
@@ -24,29 +26,47 @@ def write_raw_csv(df: DataFrame, path: str) -> None:
 
 
 def read_raw_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
-    """Typed scan of the raw CSV.  With ``location_id``, reads the single-place
-    layout (``date`` + 7 measures, no location column) and tags its rows."""
+    """Typed, normalised scan of the raw CSV.  With ``location_id``, reads the single-place
+    layout (``date`` + 7 measures, no location column) and tags its rows.  Of the rows
+    of one place and day the most recently written file's wins."""
     fields = [f for f in RAW_DAILY.fields if location_id is None or f.name != "location_id"]
     schema = T.StructType([T.StructField(f.name, f.dataType if f.name != "date" else T.StringType())
                            for f in fields])
     df = (spark.read.schema(schema).option("header", True).csv(path)
-          .withColumn("date", F.to_date("date", "yyyy-MM-dd")))
+          .withColumn("date", F.to_date("date", "yyyy-MM-dd"))
+          .withColumn("fetched_at", F.col("_metadata.file_modification_time")))
     if location_id is not None:
-        df = df.select(F.lit(location_id).alias("location_id"), *[f.name for f in fields])
-    return df
+        df = df.withColumn("location_id", F.lit(location_id))
+    return normalise_raw(df)
+
+
+def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Typed, normalised scan of raw daily Parquet; the newest file's row wins."""
+    return normalise_raw(spark.read.schema(RAW_DAILY).parquet(path)
+                         .withColumn("fetched_at", F.col("_metadata.file_modification_time")))
 
 
 # ---------------------------------------------------------------- processed table
 def write_processed(df: DataFrame, path: str, partitions: int | None = None) -> None:
-    ranged = df.repartitionByRange(partitions, "location_id") if partitions else df.repartitionByRange("location_id")
+    """Sorted by place and day.  Written out first: sampling the ranges would run the
+    windows a second time.  The range key holds the date, so one place can span files."""
+    df = materialize(df, "processed-rows")
+    keys = ("location_id", "date")
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     ranged.sortWithinPartitions("location_id", "date").write.mode("overwrite").parquet(path)
 
 
 def read_processed(spark: SparkSession, path: str, location: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+    df = spark.read.schema(PROCESSED).parquet(path)
     return df if location is None else df.where(F.col("location_id") == location)
 
 
+# The processed table (S6): raw columns, target, lags, rolling means, seasonal columns.
+PROCESSED = T.StructType(
+    RAW_DAILY.fields
+    + [T.StructField(c, T.DoubleType()) for c in [TARGET] + LAG_COLUMNS + ROLL_MEAN_COLUMNS]
+    + [T.StructField(c, T.IntegerType() if c in ("month", "day_of_year") else T.DoubleType()) for c in SEASONAL])
+
 PROCESSED_CSV = T.StructType(
     [T.StructField("date", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in RAW_ORDER + [TARGET] + LAG_COLUMNS + ROLL_MEAN_COLUMNS]
@@ -124,12 +144,13 @@ def best_model_for(locations: DataFrame, registry: DataFrame | None) -> DataFram
 
 
 def parse_coordinates(text: Column) -> tuple[Column, Column]:
-    """``"lat,lon"`` -> (lat, lon); defaults when missing or unparsable."""
+    """``"lat,lon"`` -> (lat, lon); both defaults unless it is exactly two numbers."""
     parts = F.split(text, ",")
-    has_pair = text.contains(",")
-    lat = F.when(has_pair, F.trim(F.element_at(parts, 1)).try_cast("double"))
-    lon = F.when(has_pair, F.trim(F.element_at(parts, 2)).try_cast("double"))
-    return F.coalesce(lat, F.lit(DEFAULT_LAT)), F.coalesce(lon, F.lit(DEFAULT_LON))
+    pair = F.size(parts) == 2
+    lat = F.when(pair, F.trim(F.get(parts, 0)).try_cast("double"))
+    lon = F.when(pair, F.trim(F.get(parts, 1)).try_cast("double"))
+    both = lat.isNotNull() & lon.isNotNull()
+    return F.when(both, lat).otherwise(F.lit(DEFAULT_LAT)), F.when(both, lon).otherwise(F.lit(DEFAULT_LON))
 
 
 def location_name(text: Column) -> Column:

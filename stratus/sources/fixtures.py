@@ -10,9 +10,10 @@ Scale notes
 -----------
 * ``lineitem`` is the only table that grows fast.  ``nation`` (25 rows) and
   ``region`` (5 rows) are fixed-size dimensions and are broadcast by hint.
-  ``supplier`` grows with the scale factor (10,000 rows per unit), so its
-  join is size-checked (``operators.joins.dimension_join``): broadcast while
-  the supplier count is under the bound, a sort-merge join beyond it.
+  ``supplier`` grows with the scale factor (10,000 rows per unit): its join
+  carries no hint, Catalyst and AQE choose the strategy from its bytes.
+* Two families of places: the 5 regions and event types, and places whose number
+  grows with the data (``by="supplier"``, ``by="user"``).
 * The daily aggregate is decomposable (min/max/sum), so the hash aggregate
   combines map-side before its shuffle: a location holding a third of all
   lineitems still shuffles at most one partial row per (location, day, task).
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------- SQL text
-DAILY_SQL = """
-select r_name as location_id, cast(l_shipdate as date) as date,
+_DAILY_SQL = """
+select {place} as location_id, cast(l_shipdate as date) as date,
  max(l_quantity) as temp_max, min(l_quantity) as temp_min, (max(l_quantity)+min(l_quantity))/2 as temp_mean,
  cast(max(round(l_discount*100)) as double)*10 as humidity,
  cast(min(round(l_tax*100)) as double) as precipitation,
@@ -34,19 +35,25 @@ select r_name as location_id, cast(l_shipdate as date) as date,
  cast(sum(l_partkey)%100 as int) as weather_code
 from lineitem join supplier on l_suppkey=s_suppkey join nation on s_nationkey=n_nationkey
  join region on n_regionkey=r_regionkey
-group by r_name, cast(l_shipdate as date)
+group by {place}, cast(l_shipdate as date)
 """
+DAILY_PLACE_SQL = {"region": "r_name", "supplier": "'S' || cast(l_suppkey as varchar)"}
+DAILY_SQL = _DAILY_SQL.format(place=DAILY_PLACE_SQL["region"])
+SUPPLIER_DAILY_SQL = _DAILY_SQL.format(place=DAILY_PLACE_SQL["supplier"])
 
-HOURLY_SQL = """
-select event_type as location_id, cast(date_trunc('hour', ts) as timestamp) as ts,
+_HOURLY_SQL = """
+select {place} as location_id, cast(date_trunc('hour', ts) as timestamp) as ts,
  cast(max(floor(value/10)) as double) as temperature_2m,
  cast(min(user_id)%101 as double) as relative_humidity_2m,
  cast(count(*)%101 as int) as precipitation_probability,
  cast(max(user_id)%40 as double) as wind_speed_10m,
  cast(980+max(user_id)%60 as double) as pressure_msl,
  cast(max(event_id)%100 as int) as weather_code
-from events group by event_type, date_trunc('hour', ts)
+from events group by {place}, date_trunc('hour', ts)
 """
+HOURLY_PLACE_SQL = {"event": "event_type", "user": "'U' || cast(user_id as varchar)"}
+HOURLY_SQL = _HOURLY_SQL.format(place=HOURLY_PLACE_SQL["event"])
+USER_HOURLY_SQL = _HOURLY_SQL.format(place=HOURLY_PLACE_SQL["user"])
 
 # One place per nation (F9 fixture): admin2 is null for even keys.
 NATION_PLACES_SQL = """
@@ -75,25 +82,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     """raw_daily + weather_code, one row per (location_id, date).
 
-    Star layout: lineitem probes three independent broadcast relations
-    (supplier size-checked, nation and region fixed-size), which are built
-    concurrently; chaining them (supplier x nation x region, then broadcast)
-    would serialise three broadcast builds.
+    ``by``: the places are regions (5) or suppliers (as many as the data has).
+    Star layout: lineitem probes supplier, nation and region one by one; the two
+    fixed-size ones are broadcast by hint.
     """
-    from stratus.operators.joins import dimension_join
     li = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_partkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    joined = (dimension_join(li, supplier, F.col("l_suppkey") == F.col("s_suppkey"),
-                             key=f"{sf_dir}/supplier.parquet")
+    place = {"region": F.col("r_name"), "supplier": F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))}[by]
+    joined = (li.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
               .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
               .join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")))
-    agg = joined.groupBy(F.col("r_name").alias("location_id"),
+    agg = joined.groupBy(place.alias("location_id"),
                          F.to_date("l_shipdate").alias("date")).agg(
         F.max("l_quantity").alias("temp_max"),
         F.min("l_quantity").alias("temp_min"),
@@ -114,15 +119,16 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_daily(spark: SparkSession, sf_dir: str, by: str = "region") -> DataFrame:
     """The canonical daily table (no weather code)."""
-    return daily(spark, sf_dir).drop("weather_code")
+    return daily(spark, sf_dir, by).drop("weather_code")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly telemetry rows per (location_id, ts)."""
+def hourly(spark: SparkSession, sf_dir: str, by: str = "event") -> DataFrame:
+    """Hourly telemetry rows per (location_id, ts); places are event types or users."""
+    place = {"event": F.col("event_type"), "user": F.concat(F.lit("U"), F.col("user_id").cast("string"))}[by]
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    agg = ev.groupBy(F.col("event_type").alias("location_id"),
+    agg = ev.groupBy(place.alias("location_id"),
                      F.date_trunc("hour", F.col("ts")).alias("_ts")).agg(
         F.max(F.floor(F.col("value") / 10)).alias("_t"),
         F.min("user_id").alias("_umin"),
@@ -195,6 +201,7 @@ from events
 # ---------------------------------------------------------------- landed payloads
 PAYLOAD_PAST = 32     # rows up to and including as_of
 PAYLOAD_AHEAD = 9     # rows after as_of
+NO_CODES = "ASIA"     # the place whose feed has no weather codes
 
 
 def payload_source_rows(spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DAILY) -> DataFrame:
@@ -208,7 +215,9 @@ def payload_source_rows(spark: SparkSession, sf_dir: str, as_of: str = AS_OF_DAI
         F.col("_r") <= PAYLOAD_PAST)
     ahead = d.where(F.col("date") > cut).withColumn("_r", F.row_number().over(w_asc)).where(
         F.col("_r") <= PAYLOAD_AHEAD)
-    return past.unionByName(ahead).drop("_r")
+    rows = past.unionByName(ahead).drop("_r")
+    # A feed without codes: its forecast day has no label of its own (J1's fallback).
+    return rows.withColumn("weather_code", F.when(F.col("location_id") != NO_CODES, F.col("weather_code")))
 
 
 def utc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,6 +234,8 @@ def land_forecast_payloads(spark: SparkSession, sf_dir: str, path: str,
     from stratus.sources.payload import nest_daily
     rows = payload_source_rows(spark, sf_dir, as_of)
     block = nest_daily(rows, ["location_id"], with_code=True)
+    block = block.withColumn("daily", F.when(F.col("location_id") != NO_CODES, F.col("daily"))
+                             .otherwise(F.col("daily").withField("weather_code", F.lit(None).cast("array<int>"))))
     latest = (rows.where(F.col("date") <= F.lit(as_of).cast("date"))
               .groupBy("location_id").agg(F.max_by(F.struct(
                   F.col("temp_mean").alias("temperature_2m"),
@@ -261,6 +272,17 @@ def land_archive_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
      .write.mode("overwrite").json(path))
 
 
+def land_csv_deliveries(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Raw CSV in two deliveries: the first has stale temperatures for 2000 onward, the
+    second all days of 2000 onward; both write NaN for the pressure of every 13th."""
+    raw = raw_daily(spark, sf_dir).withColumn(
+        "pressure", F.when(F.dayofmonth("date") == 13, F.lit(float("nan"))).otherwise(F.col("pressure")))
+    recent = F.year("date") >= 2000
+    stale = raw.withColumn("temp_max", F.when(recent, F.col("temp_max") + 100).otherwise(F.col("temp_max")))
+    for rows in (stale, raw.where(recent)):
+        rows.write.mode("append").option("header", True).csv(path)
+
+
 def live_feed_ok(location_id):
     """Fixture rule for failed live fetches: places named from "M" on get no
     live payload, so the cached-payload fallback (S14) has work to do."""
@@ -299,11 +321,15 @@ def _pick(name: str):
 
 
 def coordinate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry texts per nation place: ``lat,lon`` (every fifth one is
-    malformed) and the place label (every seventh one is blank)."""
+    """Registry texts per nation place: ``lat,lon``, of every five one without a
+    comma, one with one good part, one with three, and the place label (every
+    seventh one is blank)."""
     p = nation_places(spark, sf_dir).join(table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("location_id"), "n_nationkey"), "location_id")
-    text = F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("lat"), F.col("latitude").cast("string")))\
+    key = F.col("n_nationkey") % 5
+    text = F.when(key == 0, F.concat(F.lit("lat"), F.col("latitude").cast("string")))\
+        .when(key == 1, F.concat(F.col("latitude").cast("string"), F.lit(",abc")))\
+        .when(key == 2, F.lit("1,2,3"))\
         .otherwise(F.concat_ws(",", F.col("latitude").cast("string"), F.col("longitude").cast("string")))
     label = F.when(F.col("n_nationkey") % 7 == 0, F.lit(" ")).otherwise(F.col("name"))
     return p.select("location_id", text.alias("coordinates"), label.alias("label"))

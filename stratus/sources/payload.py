@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratus.schemas import (ARCHIVE_PAYLOAD, CURRENT_DEFAULTS, FALLBACK_MIN_ROWS, FALLBACK_ROWS,
                              FORECAST_PAYLOAD, HOURLY_FIELDS, RAW_ORDER, RENAME)
@@ -50,8 +51,12 @@ def daily_rows(payloads: DataFrame, with_code: bool = False) -> DataFrame:
     """S1 + S3: one typed row per (payload, day) with canonical names."""
     fields = list(RENAME) + (["weather_code"] if with_code else [])
     zipped = _zip_block(payloads, "daily", fields)
+    kept = ["location_id", "fetched_at"]
+    if with_code:      # whether the feed has codes at all; a null inside a present array is a code of its own
+        payloads = payloads.withColumn("has_codes", F.col("daily.weather_code").isNotNull())
+        kept.append("has_codes")
     rows = (payloads.where(F.col("daily").isNotNull())
-            .select("location_id", "fetched_at", F.inline(zipped))
+            .select(*kept, F.inline(zipped))
             .withColumnsRenamed(RENAME))
     typed = {"date": F.to_date("date")}
     typed.update({c: _null_nan(F.col(c)) for c in RAW_ORDER})
@@ -65,15 +70,25 @@ def dedupe_daily(rows: DataFrame) -> DataFrame:
     holding a third of all rows is reduced before the shuffle.
     """
     value_cols = [c for c in rows.columns if c not in ("location_id", "date", "fetched_at")]
-    # A copy without fetch time ranks oldest (max_by skips null orderings).
-    newest = F.max_by(F.struct(*value_cols), F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp")))
+    # A copy without fetch time ranks oldest (max_by skips null orderings); of
+    # copies fetched at once the greatest row wins, so retries agree.
+    fetched = F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp"))
+    newest = F.max_by(F.struct(*value_cols), F.struct(fetched, *value_cols))
     return (rows.groupBy("location_id", "date").agg(newest.alias("v"))
             .select("location_id", "date", *[F.col(f"v.{c}").alias(c) for c in value_cols]))
 
 
+def normalise_raw(rows: DataFrame) -> DataFrame:
+    """The one ingest rule of CSV, Parquet and JSON rows (Q4, Q16): NaN is null, one
+    row per (location_id, date), the newest ``fetched_at`` wins."""
+    measures = {c: _null_nan(F.col(c)) for c in RAW_ORDER}
+    return dedupe_daily(rows.withColumns(measures).select("location_id", "date", "fetched_at", *RAW_ORDER)).select(
+        "location_id", "date", *RAW_ORDER)
+
+
 def ingest_archive(payloads: DataFrame) -> DataFrame:
     """Archive payloads -> deduplicated raw daily table."""
-    return dedupe_daily(daily_rows(payloads)).select("location_id", "date", *RAW_ORDER)
+    return normalise_raw(daily_rows(payloads))
 
 
 def hourly_rows(payloads: DataFrame) -> DataFrame:
@@ -82,12 +97,13 @@ def hourly_rows(payloads: DataFrame) -> DataFrame:
     zipped = _zip_block(payloads, "hourly", fields)
     return (payloads.where(F.col("hourly").isNotNull())
             .select("location_id", "fetched_at", F.inline(zipped))
-            .withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time"))
+            .withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time")
+            .withColumns({f: _null_nan(F.col(f)) for f, kind in HOURLY_FIELDS if kind == T.DoubleType()}))
 
 
 def current_obs(payloads: DataFrame) -> DataFrame:
     """Current observation with per-field defaults (missing or null)."""
-    cols = [F.coalesce(F.col(f"current.{k}"), F.lit(v)).alias(k) for k, v in CURRENT_DEFAULTS.items()]
+    cols = [F.coalesce(_null_nan(F.col(f"current.{k}")), F.lit(v)).alias(k) for k, v in CURRENT_DEFAULTS.items()]
     return payloads.select("location_id", "fetched_at", "utc_offset_seconds", *cols)
 
 

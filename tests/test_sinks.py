@@ -17,6 +17,7 @@ def _rows(df, cols):
 def test_payload_round_trip_is_lossless(spark):
     rows = fx.payload_source_rows(spark, SF_SMALL)
     back = payload.dedupe_daily(payload.daily_rows(fx.forecast_payloads(spark, SF_SMALL), with_code=True))
+    assert {r.location_id for r in back.where("NOT has_codes").collect()} == {fx.NO_CODES}
     cols = ["location_id", "date", *RAW_ORDER, "weather_code"]
     assert _rows(back, cols) == _rows(rows, cols)
 
