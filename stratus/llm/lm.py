@@ -110,6 +110,8 @@ class Monotone:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.low, self.unary, self.ones = parts["low"], parts["unary"], parts["ones"]
         self.n, self.bits = (int(x) for x in parts["head"])
+        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.most = int(self.zeros[-1]) - 1         # greatest high bits that a bucket ends for
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -126,36 +128,41 @@ class Monotone:
         high = _select(self.unary, self.ones, i, False) - i
         return (high.astype(_U64) << _U64(self.bits)) | self._low(i)
 
-    def _starts(self, high: np.ndarray) -> np.ndarray:
-        """How many values have smaller high bits."""
-        out = np.zeros(len(high), np.int64)
+    def _bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of positions whose values have these high bits (each at most ``self.most``)."""
+        at = np.zeros(len(high), np.int64)
         some = high > 0
-        if some.any():
-            zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
-            last = zeros[-1] - 1
-            k = np.minimum(high[some] - 1, last)
-            out[some] = _select(self.unary, zeros, k, True) - k
-        return out
+        at[some] = _select(self.unary, self.zeros, high[some] - 1, True) + 1
+        word, shift = at >> 6, (at & 63).astype(_U64)
+        bits = self.unary[word] >> shift
+        size = np.bitwise_count(bits & ~(bits + _U64(1))).astype(np.int64)     # ones up to the next zero
+        first = at - high
+        over = np.flatnonzero(size == 64 - (at & 63))                           # they may go on in the next word
+        if len(over):
+            size[over] = _select(self.unary, self.zeros, high[over], True) - at[over]
+        return first, first + size
 
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Position of each value, or -1; within [lo, hi) if given."""
         x = np.asarray(x, _U64)
         out = np.full(len(x), -1, np.int64)
-        if not self.n or not len(x):
+        if not self.n:
             return out
         high = (x >> _U64(self.bits)).astype(np.int64)
-        first, last = self._starts(high), np.minimum(self._starts(high + 1), self.n)
+        live = np.flatnonzero(high <= self.most)
+        first, last = self._bucket(high[live])
         if lo is not None:
-            first, last = np.maximum(first, lo), np.minimum(last, hi)
-        want = x & _U64((1 << self.bits) - 1)
-        live = np.flatnonzero(first < last)
-        first, last, want = first[live], last[live], want[live]
+            first, last = np.maximum(first, lo[live]), np.minimum(last, hi[live])
+        on = first < last
+        live, first, last = live[on], first[on], last[on]
+        want = x[live] & _U64((1 << self.bits) - 1)
         while len(live):            # successor search: halve what is left of each range
             mid = (first + last) >> 1
             got = self._low(mid)
             hit = got == want
             out[live[hit]] = mid[hit]
-            first, last = np.where(got < want, mid + 1, first), np.where(got < want, last, mid)
+            less = got < want
+            first, last = np.where(less, mid + 1, first), np.where(less, last, mid)
             on = ~hit & (first < last)
             live, first, last, want = live[on], first[on], last[on], want[on]
         return out
@@ -205,7 +212,9 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
             for name, (at, n, kind) in json.loads(bytes(raw[:first])).items()}
 
 
-def _sub(arrays: dict[str, np.ndarray], name: str) -> Monotone:
+@lru_cache(maxsize=16384)
+def _sequence(uri: str, name: str) -> Monotone:
+    arrays = map_arrays(uri)
     return Monotone({k: arrays[f"{name}.{k}"] for k in ("low", "unary", "ones", "head")})
 
 
@@ -231,8 +240,11 @@ class Level:
     def file(self, shard: int) -> str:
         return f"{self.folder}/{self.order}-{shard:06d}.ef"
 
-    def arrays(self, shard: int) -> dict[str, np.ndarray]:
-        return map_arrays(self.file(shard))
+    def array(self, shard: int, name: str) -> np.ndarray:
+        return map_arrays(self.file(shard))[name]
+
+    def sequence(self, shard: int, name: str) -> Monotone:
+        return _sequence(self.file(shard), name)
 
 
 def _route(context: np.ndarray, shards: int) -> np.ndarray:
@@ -259,17 +271,16 @@ def find_words(level: Level, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for shard, part in _by_shard(_word_shard(names, level.shards)):
         if level.offsets[shard] == level.offsets[shard + 1]:
             continue
-        arrays = level.arrays(shard)
-        base = _U64(shard) * _U64((1 << 64) // level.shards + 1)
-        at = _sub(arrays, "keys").find(names[part] - base)
+        base = _U64(shard * ((1 << 64) // level.shards + 1))
+        at = level.sequence(shard, "keys").find(names[part] - base)
         hit = at >= 0
         node[part[hit]] = at[hit] + level.offsets[shard]
-        count[part[hit]] = _counts(arrays, at[hit])
+        count[part[hit]] = _counts(level, shard, at[hit])
     return node, count
 
 
-def _counts(arrays: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
-    sums = _sub(arrays, "sums")
+def _counts(level: Level, shard: int, at: np.ndarray) -> np.ndarray:
+    sums = level.sequence(shard, "sums")
     return (sums.get(at + 1) - sums.get(at)).astype(np.int64)
 
 
@@ -277,7 +288,7 @@ def node_counts(level: Level, node: np.ndarray) -> np.ndarray:
     """Training counts of nodes of a level."""
     out = np.zeros(len(node), np.int64)
     for shard, part in _by_shard(np.searchsorted(level.offsets, node, "right") - 1):
-        out[part] = _counts(level.arrays(shard), node[part] - level.offsets[shard])
+        out[part] = _counts(level, shard, node[part] - level.offsets[shard])
     return out
 
 
@@ -291,18 +302,18 @@ def find_next(level: Level, words: int, context: np.ndarray, word: np.ndarray
         if level.offsets[shard] == level.offsets[shard + 1]:
             continue
         part = asked[part]
-        arrays = level.arrays(shard)
-        rank = _sub(arrays, "contexts").find(context[part])
+        rank = level.sequence(shard, "contexts").find(context[part])
         known = rank >= 0
         part, rank = part[known], rank[known]
-        rest[part] = _unquantised(arrays["rest"][rank])
-        ranges = _sub(arrays, "ranges")
-        part, rank = part[word[part] >= 0], rank[word[part] >= 0]
+        rest[part] = _VALUE[level.array(shard, "rest")[rank]]
+        seen = word[part] >= 0
+        part, rank = part[seen], rank[seen]
+        ranges = level.sequence(shard, "ranges")
         lo, hi = ranges.get(rank).astype(np.int64), ranges.get(rank + 1).astype(np.int64)
-        at = _sub(arrays, "next").find(rank * words + word[part], lo, hi)
+        at = level.sequence(shard, "next").find(rank * words + word[part], lo, hi)
         hit = at >= 0
         node[part[hit]] = at[hit] + level.offsets[shard]
-        a[part[hit]] = _unquantised(arrays["a"][at[hit]])
+        a[part[hit]] = _VALUE[level.array(shard, "a")[at[hit]]]
     return node, a, rest
 
 
@@ -310,8 +321,8 @@ def _quantised(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) * STEPS), 0, 255).astype(np.uint8)
 
 
-def _unquantised(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-q.astype(np.float64) / STEPS)
+#: The number that each byte stands for.
+_VALUE = 10.0 ** (-np.arange(256) / STEPS)
 
 
 # Counting ---------------------------------------------------------------------
@@ -336,7 +347,7 @@ def _summed(keys: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray]
     """Sorted distinct keys and their summed counts."""
     if not len(count):
         return keys, count
-    order = np.lexsort(keys[::-1])
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
     keys, count = [k[order] for k in keys], count[order]
     fresh = np.ones(len(count), bool)
     fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -384,17 +395,11 @@ def _tokens(buf: X.Buffer) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _training(rows: pa.RecordBatch) -> np.ndarray:
-    return rows.column("training").to_numpy(zero_copy_only=False).astype(bool)
-
-
 def _count_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally(lambda names: _word_shard(names, shards))
-        for rows, buf in X.chunks(batches, max_bytes=4 << 20):
-            names, first = _tokens(buf)
-            names = names[np.repeat(_training(rows), np.diff(first))]
-            names, count = np.unique(names, return_counts=True)
+        for _, buf in X.chunks(batches, max_bytes=4 << 20):
+            names, count = np.unique(_tokens(buf)[0], return_counts=True)
             yield from tally.add([names], count)
         yield from tally.flush()
     return run
@@ -413,18 +418,28 @@ class _Lookup:
         return node[inverse], count[inverse]
 
     def follow(self, level: Level, context: np.ndarray, word: np.ndarray):
-        """:func:`find_next` over the distinct pairs only."""
-        keys, inverse = _distinct_pairs(context, word)
-        node, a, rest = find_next(level, self.words, *keys)
-        return node[inverse], a[inverse], rest[inverse]
-
-
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    if not len(a):
-        return [a, b], np.zeros(0, np.int64)
-    key = X.mix(X.mix(a.astype(_U64)) + b.astype(_U64))
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return [a[at], b[at]], inverse
+        """:func:`find_next` over the distinct pairs with a context only."""
+        n = len(word)
+        node, a, rest = np.full(n, -1, np.int64), np.zeros(n), np.ones(n)
+        asked = np.flatnonzero(context >= 0)
+        keys, inverse = _distinct_pairs(context[asked], word[asked], self.words)
+        node[asked], a[asked], rest[asked] = (x[inverse] for x in find_next(level, self.words, *keys))
+        return node, a, rest
+
+
+def _distinct_pairs(context: np.ndarray, word: np.ndarray, words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct pairs, those of one context together, and the pair of each position."""
+    if not len(context):
+        return [context, word], np.zeros(0, np.int64)
+    if int(context.max()) < (1 << 62) // (words + 1):
+        key, inverse = np.unique(context * (words + 1) + word + 1, return_inverse=True)
+        return [key // (words + 1), key % (words + 1) - 1], inverse
+    order = np.lexsort((word, context))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (context[order[1:]] != context[order[:-1]]) | (word[order[1:]] != word[order[:-1]])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(fresh) - 1
+    return [context[order[fresh]], word[order[fresh]]], inverse
 
 
 def _previous(values: np.ndarray, first: np.ndarray, at_start: int) -> np.ndarray:
@@ -439,11 +454,10 @@ def _count_next(levels: list[Level], shards: int, min_count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _Lookup(levels)
         tally = _Tally(lambda context: _route(context, shards))
-        for rows, buf in X.chunks(batches, max_bytes=4 << 20):
+        for _, buf in X.chunks(batches, max_bytes=4 << 20):
             names, first = _tokens(buf)
-            mine = np.repeat(_training(rows), np.diff(first))
             word, count = look.words_of(names)
-            usable = mine & (count >= min_count)
+            usable = count >= min_count
             node = word
             for level in levels[1:]:          # nodes of the run that ends at each token
                 node = look.follow(level, _previous(node, first, look.start if level is levels[1] else -1), word)[0]
@@ -529,9 +543,8 @@ def train(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT,
           shard_tokens: int = SHARD_TOKENS) -> Model:
     """Count, smooth and write the trie of the rows marked ``training``."""
     spark = docs.sparkSession
-    docs = docs.select("text", "training")
-    size = docs.agg(F.sum(F.when(F.col("training"), F.octet_length("text"))).alias("bytes"),
-                    F.count_if("training").alias("documents")).first()
+    docs = docs.where("training").select("text")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("documents")).first()
     # A word takes some six bytes; the exact number does not matter.
     shards = max(4, -(-int(size["bytes"] or 0) // (6 * shard_tokens)))
     folder = scratch_path(spark, "ngram-trie")
