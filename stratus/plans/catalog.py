@@ -817,9 +817,42 @@ def q_stream_alerts(spark, sf_dir):
     source, sink, ckpt = (scratch_path(spark, n) for n in ("obs-landing", "obs-alerts", "obs-ckpt"))
     fx.observations(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(source)
     stream_alerts.run(spark, source, hourly_climatology(spark, sf_dir), sink, ckpt)
-    # Event time is an instant (TIMESTAMP) for the watermark; report it as the
+    # Event time is an instant (TIMESTAMP) in the stream; report it as the
     # wall clock it came in as (TIMESTAMP_NTZ), like every other time column.
-    return spark.read.parquet(sink).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return (stream_alerts.scored_observations(spark, sink).drop("late")
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
+def q_late_observations(spark, sf_dir):
+    """Every fiftieth observation is delivered after all others (and some of the others
+    again); none is lost, and those more than the delay behind are listed."""
+    from stratus.streaming import alerts as stream_alerts
+    source, sink, ckpt = (scratch_path(spark, n) for n in ("obs-landing", "obs-alerts", "obs-ckpt"))
+    rows, climate = fx.observations(spark, sf_dir), hourly_climatology(spark, sf_dir)
+    held = F.col("event_id") % 50 == 0
+    rows.where(~held).write.parquet(source)
+    stream_alerts.run(spark, source, climate, sink, ckpt)
+    rows.where(held | (F.col("event_id") % 50 == 1)).write.mode("append").parquet(source)
+    stream_alerts.run(spark, source, climate, sink, ckpt)
+    return (stream_alerts.scored_observations(spark, sink).groupBy("location_id", "late")
+            .agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("event_id").alias("events"),
+                 F.sum("event_id").alias("id_sum")))
+
+
+def q_stream_corrections(spark, sf_dir):
+    """T4: days that come late and days sent again with a missing pressure; the view equals
+    the batch table of the corrected rows, after a compaction too."""
+    from stratus.streaming import features as stream_features
+    source, root, ckpt = (scratch_path(spark, n) for n in ("daily-landing", "feature-store", "daily-ckpt"))
+    raw = fx.raw_daily(spark, sf_dir)
+    late, resent = F.dayofmonth("date") == 9, (F.dayofmonth("date") == 20) & (F.month("date") == 6)
+    raw.where(~late).write.parquet(source)
+    stream_features.run(spark, source, root, ckpt, max_files_per_trigger=None)
+    stream_features.compact(spark, root)
+    (raw.where(late).unionByName(raw.where(resent).withColumn("pressure", F.lit(None).cast("double")))
+     .write.mode("append").parquet(source))
+    stream_features.run(spark, source, root, ckpt, max_files_per_trigger=None)
+    return stream_features.feature_view(spark, root)
 
 
 def q_stream_features(spark, sf_dir):
@@ -835,6 +868,8 @@ def q_stream_features(spark, sf_dir):
 QUERIES.update({
     "stream_alerts": q_stream_alerts,
     "stream_features": q_stream_features,
+    "late_observations": q_late_observations,
+    "stream_corrections": q_stream_corrections,
 })
 
 ORACLES.update({
@@ -847,6 +882,13 @@ ORACLES.update({
         from observations o left join (select location_id, avg(temperature_2m) as forecast_temp from hourly
         group by location_id) f on f.location_id = o.location_id"""),
     "stream_features": O.sql("select * from processed"),
+    "late_observations": O.sql("""select location_id, event_id % 50 = 0
+          and ts < (select max(ts) from observations where event_id % 50 <> 0) - interval 1 hour as late,
+        count(*) as observations, count(distinct event_id) as events, cast(sum(event_id) as bigint) as id_sum
+        from observations group by all"""),
+    "stream_corrections": O.sql("select * from processed", raw=f"""select location_id, date,
+        {', '.join(c for c in RAW_ORDER if c != 'pressure')},
+        case when day(date) = 20 and month(date) = 6 then null else pressure end as pressure from daily"""),
 })
 
 

@@ -1,15 +1,21 @@
 """Alert scoring of each new observation with Structured Streaming.
 
 Observation files land in a folder; a file-source stream reads them with a
-fixed schema, drops duplicate deliveries of the same ``event_id`` within the
-watermark (in two salted stages, see :func:`dedupe`), joins each observation to the latest batch forecast of its
-location (stream-static join: the static side is the forecast table) and
-applies the alert cascade and the wind caution.  The sink is append-only
-Parquet with a checkpoint in the shared folder, so a restarted query resumes
-exactly where it stopped.
-
-Policy: event time ``ts`` (TIMESTAMP, not TIMESTAMP_NTZ), watermark delay
-one hour; rows behind the watermark are dropped.
+fixed schema.  Each micro-batch is an idempotent keyed merge (``foreachBatch``):
+re-deliveries of an ``event_id`` are dropped by an aggregate that combines before
+its shuffle and by an anti join against the ids stored so far for the same days,
+so no observation is lost however late it comes and none is scored twice.  New
+observations are joined to the latest batch forecast of their location (a table
+that may grow, left to Catalyst) and run through the alert cascade and the wind
+caution.
+
+An observation is late when its event time lies more than ``delay`` behind the
+newest event time of the batches before its own.  Late rows are scored and
+stored like any other, marked ``late``; :func:`late_observations` lists them.
+
+The sink is Parquet partitioned by batch and day (dynamic overwrite: a replayed
+batch rewrites its own partitions), the checkpoint lies in the shared folder, so a
+restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -20,6 +26,7 @@ from pyspark.sql import types as T
 
 from stratus.operators import alerts
 from stratus.schemas import HIGH_WIND
+from stratus.session import materialize
 
 OBSERVATION = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -32,34 +39,28 @@ OBSERVATION = T.StructType([
     T.StructField("precipitation", T.DoubleType()),
 ])
 
-WATERMARK = "1 hour"
-DEDUP_SALTS = 16
+DELAY = "1 hour"
+ALERT = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("location_id", T.StringType()),
+    T.StructField("ts", T.TimestampType()), T.StructField("forecast_temp", T.DoubleType()),
+    T.StructField("alert_level", T.StringType()), T.StructField("risk_pct", T.DoubleType()),
+    T.StructField("wind_caution", T.BooleanType()), T.StructField("late", T.BooleanType()),
+    T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
+MARK = T.StructType([T.StructField("newest", T.TimestampType()), T.StructField("batch_id", T.LongType())])
 
 
-def dedupe(observations: DataFrame, watermark: str = WATERMARK, salts: int = DEDUP_SALTS) -> DataFrame:
-    """Drop re-deliveries of an ``event_id`` within the watermark.
+def dedupe(observations: DataFrame) -> DataFrame:
+    """One row per ``event_id``: the earliest in time, then the least row.  A hash
+    aggregate, so a storm of one id is combined before the shuffle."""
+    body = [f for f in OBSERVATION.fieldNames() if f != "event_id"]
+    first = F.min_by(F.struct(*body), F.struct("ts", *[c for c in body if c != "ts"]))
+    return observations.groupBy("event_id").agg(first.alias("v")).select(
+        "event_id", *[F.col(f"v.{c}").alias(c) for c in body])
 
-    Streaming deduplication has no map-side combine: every copy of an id is
-    shuffled to the one state-store task owning it, so a delivery storm of a
-    single id would land in one task.  Two stages split such a hot id: the
-    first dedups on (event_id, random salt in [0, ``salts``)), so a hot id's
-    copies spread over up to ``salts`` tasks; the second, authoritative stage
-    dedups on event_id alone and sees at most ``salts`` copies per id.  The
-    salt need not be reproducible: a copy that gets a new salt on a retry is
-    still caught by the second stage.  (On a batch DataFrame, one
-    aggregate-based dropDuplicates already combines map-side.)
-    """
-    marked = observations.withWatermark("ts", watermark)
-    if observations.isStreaming and salts > 1:
-        marked = (marked.withColumn("_salt", F.floor(F.rand() * salts).cast("int"))
-                  .dropDuplicatesWithinWatermark(["event_id", "_salt"]).drop("_salt"))
-    return marked.dropDuplicatesWithinWatermark(["event_id"])
 
-
-def score(observations: DataFrame, forecasts: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Streaming (or batch) observations -> one scored row per observation."""
-    deduped = dedupe(observations, watermark)
-    joined = deduped.join(forecasts.select("location_id", "forecast_temp"), "location_id", "left")
+def score(observations: DataFrame, forecasts: DataFrame) -> DataFrame:
+    """One scored row per (already distinct) observation."""
+    joined = observations.join(forecasts.select("location_id", "forecast_temp"), "location_id", "left")
     temp = F.coalesce(F.col("forecast_temp"), F.col("temperature_2m"))
     a = alerts.alert(temp, F.col("relative_humidity_2m"), F.col("pressure_msl"), F.col("precipitation"))
     return joined.withColumn("_a", a).select(
@@ -68,21 +69,53 @@ def score(observations: DataFrame, forecasts: DataFrame, watermark: str = WATERM
         (F.col("wind_speed_10m") > HIGH_WIND).alias("wind_caution"))
 
 
+def _merge(batch: DataFrame, batch_id: int, forecasts: DataFrame, sink: str, marks: str, delay: str) -> None:
+    spark = batch.sparkSession
+    day = F.to_date(F.coalesce("ts", F.lit(0).cast("timestamp")))
+    rows = materialize(dedupe(batch).withColumn("day", day), "observation-batch")
+    stored = spark.read.schema(ALERT).parquet(sink).where(F.col("batch_id") < batch_id)
+    # Ids are compared per day: only the days of this batch are read from the store.
+    days = rows.select("day").distinct()
+    known = stored.select("day", "event_id").join(days, "day", "left_semi")
+    fresh = rows.join(known, ["day", "event_id"], "left_anti")
+    # One value: the newest event time so far (null before the first batch).
+    newest = spark.read.schema(MARK).parquet(marks).where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
+    late = F.coalesce(F.col("ts") < F.col("newest") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    scored = (score(fresh, forecasts).withColumn("newest", F.lit(newest).cast("timestamp"))
+              .withColumn("late", late).drop("newest")
+              .withColumn("day", day).withColumn("batch_id", F.lit(batch_id).cast("long")))
+    (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id", "day").parquet(sink))
+    (rows.agg(F.max("ts").alias("newest")).withColumn("batch_id", F.lit(batch_id).cast("long"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(marks))
+
+
 def run(spark: SparkSession, source: str, forecasts: DataFrame, sink: str, checkpoint: str,
-        max_files_per_trigger: int | None = None) -> None:
+        max_files_per_trigger: int | None = None, delay: str = DELAY) -> None:
     """Process everything landed so far (``availableNow``) and stop.
 
-    The static side of the stream-static join is re-evaluated on every
-    micro-batch, so it is written once to the shared folder first: each batch
-    then reads a small Parquet table instead of recomputing the forecasts.
+    The static side is written once to the shared folder first: each batch then
+    reads a small Parquet table instead of recomputing the forecasts.
     """
-    from stratus.session import materialize
     forecasts = materialize(forecasts.select("location_id", "forecast_temp"), "alert-forecasts")
+    marks = f"{checkpoint}-marks"
+    for schema, path, parts in ((ALERT, sink, ["batch_id", "day"]), (MARK, marks, ["batch_id"])):
+        # An empty table (mode "ignore" keeps an existing one) so the first batch can read it.
+        spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*parts).parquet(path)
     reader = spark.readStream.schema(OBSERVATION)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    query = (score(reader.parquet(source), forecasts).writeStream
-             .format("parquet").outputMode("append")
+    query = (reader.parquet(source).writeStream
+             .foreachBatch(lambda df, bid: _merge(df, bid, forecasts, sink, marks, delay))
              .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start(sink))
+             .trigger(availableNow=True).start())
     query.awaitTermination()
+
+
+def scored_observations(spark: SparkSession, sink: str) -> DataFrame:
+    return spark.read.schema(ALERT).parquet(sink).drop("batch_id", "day")
+
+
+def late_observations(spark: SparkSession, sink: str) -> DataFrame:
+    """The scored observations that came more than the delay behind."""
+    return scored_observations(spark, sink).where("late")

@@ -13,11 +13,16 @@ same batch feature function:
    Parquet statistics); a location falls back to its full history only when
    the window holds fewer rows than its halo needs (a per-location row-count
    index, rewritten per batch for touched locations, bounds what it can have);
-3. features are computed over the context; complete rows from the last
-   pre-batch row onward are written to the feature store under ``batch_id``.
-
-The feature store is merge-on-read: per (location_id, date) the row from the
-highest batch wins.  Replaying a batch is idempotent.
+3. features are computed over the context; every row from the last pre-batch
+   row onward is written to the feature store under ``batch_id`` with a flag that
+   says whether it is complete, so a correction that makes a row incomplete
+   supersedes the complete one.
+
+The stores are merge-on-read: per (location_id, date) the row from the highest
+batch wins; the view keeps the complete ones.  Replaying a batch is idempotent.
+:func:`compact` rewrites the stores as their newest rows, so their size follows
+places and days, not batches; ``run`` does so after every ``compact_every`` batches.
+A generation folder is current once its number is in ``generations``.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from pyspark.sql import types as T
 
 from stratus.operators import features
 from stratus.schemas import RAW_DAILY, RAW_ORDER
+from stratus.sources.files import PROCESSED
+from stratus.sources.payload import normalise_raw
 
 HALO = 30   # rows of history the widest window (30-row mean) needs
 
@@ -41,6 +48,8 @@ def _write_partition(df: DataFrame, path: str) -> None:
      .partitionBy("batch_id").parquet(path))
 
 
+FEATURES = T.StructType(PROCESSED.fields + [T.StructField("complete", T.BooleanType()),
+                                            T.StructField("batch_id", T.LongType())])
 STORE = T.StructType(RAW_DAILY.fields + [T.StructField("batch_id", T.LongType())])
 INDEX = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("n_rows", T.LongType()),
                       T.StructField("batch_id", T.LongType())])
@@ -52,6 +61,31 @@ def _newest(df: DataFrame, keys: list[str], cols: list[str], version: str = "bat
     return df.groupBy(*keys).agg(pick.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
+def _generation(spark: SparkSession, root: str) -> int:
+    return spark.read.schema("generation long").parquet(os.path.join(root, "generations")).agg(
+        F.max("generation")).first()[0]
+
+
+def _folder(spark: SparkSession, root: str, name: str, generation: int | None = None) -> str:
+    number = _generation(spark, root) if generation is None else generation
+    return os.path.join(root, f"generation-{number:06d}", name)
+
+
+def compact(spark: SparkSession, root: str) -> None:
+    """Rewrite raw, feature and index stores as their newest rows under a new generation."""
+    now = _generation(spark, root)
+    for name, schema, keys in (("raw", STORE, ["location_id", "date"]), ("features", FEATURES, ["location_id", "date"]),
+                               ("index", INDEX, ["location_id"])):
+        rows = spark.read.schema(schema).parquet(_folder(spark, root, name, now))
+        cols = [c for c in rows.columns if c not in keys]
+        newest = _newest(rows.withColumn("version", F.col("batch_id")), keys, cols, "version")
+        # One partition for what is merged: its rows keep the order of later batches.
+        last = newest.withColumn("batch_id", F.lit(rows.agg(F.max("batch_id")).first()[0]).cast("long"))
+        last.write.mode("overwrite").partitionBy("batch_id").parquet(_folder(spark, root, name, now + 1))
+    spark.createDataFrame([(now + 1,)], "generation long").coalesce(1).write.mode("append").parquet(
+        os.path.join(root, "generations"))
+
+
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     # The micro-batch is read twice (earliest date, raw write): keep it for the batch.
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -63,11 +97,14 @@ def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
 def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
-    raw_path, out_path, idx_path = (os.path.join(root, n) for n in ("raw", "features", "index"))
+    now = _generation(spark, root)
+    raw_path, out_path, idx_path = (_folder(spark, root, n, now) for n in ("raw", "features", "index"))
     earliest = batch.agg(F.min("date")).first()[0]
     if earliest is None:          # empty micro-batch
         return
-    _write_partition(batch.select(*RAW_DAILY.fieldNames()).withColumn("batch_id", F.lit(batch_id)), raw_path)
+    # The ingest rule of all sources; copies within a batch have no fetch time, so the greatest row wins.
+    unique = normalise_raw(batch.withColumn("fetched_at", F.lit(None).cast("timestamp")))
+    _write_partition(unique.withColumn("batch_id", F.lit(batch_id)), raw_path)
 
     store = spark.read.schema(STORE).parquet(raw_path)
     new = store.where(F.col("batch_id") == batch_id)
@@ -79,13 +116,16 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     start = earliest - dt.timedelta(days=LOOKBACK_DAYS)
     older = store.where(F.col("batch_id") < batch_id)
     recent = older.where(F.col("date") >= F.lit(start))
+    recent = recent.join(cut.select("location_id", "_cutoff"), "location_id").where(
+        F.col("date") >= F.date_sub("_cutoff", LOOKBACK_DAYS)).drop("_cutoff")      # each place from its own cut-off
     have = (recent.join(cut, "location_id").where(F.col("date") < F.col("_cutoff"))
             .groupBy("location_id").agg(F.count(F.lit(1)).alias("_seen")))
     # ... unless a location's window holds fewer halo rows than it may have stored.
     short = (cut.join(index, "location_id", "left").join(have, "location_id", "left")
              .where(F.coalesce("_seen", F.lit(0)) < F.least(F.lit(HALO), F.coalesce("n_rows", F.lit(0))))
              .select("location_id"))
-    history = older.where(F.col("date") < F.lit(start)).join(short, "location_id", "left_semi")
+    history = (older.join(short, "location_id", "left_semi").join(cut.select("location_id", "_cutoff"), "location_id")
+               .where(F.col("date") < F.date_sub("_cutoff", LOOKBACK_DAYS)).drop("_cutoff"))
     rows = recent.unionByName(history).unionByName(new).join(cut.select("location_id", "_cutoff"), "location_id")
     latest = _newest(rows, ["location_id", "date", "_cutoff"], RAW_ORDER)   # re-sent rows: newest wins
 
@@ -94,8 +134,11 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     after = latest.where(F.col("date") >= F.col("_cutoff")).withColumn("_rb", F.lit(None).cast("int"))
     context = before.unionByName(after)
     first_emit = F.min(F.when(F.col("_rb") == 1, F.col("date"))).over(Window.partitionBy("location_id"))
-    feats = features.with_features(context.drop("_cutoff"))
-    emit = (features.complete_rows(feats.drop("_rb"))
+    feats = features.with_features(context.drop("_cutoff")).drop("_rb")
+    whole = F.lit(True)
+    for c in feats.columns:
+        whole = whole & F.col(c).isNotNull()
+    emit = (feats.withColumn("complete", whole)
             .join(context.select("location_id", "date", "_rb"), ["location_id", "date"])
             .withColumn("_first", first_emit)
             .where(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
@@ -107,24 +150,30 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
 
 
 def run(spark: SparkSession, source: str, root: str, checkpoint: str,
-        max_files_per_trigger: int | None = 1) -> None:
+        max_files_per_trigger: int | None = 1, compact_every: int = 16) -> None:
+    spark.createDataFrame([(0,)], "generation long").coalesce(1).write.mode("ignore").parquet(
+        os.path.join(root, "generations"))
     # An empty index (mode "ignore" keeps an existing one) so the first batch can read it.
     spark.createDataFrame([], INDEX).write.mode("ignore").partitionBy("batch_id").parquet(
-        os.path.join(root, "index"))
+        _folder(spark, root, "index", 0))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        process_batch(batch, batch_id, root)
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, root)
+
     reader = spark.readStream.schema(RAW_DAILY)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     query = (reader.parquet(source).writeStream
-             .foreachBatch(lambda df, bid: process_batch(df, bid, root))
+             .foreachBatch(step)
              .option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
 
 
 def feature_view(spark: SparkSession, root: str) -> DataFrame:
-    """Merge-on-read: the newest batch's row per (location_id, date)."""
-    out = spark.read.parquet(os.path.join(root, "features"))
+    """Merge-on-read: the newest batch's row per (location_id, date), if it is complete."""
+    out = spark.read.schema(FEATURES).parquet(_folder(spark, root, "features"))
     cols = [c for c in out.columns if c not in ("location_id", "date", "batch_id")]
-    newest = F.max_by(F.struct(*cols), F.col("batch_id"))
-    return (out.groupBy("location_id", "date").agg(newest.alias("_v"))
-            .select("location_id", "date", *[F.col(f"_v.{c}").alias(c) for c in cols]))
+    return _newest(out, ["location_id", "date"], cols).where("complete").drop("complete")

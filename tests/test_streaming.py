@@ -62,7 +62,38 @@ def test_alert_stream_drops_redeliveries(spark):
     obs.repartition(5).write.parquet(src)
     forecasts = spark.createDataFrame([], "location_id string, forecast_temp double")
     stream_alerts.run(spark, src, forecasts, sink, ckpt)
-    out = spark.read.parquet(sink)
+    out = stream_alerts.scored_observations(spark, sink)
     assert out.count() == 11
     first = out.where("event_id = 1").first()
     assert first.alert_level == "SEVERE HEAT WARNING" and first.wind_caution
+
+
+def test_late_observation_is_scored_and_listed(spark):
+    def land(rows, src):
+        spark.createDataFrame([(i, "A", ts, 20.0, 10.0, 5.0, 1010.0, 0.0) for i, ts in rows],
+                              "event_id long, location_id string, ts string, temperature_2m double, relative_humidity_2m double, "
+                              "wind_speed_10m double, pressure_msl double, precipitation double").withColumn(
+            "ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("t-obs", "t-alerts", "t-ack"))
+    forecasts = spark.createDataFrame([], "location_id string, forecast_temp double")
+    for rows in ([(1, "2024-01-02 00:00:00")], [(2, "2024-01-02 01:00:00"), (1, "2024-01-02 00:00:00")],
+                 [(3, "2024-01-01 00:00:00"), (3, "2024-01-01 00:00:00"), (4, "2024-01-02 00:30:00")]):
+        land(rows, src)
+        stream_alerts.run(spark, src, forecasts, sink, ckpt)
+    assert sorted(r.event_id for r in stream_alerts.scored_observations(spark, sink).collect()) == [1, 2, 3, 4]
+    assert [r.event_id for r in stream_alerts.late_observations(spark, sink).collect()] == [3]
+
+
+def test_resent_null_supersedes_and_compaction_keeps_the_view(spark):
+    raw = series(spark, 150, loc="A")
+    src = _land_in_order(spark, raw, [("2020-01-01", "2020-03-01"), ("2020-03-01", "2021-01-01")])
+    bad = raw.where(F.col("date") == F.lit(dt.date(2020, 3, 20))).withColumn("pressure", F.lit(None).cast("double"))
+    bad.coalesce(1).write.mode("append").parquet(src)
+    root, ckpt = scratch_path(spark, "t-store"), scratch_path(spark, "t-ckpt")
+    stream_features.run(spark, src, root, ckpt, max_files_per_trigger=1, compact_every=2)
+    want = features.engineer(raw.where(F.col("date") != F.lit(dt.date(2020, 3, 20))).unionByName(bad))
+    assert _same(stream_features.feature_view(spark, root), want)
+    stream_features.compact(spark, root)
+    assert _same(stream_features.feature_view(spark, root), want)
+    rows = spark.read.parquet(stream_features._folder(spark, root, "features"))
+    assert rows.count() == rows.select("location_id", "date").distinct().count()
