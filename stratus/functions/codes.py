@@ -26,5 +26,5 @@ def with_condition(df: DataFrame, code_col: str = "weather_code", label: str = "
 
 def wmo_values_sql() -> str:
     """The same table as a SQL VALUES list (for SQL users and the oracle)."""
-    rows = ", ".join(f"({c}, '{lbl}')" for c, _icon, lbl in WMO_CODES)
-    return f"(values {rows}) as wmo(wmo_code, wmo_label)"
+    rows = ", ".join(f"({c}, '{icon}', '{lbl}')" for c, icon, lbl in WMO_CODES)
+    return f"(values {rows}) as wmo(wmo_code, wmo_icon, wmo_label)"

@@ -26,6 +26,7 @@ SEQ_LEN = 7
 LONG_SEQ_LEN = 500
 HISTORY_START, HISTORY_END = "1996-01-01", "2000-12-31"
 UTC_CLOCK = fx.AS_OF_HOURLY
+LATE_CLOCK = f"{AS_OF} 20:00:00"
 EXPORT_STAMP = f"{AS_OF} 00:00:00"
 
 
@@ -77,9 +78,14 @@ def payload_current(spark, sf_dir) -> DataFrame:
                                                                                "utc_offset_seconds")
 
 
-def stand_in_forecasts(spark, sf_dir) -> DataFrame:
-    """Both stand-in models' next-day forecasts from the latest complete row."""
-    latest = forecast.latest_complete(fx.raw_daily(spark, sf_dir), AS_OF)
+def payload_rows(spark, sf_dir) -> DataFrame:
+    """What live forecasts read: the payload's 41 days, never the whole history."""
+    return payload_daily(spark, sf_dir).drop("weather_code", "has_codes")
+
+
+def stand_in_forecasts(spark, sf_dir, rows=None) -> DataFrame:
+    """Both stand-in models' next-day forecasts from the latest complete payload row."""
+    latest = forecast.latest_complete(payload_rows(spark, sf_dir) if rows is None else rows, AS_OF)
     out = _per_model(latest, ["location_id", "latest_obs_date", "forecast_date"], stand_ins(), "forecast_temp")
     return out.drop("role")
 
@@ -272,7 +278,7 @@ def q_conditions(spark, sf_dir):
 
 def q_tomorrow_condition(spark, sf_dir):
     """Forecast-day label from the payload, else the fallback cascade."""
-    fc = forecast.latest_complete(fx.raw_daily(spark, sf_dir), AS_OF).select("location_id", "forecast_date")
+    fc = forecast.latest_complete(payload_rows(spark, sf_dir), AS_OF).select("location_id", "forecast_date")
     return forecast.tomorrow_condition(fc, payload_daily(spark, sf_dir), payload_current(spark, sf_dir))
 
 
@@ -282,6 +288,27 @@ def q_hourly_24h(spark, sf_dir, by="event"):
     return views.hourly_table(views.next_hours(fx.hourly(spark, sf_dir, by), UTC_CLOCK))
 
 
+def q_hourly_24h_local(spark, sf_dir):
+    """W9 by each place's own clock."""
+    return views.hourly_table(views.next_hours(fx.hourly(spark, sf_dir), UTC_CLOCK, offsets=fx.hourly_offsets(spark, sf_dir)))
+
+
+def q_ten_day_local(spark, sf_dir):
+    """W10 by each place's own date: at this instant some places are a day ahead."""
+    return views.ten_days(payload_daily(spark, sf_dir), LATE_CLOCK, offsets=fx.utc_offsets(spark, sf_dir))
+
+
+def q_today_range_local(spark, sf_dir):
+    """W11 by each place's own date."""
+    return views.today_range(payload_daily(spark, sf_dir), LATE_CLOCK, offsets=fx.utc_offsets(spark, sf_dir))
+
+
+def q_context_series_as_of(spark, sf_dir):
+    """W12 with the cut-off option (Q11)."""
+    fc = stand_in_forecasts(spark, sf_dir).where(F.col("model") == "persistence")
+    return views.context_series(payload_daily(spark, sf_dir), fc, as_of=AS_OF)
+
+
 def q_ten_day(spark, sf_dir):
     """W10, F7."""
     return views.ten_days(payload_daily(spark, sf_dir), AS_OF)
@@ -354,6 +381,37 @@ def q_metrics_csv(spark, sf_dir):
     return files.read_metrics_csv(spark, path)
 
 
+def stored_rows(spark, sf_dir) -> DataFrame:
+    """What is stored up to the as-of day."""
+    return forecast.up_to(fx.raw_daily(spark, sf_dir), AS_OF)
+
+
+def live_keys(spark, sf_dir) -> DataFrame:
+    return payload_daily(spark, sf_dir).select("location_id").distinct().where(fx.live_feed_ok(F.col("location_id")))
+
+
+def q_cached_current(spark, sf_dir):
+    """Current blocks of places without a feed."""
+    return payload.cached_current(stored_rows(spark, sf_dir), live_keys(spark, sf_dir))
+
+
+def q_cached_hourly(spark, sf_dir):
+    """Hourly blocks of places without a feed."""
+    return payload.cached_hourly(stored_rows(spark, sf_dir), live_keys(spark, sf_dir))
+
+
+def q_export_with_fallback(spark, sf_dir):
+    """Places without a feed are forecast and exported from storage; each place once."""
+    ok = fx.live_feed_ok(F.col("location_id"))
+    rows = payload.cached_payload_rows(stored_rows(spark, sf_dir), payload_daily(spark, sf_dir).where(ok))
+    current = payload_current(spark, sf_dir).where(ok).unionByName(q_cached_current(spark, sf_dir))
+    locs = fx.locations(spark, sf_dir)
+    best = metrics.best_model(metrics.metrics(fixture_predictions(spark, sf_dir)))
+    made = stand_in_forecasts(spark, sf_dir, rows.drop("weather_code", "source"))
+    chosen = forecast.choose_forecast(made, files.best_model_for(locs, best))
+    return forecast.export_rows(chosen, current, locs, EXPORT_STAMP)
+
+
 def q_forecast_rejects(spark, sf_dir):
     """With a registry of only the places before "M", the others fall to the default
     model, which made no forecast here: each place is chosen or rejected."""
@@ -382,6 +440,13 @@ QUERIES = {
     "raw_daily": q_raw_daily,
     "archive_ingest": q_archive_ingest,
     "csv_ingest": q_csv_ingest,
+    "cached_current": q_cached_current,
+    "cached_hourly": q_cached_hourly,
+    "export_with_fallback": q_export_with_fallback,
+    "hourly_24h_local": q_hourly_24h_local,
+    "ten_day_local": q_ten_day_local,
+    "today_range_local": q_today_range_local,
+    "context_series_as_of": q_context_series_as_of,
     "sequence_rejects": q_sequence_rejects,
     "forecast_rejects": q_forecast_rejects,
     "archive_rejects": q_archive_rejects,
@@ -472,6 +537,16 @@ _FORECASTS = """(select location_id, latest_obs_date, forecast_date, 'persistenc
 _RANKED_PAYLOAD = """(select *, row_number() over (partition by location_id order by date desc) as rb
   from payload_rows)"""
 
+_CURRENT_SQL = ["temp_mean as temperature_2m", "humidity as relative_humidity_2m", "precipitation",
+                "pressure as pressure_msl", "wind_speed as wind_speed_10m"]
+_LATE_DATE = (f"cast(timestamp '{LATE_CLOCK}' + to_seconds(coalesce((select utc_offset_seconds from offsets o"
+              " where o.location_id = payload_rows_.location_id), 19800)) as date)")
+_POS_LOCAL = f"""(select *, cast(row_number() over ({O.W}) as integer) as rn,
+  count(*) over (partition by location_id) as n,
+  min(case when date = here then rn0 end) over (partition by location_id) as today_rn
+  from (select *, {_LATE_DATE} as here, cast(row_number() over ({O.W}) as integer) as rn0
+        from payload_rows as payload_rows_))"""
+
 _PLACE_LABEL = """concat_ws(', ', name,
   case when admin2 is not null and admin2 <> '' and admin2 <> name then admin2 end,
   case when admin1 is not null and admin1 <> '' and admin1 is distinct from admin2 and admin1 <> name then admin1 end,
@@ -561,7 +636,7 @@ ORACLES = {
         left join current_obs c on c.location_id = l.location_id
         left join wmo w on p.weather_code = w.wmo_code"""),
     "hourly_24h": O.sql(f"""select location_id, ts, strftime(ts, '%I:00 %p') as hour,
-        coalesce(wmo_label, 'Unknown') as condition,
+        coalesce(wmo_icon, '❓') as icon, coalesce(wmo_label, 'Unknown') as condition,
         printf('%.1f°C', temperature_2m) as temperature, printf('%.0f%%', relative_humidity_2m) as humidity,
         printf('%.1f km/h', wind_speed_10m) as wind_speed, printf('%d%%', precipitation_probability) as rain_prob
         from (select *, row_number() over (partition by location_id order by ts) as rn from (
@@ -570,7 +645,7 @@ ORACLES = {
           from hourly h) where ts >= st) q
         left join wmo on weather_code = wmo_code where rn <= 24"""),
     "ten_day": O.sql(f"""select location_id, date, strftime(date, '%A, %b %d') as day, temp_max, temp_min,
-        coalesce(wmo_label, 'Unknown') as condition
+        coalesce(wmo_icon, '❓') as icon, coalesce(wmo_label, 'Unknown') as condition
         from {_POS} p left join wmo on weather_code = wmo_code
         where rn >= coalesce(today_rn, greatest(1, n - 9)) and rn < coalesce(today_rn, greatest(1, n - 9)) + 10"""),
     "today_range": O.sql(f"""select location_id, date, temp_max as today_max, temp_min as today_min,
@@ -629,6 +704,30 @@ ORACLES = {
 }
 
 
+def _swap(base: str, old: str, new: str) -> str:
+    """An oracle with one part replaced."""
+    assert old in ORACLES[base], (base, old)
+    return ORACLES[base].replace(old, new)
+
+
+ORACLES.update({
+    "cached_current": O.sql(f"""select location_id, {', '.join(_CURRENT_SQL)} from (
+        select *, row_number() over (partition by location_id order by date desc) as rb
+        from raw_asof where location_id >= 'M') where rb = 1"""),
+    "cached_hourly": _swap("hourly_from_daily", "from raw, (select", f"""from (select * from (
+        select *, row_number() over (partition by location_id order by date desc) as rb
+        from raw_asof where location_id >= 'M') where rb <= 41), (select"""),
+    "export_with_fallback": ORACLES["forecast_export"],
+    "hourly_24h_local": _swap("hourly_24h", f"date_trunc('hour', timestamp '{UTC_CLOCK}')",
+        f"date_trunc('hour', timestamp '{UTC_CLOCK}' + to_seconds(case when location_id >= 'd'"
+        " then (ascii(location_id) % 7 - 3) * 3600 else 19800 end))"),
+    "ten_day_local": _swap("ten_day", _POS, _POS_LOCAL),
+    "today_range_local": _swap("today_range", _POS, _POS_LOCAL),
+    "context_series_as_of": _swap("context_series", _RANKED_PAYLOAD, _RANKED_PAYLOAD.replace(
+        "from payload_rows)", f"from payload_rows where date <= {O.AS_OF})")),
+})
+
+
 # ---------------------------------------------------------------- places that grow with the data
 def _family(base: str, **views: str) -> str:
     """An oracle of the region family over another family of places."""
@@ -715,14 +814,14 @@ def q_seq_gbt_fit_score(spark, sf_dir):
 def q_rf_forecast(spark, sf_dir):
     """M8: next-day forecast from the latest complete row up to as_of."""
     from stratus.plans import models as M
-    return M.forecast_forest(forest_model(spark, sf_dir), fx.raw_daily(spark, sf_dir), AS_OF)
+    return M.forecast_forest(forest_model(spark, sf_dir), payload_rows(spark, sf_dir), AS_OF)
 
 
 def q_seq_forecast(spark, sf_dir):
     """M9: next-day forecast from the last 7 complete rows up to as_of."""
     from stratus.plans import models as M
     model, stats = sequence_model(spark, sf_dir)
-    out, _ = M.forecast_sequence(model, stats, fx.raw_daily(spark, sf_dir), AS_OF, M.sequence_name("linear"))
+    out, _ = M.forecast_sequence(model, stats, payload_rows(spark, sf_dir), AS_OF, M.sequence_name("linear"))
     return out
 
 
@@ -761,7 +860,7 @@ def q_live_export(spark, sf_dir):
     model by test RMSE (A4, J5), current observation and place (J4), alert
     cascade (P8), written as the JSON document (S10) and read back."""
     from stratus.plans import models as M
-    raw = fx.raw_daily(spark, sf_dir)
+    raw = payload_rows(spark, sf_dir)
     forest = forest_model(spark, sf_dir)
     seq_model, stats = sequence_model(spark, sf_dir)
     seq_name = M.sequence_name("linear")
@@ -790,6 +889,113 @@ def q_retrain_places(spark, sf_dir):
     return result.outputs["metrics"]
 
 
+def q_scored_rows(spark, sf_dir):
+    """M2, M7: what the fitted models scored, per place and model."""
+    finite = F.count_if(F.col("predicted").isNotNull() & ~F.isnan("predicted") & (F.abs("predicted") < 1e6))
+    return real_predictions(spark, sf_dir).groupBy("location_id", "model").agg(
+        F.count(F.lit(1)).alias("rows"), finite.alias("finite"), F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"), F.round(F.sum("actual"), 4).alias("actual_sum"))
+
+
+def q_forecast_dates(spark, sf_dir):
+    """M8, M9: which day each model saw last and which it forecasts."""
+    rows = q_rf_forecast(spark, sf_dir).unionByName(q_seq_forecast(spark, sf_dir))
+    return rows.select("location_id", "model", "latest_obs_date", "forecast_date",
+                       (F.abs("forecast_temp") < 1e6).alias("finite"))
+
+
+def q_scaler_inverse(spark, sf_dir):
+    """M4, M5: the inverse of the scaled target is the target."""
+    back = scaling.unscale(F.col(f"{TARGET}_s"), F.col(f"{TARGET}_min"), F.col(f"{TARGET}_max"))
+    return scaled_processed(spark, sf_dir).groupBy("location_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(F.sum(back), 4).alias("target_sum"))
+
+
+def q_model_reload(spark, sf_dir):
+    """A stored and reloaded forest predicts what the fitted one does."""
+    from stratus.plans import models as M
+    model, path = forest_model(spark, sf_dir), scratch_path(spark, "forest-copy")
+    M.save_pipeline(model, path)
+    rows = split_processed(spark, sf_dir)
+    a = M.score_forest(model, rows).select("location_id", "date", F.col("predicted").alias("a"))
+    b = M.score_forest(M.load_pipeline(path), rows).select("location_id", "date", F.col("predicted").alias("b"))
+    return a.join(b, ["location_id", "date"]).groupBy("location_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("a") == F.col("b")).alias("equal"))
+
+
+def q_sequence_residuals(spark, sf_dir):
+    """M6: the intercept fit's training residuals sum to zero."""
+    from stratus.plans import models as M
+    model, _ = sequence_model(spark, sf_dir)
+    data, _ = M.sequence_dataset(processed(spark, sf_dir), SEQ_LEN)
+    out = model.transform(data.where(F.col("seq_split") == "train"))
+    residual = F.col("predicted_s") - F.col(f"{TARGET}_s")
+    return out.agg(F.count(F.lit(1)).alias("rows"), (F.abs(F.avg(residual)) < 1e-6).alias("centred"))
+
+
+def q_importance_summary(spark, sf_dir):
+    """M3, K1: importances over the 40 features sum to one; the top 15 come in order."""
+    from stratus.plans import models as M
+    every = M.importances(spark, forest_model(spark, sf_dir))
+    top = metrics.top_importances(every)
+    return every.agg(F.countDistinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                     (F.min("importance") >= 0).alias("nonnegative")).withColumn("top", F.lit(top.count()).cast("long"))
+
+
+def q_forest_vs_persistence(spark, sf_dir):
+    """M1, A1: the forest beats the persistence stand-in on every place."""
+    from stratus.plans import models as M
+    forest = metrics.metrics(M.score_forest(forest_model(spark, sf_dir), split_processed(spark, sf_dir)))
+    base = metrics.metrics(fixture_predictions(spark, sf_dir)).where(F.col("model") == "persistence")
+    return base.select("location_id", F.round("rmse", 6).alias("persistence_rmse")).join(
+        forest.select("location_id", F.col("rmse").alias("forest")), "location_id").select(
+        "location_id", "persistence_rmse", (F.col("forest") < F.col("persistence_rmse")).alias("forest_beats"))
+
+
+def q_stored_metrics(spark, sf_dir):
+    """Metrics stored by the training job equal those of its stored predictions."""
+    from stratus.plans import jobs
+    from stratus.plans import models as M
+    result = jobs.train(spark, fx.raw_daily(spark, sf_dir), forest=M.ForestParams(num_trees=10, max_depth=6))
+    stored = files.read_metrics_csv(spark, f"{result.root}/metrics_csv")
+    again = metrics.metrics(spark.read.parquet(f"{result.root}/predictions"))
+    both = stored.join(again.select("location_id", "model", "n", F.col("rmse").alias("r"), F.col("mae").alias("m")),
+                       ["location_id", "model"])
+    return both.select("location_id", "model", F.col("n").alias("rows"),
+                       ((F.abs(F.col("rmse") - F.col("r")) < 1e-9) & (F.abs(F.col("mae") - F.col("m")) < 1e-9)).alias("equal"))
+
+
+QUERIES.update({
+    "scored_rows": q_scored_rows,
+    "forecast_dates": q_forecast_dates,
+    "scaler_inverse": q_scaler_inverse,
+    "model_reload": q_model_reload,
+    "sequence_residuals": q_sequence_residuals,
+    "importance_summary": q_importance_summary,
+    "forest_vs_persistence": q_forest_vs_persistence,
+    "stored_metrics": q_stored_metrics,
+})
+
+_MODELS = "(values ('Random Forest'), ('seq_linear')) as models(model)"
+ORACLES.update({
+    "scored_rows": O.sql(f"""select location_id, model, count(*) as rows, count(*) as finite, min(date) as first_date,
+        max(date) as last_date, round(sum(target_temp), 4) as actual_sum from split, {_MODELS}
+        where split = 'test' group by location_id, model"""),
+    "forecast_dates": O.sql(f"""select location_id, model, latest_obs_date, forecast_date, true as finite
+        from latest, {_MODELS}"""),
+    "scaler_inverse": O.sql("select location_id, count(*) as rows, round(sum(target_temp), 4) as target_sum from split group by location_id"),
+    "model_reload": O.sql("""select location_id, count(*) as rows, count(*) as equal from split
+        where split = 'test' group by location_id"""),
+    "sequence_residuals": O.sql(f"""select count(*) as rows, true as centred from split
+        where split = 'train' and rn >= {SEQ_LEN}"""),
+    "importance_summary": O.sql(f"select cast({len(TABULAR_FEATURES)} as bigint) as features, 1.0::double as total,"
+                                " true as nonnegative, cast(15 as bigint) as top"),
+    "forest_vs_persistence": O.sql("""select location_id, round(rmse, 6) as persistence_rmse, true as forest_beats
+        from model_metrics where model = 'persistence'"""),
+    "stored_metrics": O.sql(f"""select location_id, model, count(*) as rows, true as equal from split, {_MODELS}
+        where split = 'test' group by location_id, model"""),
+})
+
 QUERIES.update({
     "training_pipeline": q_training_pipeline,
     "retrain_places": q_retrain_places,

@@ -228,6 +228,12 @@ def utc_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("utc_offset_seconds"))
 
 
+def hourly_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offset of each hourly place from its name; none for names before "d" (default applies)."""
+    return hourly(spark, sf_dir).select("location_id").distinct().withColumn(
+        "utc_offset_seconds", F.when(F.col("location_id") >= "d", (F.ascii("location_id") % 7 - 3) * 3600).cast("int"))
+
+
 def land_forecast_payloads(spark: SparkSession, sf_dir: str, path: str,
                            as_of: str = AS_OF_DAILY) -> None:
     """Write one forecast payload document per location (JSON lines)."""

@@ -146,3 +146,21 @@ def cached_payload_rows(stored: DataFrame, live: DataFrame) -> DataFrame:
               .withColumn("weather_code", F.lit(0)).withColumn("source", F.lit("cached")))
     cols = ["location_id", "date", *RAW_ORDER, "weather_code", "source"]
     return live.withColumn("source", F.lit("live")).select(cols).unionByName(cached.select(cols))
+
+
+def cached_current(stored: DataFrame, live_keys: DataFrame) -> DataFrame:
+    """The current block of places without a live payload, from their last stored row."""
+    last = F.max_by(F.struct(*RAW_ORDER), "date")
+    rows = (stored.join(live_keys.select("location_id").distinct(), "location_id", "left_anti")
+            .groupBy("location_id").agg(last.alias("r")))
+    block = {"temperature_2m": "temp_mean", "relative_humidity_2m": "humidity", "precipitation": "precipitation",
+             "pressure_msl": "pressure", "wind_speed_10m": "wind_speed"}
+    return rows.select("location_id", *[F.coalesce(F.col(f"r.{block[k]}"), F.lit(v)).alias(k)
+                                        for k, v in CURRENT_DEFAULTS.items()])
+
+
+def cached_hourly(stored: DataFrame, live_keys: DataFrame) -> DataFrame:
+    """The hourly block of places without a live payload: their last stored days by the hour."""
+    from stratus.functions.hourly import hourly_from_daily
+    keys = live_keys.select("location_id").distinct()
+    return hourly_from_daily(last_rows(stored.join(keys, "location_id", "left_anti"), FALLBACK_ROWS))
