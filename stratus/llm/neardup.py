@@ -11,12 +11,14 @@
    component.  Pairs are confirmed on full shingle sets; links are contracted to
    components.  Then the centre leaves the bucket (all it could link is settled) and
    what still spans several components proposes the next star, until no bucket spans
-   two components.  A round never has more pairs than bucket rows.
-5. After ``STARS`` rounds the rows of buckets that still span components are bucketed
-   anew by every two of their document's remaining keys: documents that met in one
-   bucket by chance, say over a passage that many share, part; a pair at the
-   threshold shares two keys or more but for a chance of about ``MISS``.  When all
-   remaining pairs are at most ``FINISH`` per bucket row, they are confirmed at once.
+   two components.  A round never has more pairs than bucket rows.  The centre comes
+   from the bucket's smallest component, so a bucket needs as many rounds as it has
+   members outside its largest one, not as many as it has members.
+5. When the remaining pairs between components are at most ``FINISH`` per candidate
+   document, they are confirmed at once.  Should ``STARS`` rounds not get there, the
+   rows that remain are bucketed anew by every two of their document's keys: documents
+   that met in one bucket by chance, say over a passage that many share, part; a pair
+   at the threshold shares two keys or more but for a chance of about ``MISS``.
 
 Everything is keyed joins and aggregates over tables in the shared folder: hot
 buckets and hot copies are skewed keys of plain joins (split by adaptive execution)
@@ -44,7 +46,7 @@ from stratus.session import materialize
 
 ROWS = 7
 MISS = 1e-5
-STARS = 2
+STARS = 12
 FINISH = 4
 
 
@@ -184,10 +186,12 @@ def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[Da
 
 
 def _span(buckets: DataFrame) -> DataFrame:
-    """Per bucket that holds two components or more: its centre, and how many rows and pairs."""
-    return (buckets.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep")).alias("centre"),
-                                       F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"))
-            .where("lo != hi").select("key", "centre", "n"))
+    """Per bucket of two components or more: a centre from the smallest, its rows and its pairs across."""
+    parts = buckets.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep")).alias("rep"))
+    return (parts.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.struct("m", F.xxhash64("rep"))).alias("centre"),
+                                     F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"),
+                                     ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across"))
+            .where("k > 1").select("key", "centre", "n", "across"))
 
 
 def _narrowed(buckets: DataFrame) -> DataFrame:
@@ -211,17 +215,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
              .groupBy("doc_id").agg(F.max("text").alias("text")))
     sets = materialize(texts.mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "shingle-sets")
     comp = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"))
+    candidates = wanted.count()
     buckets = buckets.withColumn("c", F.col("rep"))
     tried, rounds = None, 0
     while True:
         if rounds == STARS:
             buckets = _narrowed(buckets)
         centres = materialize(_span(buckets), "centres")
-        size = centres.agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
-        if not size[0]:
+        across = centres.agg(F.sum("across")).first()[0]
+        if not across:
             break
         left = buckets.join(centres.select("key", "centre"), "key")
-        if size[1] <= FINISH * size[0]:
+        if across <= FINISH * candidates:
             other = buckets.select("key", F.col("rep").alias("b"), F.col("c").alias("d"))
             pairs = (left.join(other, "key").where("rep < b AND c != d").select(F.col("rep").alias("a"), "b"))
             rest = None

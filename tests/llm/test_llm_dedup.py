@@ -61,6 +61,7 @@ def test_components_match_brute_force(frame, words, n, percent):
 
 def test_star_rounds_and_narrowing_lose_nothing(frame, words, monkeypatch):
     monkeypatch.setattr(neardup, "FINISH", -1)          # never confirm all remaining pairs at once
+    monkeypatch.setattr(neardup, "STARS", 3)
     passage = words(60)
     rows = [(i, " ".join(passage + words(25))) for i in range(60)]
     rows += [(100 + i, " ".join(passage + words(6))) for i in range(20)]
