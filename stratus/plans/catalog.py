@@ -828,7 +828,7 @@ def q_seq_forecast(spark, sf_dir):
 def q_tuning(spark, sf_dir):
     """Window length x regularisation grid on the chronological split."""
     from stratus.plans import models as M
-    return M.tune_sequence(processed(spark, sf_dir), seq_lens=(3, 7, 14), reg_params=(0.0, 0.1))
+    return M.tune_sequence(processed(spark, sf_dir), seq_lens=(3, 7, 14))
 
 
 def real_predictions(spark, sf_dir) -> DataFrame:

@@ -22,11 +22,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,21 +104,20 @@ def sequence_dataset(processed: DataFrame, seq_len: int = DEFAULT_SEQ_LEN) -> tu
     s = split.with_split(processed)
     stats = scaling.fit_minmax(s)              # persisted scaler (M9); evaluated only when used
     seq = sequences.with_sequences(scaling.with_minmax(s), seq_len)
-    data = seq.select("location_id", "date", "seq_split", TARGET, f"{TARGET}_s",
+    data = seq.select("location_id", "date", "rn", "split_at", "seq_split", TARGET, f"{TARGET}_s",
                       f"{TARGET}_min", f"{TARGET}_max",
                       array_to_vector(sequences.flat_features("seq")).alias("features"))
     return data, stats
 
 
 def sequence_estimator(kind: str = "linear", **params):
+    """The regressor of a kind; ``params`` are MLlib's own parameter names."""
     k = check_kind(kind)
     common = dict(featuresCol="features", labelCol=f"{TARGET}_s", predictionCol="predicted_s")
     if k == "linear":
-        return LinearRegression(solver="auto", regParam=params.get("reg_param", 0.0),
-                                elasticNetParam=params.get("elastic_net", 0.0), **common)
-    return GBTRegressor(maxIter=params.get("max_iter", 20), maxDepth=params.get("max_depth", 5),
-                        stepSize=params.get("step_size", 0.1), seed=params.get("seed", 42),
-                        cacheNodeIds=True, checkpointInterval=10, **common)
+        return LinearRegression(**({"solver": "auto", "regParam": 0.0} | params | common))
+    defaults = {"maxIter": 20, "maxDepth": 5, "stepSize": 0.1, "seed": 42}
+    return GBTRegressor(**(defaults | params | common), cacheNodeIds=True, checkpointInterval=10)
 
 
 def fit_sequence(data: DataFrame, kind: str = "linear", **params):
@@ -168,33 +165,45 @@ def forecast_sequence(model, stats: DataFrame, rows: DataFrame, as_of: str, name
 
 
 # ---------------------------------------------------------------- tuning
-def tune_sequence(processed: DataFrame, seq_lens=(3, 7, 14), reg_params=(0.0, 0.01, 0.1),
-                  elastic_nets=(0.0,), kind: str = "linear") -> DataFrame:
-    """Grid over window length x regressor parameters, scored by test RMSE
-    on the chronological split (not random folds: those would leak the future).
+GRIDS = {"linear": [{"regParam": r, "elasticNetParam": 0.0} for r in (0.0, 0.01, 0.1)],
+         "gbt": [{"maxDepth": d, "maxIter": 20, "stepSize": s} for d in (3, 5) for s in (0.1, 0.3)]}
+VALIDATION_SHARE = 0.2
 
-    Each window length builds its dataset once; ``fitMultiple`` fits every
-    parameter map on it.  Only the small grid loops on the driver.
+
+def tune_sequence(processed: DataFrame, seq_lens=(3, 7, 14), kind: str = "linear",
+                  grid: list[dict] | None = None, parallelism: int = 4) -> DataFrame:
+    """Grid over window length x regressor parameters (``seq_len, kind, params, rmse, chosen``).
+
+    Scored on the tail of each place's *training* rows; the test split stays unseen.
+    Each window length builds its dataset once; its fits run side by side as Spark jobs
+    (``parallelism`` at a time), and one aggregate scores all of them.
     """
-    spark = processed.sparkSession
-    evaluator = RegressionEvaluator(labelCol="actual", predictionCol="predicted", metricName="rmse")
-    rows = []
+    from multiprocessing.pool import ThreadPool
+    grid = grid or GRIDS[check_kind(kind)]
+    results = []
     for seq_len in seq_lens:
         data, _ = sequence_dataset(processed, seq_len)
-        data = materialize(data, f"tuning-seq{seq_len}")
-        train = data.where(F.col("seq_split") == "train")
-        est = sequence_estimator(kind)
-        if check_kind(kind) == "linear":
-            grid = (ParamGridBuilder().addGrid(est.regParam, list(reg_params))
-                    .addGrid(est.elasticNetParam, list(elastic_nets)).build())
-        else:
-            grid = ParamGridBuilder().addGrid(est.maxDepth, [3, 5]).build()
-        for index, model in est.fitMultiple(train, grid):
-            scored = score_sequence(model, data, sequence_name(kind))
-            rmse = evaluator.evaluate(scored)
-            params = {p.name: v for p, v in grid[index].items()}
-            rows.append((seq_len, kind, str(sorted(params.items())), float(rmse)))
-    return spark.createDataFrame(rows, "seq_len int, kind string, params string, rmse double")
+        known = materialize(data.where(F.col("seq_split") == "train"), f"tuning-seq{seq_len}")
+        tail = F.col("rn") > F.floor(F.col("split_at") * (1 - VALIDATION_SHARE))
+        fit_rows, check_rows = known.where(~tail), known.where(tail)
+        estimators = []
+        for params in grid:
+            est = sequence_estimator(kind)
+            estimators.append(est.copy({est.getParam(k): v for k, v in params.items()}))
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(lambda est: est.fit(fit_rows), estimators)
+        scored = check_rows
+        for i, model in enumerate(models):
+            scored = model.copy({model.getParam("predictionCol"): f"p{i}"}).transform(scored)
+        span = F.when(F.col(f"{TARGET}_max") > F.col(f"{TARGET}_min"),
+                      F.col(f"{TARGET}_max") - F.col(f"{TARGET}_min")).otherwise(1.0)
+        errors = scored.agg(*[F.sqrt(F.avg(F.pow((F.col(f"p{i}") - F.col(f"{TARGET}_s")) * span, 2))).alias(f"e{i}")
+                              for i in range(len(models))]).first()
+        results += [(seq_len, kind, str(sorted(p.items())), float(errors[i])) for i, p in enumerate(grid)]
+    best = min(range(len(results)), key=lambda i: (results[i][3], i))
+    rows = [(*r, i == best) for i, r in enumerate(results)]
+    return processed.sparkSession.createDataFrame(
+        rows, "seq_len int, kind string, params string, rmse double, chosen boolean")
 
 
 # ---------------------------------------------------------------- persistence

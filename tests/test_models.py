@@ -79,9 +79,33 @@ def test_retrain_selected_places(spark):
 def test_gbt_sequence_model_fits_and_forecasts(spark):
     processed = features.engineer(series(spark, 120))
     data, stats = M.sequence_dataset(processed, 5)
-    model = M.fit_sequence(data, "GBT", max_iter=3, max_depth=2)
+    model = M.fit_sequence(data, "GBT", maxIter=3, maxDepth=2)
     assert M.score_sequence(model, data, M.sequence_name("gbt")).count() == 18   # 90 rows, split 72
     out, _ = M.forecast_sequence(model, stats, series(spark, 120), "2030-01-01", "seq_gbt", 5)
     assert out.count() == 1
 
 
+def test_tuning_scores_on_the_training_tail_and_picks_one(spark):
+    processed = features.engineer(series(spark, 120))
+    grid = [{"regParam": 0.0}, {"regParam": 10.0}]
+    rows = M.tune_sequence(processed, seq_lens=(3, 5), grid=grid).collect()
+    assert len(rows) == 4 and sum(r.chosen for r in rows) == 1
+    best = min(rows, key=lambda r: r.rmse)
+    assert best.chosen and all(r.rmse == r.rmse for r in rows)
+
+
+def test_retrained_and_tuned_models_serve(spark):
+    from stratus.plans import jobs
+    from stratus.session import scratch_path
+    raw = series(spark, 150, loc="A").unionByName(series(spark, 150, loc="B"))
+    small = M.ForestParams(num_trees=3, max_depth=3)
+    serving = scratch_path(spark, "t-serving")
+    first = jobs.train(spark, raw, forest=small)
+    jobs.register(spark, serving, first.root)
+    again = jobs.retrain_locations(spark, raw, spark.createDataFrame([("B",)], "location_id string"), serving=serving, forest=small)
+    roots = {r.location_id: r.root for r in jobs.serving_registry(spark, serving).collect()}
+    assert roots == {"A": first.root, "B": again.root}
+    forecasts, rejects = jobs.serve(spark, serving, raw, "2030-01-01")
+    assert {r.location_id: r.root for r in forecasts.collect()} == roots and rejects.count() == 0
+    tuned = jobs.tune(spark, raw, serving, seq_lens=(3,), forest=small)
+    assert {r.root for r in jobs.serving_registry(spark, serving).collect()} == {tuned.root}
