@@ -3,6 +3,8 @@ import re
 import numpy as np
 import pytest
 
+from llm_fixtures import frame, odd_rows, words  # noqa: F401
+
 from stratus.llm import decontam, neardup, repeats
 
 

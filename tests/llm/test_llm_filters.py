@@ -4,6 +4,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
+from llm_fixtures import frame, odd_rows, words  # noqa: F401
+
 from stratus.llm import quality, text as X, toxicity
 
 

@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from llm_fixtures import frame, odd_rows, words  # noqa: F401
+
 from stratus.llm import lm, pieces, shards, text as X, toolcalls
 
 

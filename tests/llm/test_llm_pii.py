@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from llm_fixtures import frame  # noqa: F401
+
 from stratus.llm import pii
 
 ROWS = [
