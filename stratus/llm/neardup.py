@@ -266,8 +266,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -
              .where("count > 1").select(F.col("doc_id").alias("_id")))
     again = materialize(again, "repeated-ids")
     leave = materialize(gone.unionByName(again).distinct(), "not-kept")
-    rest = docs.join(leave, F.col("doc_id") == F.col("_id"), "left_anti")
+    d, same = docs.alias("d"), F.col("d.doc_id") == F.col("e._id")
+    rest = d.join(leave.alias("e"), same, "left_anti")
     order = ["text", *(c for c in docs.columns if c != "text")]
-    one = (docs.join(again, F.col("doc_id") == F.col("_id"), "left_semi")
-           .groupBy("doc_id").agg(F.max(F.struct(*(F.col(f"`{c}`") for c in order))).alias("_row")).select("_row.*"))
+    one = (d.join(again.alias("e"), same, "left_semi").groupBy("doc_id")
+           .agg(F.max(F.struct(*(F.col(f"`{c}`") for c in order))).alias("_row")).select("_row.*"))
     return rest.unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))

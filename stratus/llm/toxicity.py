@@ -22,8 +22,8 @@ shuffle and keeps a fixed-size table.
 
 Defined results: null and empty texts have no passage and score as a passage
 whose words are all unknown; null ids and repeated rows give one row each; an
-empty table gives none; without both classes in training every score is the
-share of toxic rows among those labelled (0 when none is).
+empty table gives none; without both classes in training nothing can be told apart
+and every score is 0.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ def _worst(logit: np.ndarray, doc: np.ndarray, n: int, empty: float) -> np.ndarr
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+    return np.where(x == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
 def fit(buf: X.Buffer, toxic: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS,
@@ -120,8 +120,7 @@ def fit(buf: X.Buffer, toxic: np.ndarray, buckets: int = BUCKETS, dim: int = DIM
     """Train embeddings and softmax jointly (full-batch Adam) on labelled documents."""
     base = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < base < 1:
-        edge = np.clip(base, 1e-6, 1 - 1e-6)
-        return Model(np.zeros(buckets, np.int64), 0.0, float(np.log(edge / (1 - edge))))
+        return Model(np.zeros(buckets, np.int64), 0.0, -np.inf)
     buf = buf.lower_ascii()
     words = X.split_words(buf, BREAK)
     at, token = distinct_words(buf, words)
