@@ -37,7 +37,7 @@ def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     redacted = pii.redact(docs)
     if "n_chars" not in redacted.columns:
         return redacted
-    return redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).cast("long"))
+    return redacted.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast("long"))
 
 
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
