@@ -11,9 +11,11 @@
    component.  Pairs are confirmed on full shingle sets; links are contracted to
    components.  Then the centre leaves the bucket (all it could link is settled) and
    what still spans several components proposes the next star, until no bucket spans
-   two components.  A round never has more pairs than bucket rows.  The centre comes
-   from the bucket's smallest component, so a bucket needs as many rounds as it has
-   members outside its largest one, not as many as it has members.
+   two components.  A round never has more pairs than bucket rows.  In the first
+   ``HUBS`` rounds the centre is the member that meets most others over all its
+   buckets, often the text that the others are copies of; later it comes from the
+   bucket's smallest component, so a bucket needs as many rounds as it has members
+   outside its largest one, not as many as it has members.
 5. When the remaining pairs between components are at most ``FINISH`` per candidate
    document, they are confirmed at once.  Should ``STARS`` rounds not get there, the
    rows that remain are bucketed anew by every two of their document's keys: documents
@@ -46,7 +48,8 @@ from stratus.session import materialize
 
 ROWS = 7
 MISS = 1e-5
-STARS = 12
+STARS = 6
+HUBS = 2
 FINISH = 4
 
 
@@ -179,16 +182,22 @@ def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[Da
         "doc_id", "n_shingles", F.col("doc_id").alias("rep"))
     reps = usable.join(least.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     rows = reps.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("rep"))
-    shared = (rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-              .where("lo != hi").select("key"))
-    buckets = materialize(rows.join(materialize(shared, "shared-keys"), "key").distinct(), "buckets")
+    shared = (rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n"))
+              .where("lo != hi").select("key", "n"))
+    shared = materialize(shared, "shared-keys")
+    buckets = materialize(rows.join(shared.select("key"), "key").distinct(), "bucket-rows")
+    meets = (buckets.join(shared, "key").groupBy("rep").agg(F.sum("n").alias("meets")))
+    buckets = materialize(buckets.join(meets, "rep"), "buckets")
     return known.unionByName(rest), buckets
 
 
-def _span(buckets: DataFrame) -> DataFrame:
-    """Per bucket of two components or more: a centre from the smallest, its rows and its pairs across."""
-    parts = buckets.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"), F.min_by("rep", F.xxhash64("rep")).alias("rep"))
-    return (parts.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.struct("m", F.xxhash64("rep"))).alias("centre"),
+def _span(buckets: DataFrame, hubs: bool) -> DataFrame:
+    """Per bucket of two components or more: its centre, its rows and its pairs across components."""
+    parts = buckets.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"),
+                                            F.min_by(F.struct("rep", "meets"), F.struct(-F.col("meets"), "rep")).alias("r"))
+    parts = parts.select("key", "c", "m", "r.rep", "r.meets")
+    rank = F.struct(-F.col("meets"), "rep") if hubs else F.struct("m", -F.col("meets"), "rep")
+    return (parts.groupBy("key").agg(F.min_by(F.struct("rep", "c"), rank).alias("centre"),
                                      F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"),
                                      ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across"))
             .where("k > 1").select("key", "centre", "n", "across"))
@@ -196,10 +205,10 @@ def _span(buckets: DataFrame) -> DataFrame:
 
 def _narrowed(buckets: DataFrame) -> DataFrame:
     """Rows of buckets that span components, bucketed by every two keys of a document (at most its bands)."""
-    alive = _span(buckets).select("key")
-    keys = (buckets.join(alive, "key").groupBy("rep", "c").agg(F.sort_array(F.collect_set("key")).alias("keys")))
+    alive = _span(buckets, False).select("key")
+    keys = (buckets.join(alive, "key").groupBy("rep", "c", "meets").agg(F.sort_array(F.collect_set("key")).alias("keys")))
     two = F.expr("flatten(transform(keys, (x, i) -> transform(filter(keys, (y, j) -> j > i), y -> xxhash64(x, y))))")
-    return materialize(keys.select(F.explode(two).alias("key"), "rep", "c"), "narrowed")
+    return materialize(keys.select(F.explode(two).alias("key"), "rep", "c", "meets"), "narrowed")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -221,7 +230,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     while True:
         if rounds == STARS:
             buckets = _narrowed(buckets)
-        centres = materialize(_span(buckets), "centres")
+        centres = materialize(_span(buckets, rounds < HUBS), "centres")
         across = centres.agg(F.sum("across")).first()[0]
         if not across:
             break
@@ -233,7 +242,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         else:
             pairs = left.where("c != centre.c").select(
                 F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
-            rest = left.where("rep != centre.rep").select("key", "rep")
+            rest = left.where("rep != centre.rep").select("key", "rep", "meets")
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
