@@ -4,8 +4,8 @@ Model.  Interpolated absolute discounting over words and an end token:
 
     P(w | ctx) = a(ctx, w) + rest(ctx) * P(w | shorter ctx)
 
-with a = (count - DISCOUNT) / count(ctx) for n-grams seen at least ``MIN_COUNT``
-times, rest = what the kept a's of the context leave, and the exact add-half
+with a = (count - DISCOUNT) / count(ctx) for n-grams seen at least ``min_count``
+times (1 keeps every n-gram; the registered query does), rest = what the kept a's of the context leave, and the exact add-half
 unigram at the bottom.  a and rest are stored as one byte each (log10 in steps of
 1 / STEPS).
 
@@ -20,7 +20,7 @@ numbers too.  Files are memory-mapped; a task keeps nothing but what it touches.
 Counting.  Tasks count the n-grams of their own documents, send them packed and
 sorted per shard, and one task per shard merges and writes its file.  Order n is
 counted after order n - 1 is written, and only n-grams whose two shorter parts
-were kept are sent: none that could reach ``MIN_COUNT`` is lost.
+were kept are sent: none that could reach ``min_count`` is lost.
 
 Scoring has no shuffle: each task looks its distinct n-grams up.
 
@@ -49,6 +49,7 @@ from stratus.llm import text as X
 from stratus.session import scratch_path
 
 ORDER = 3
+#: Default of ``min_count``; the registered query passes 1.
 MIN_COUNT = 2
 DISCOUNT = 0.75
 STEPS = 32

@@ -63,7 +63,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(table(spark, sf_dir, "documents"), min_count=1)
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

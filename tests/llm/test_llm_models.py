@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 
 from llm_fixtures import frame, odd_rows, words  # noqa: F401
 
-from stratus.llm import lm, pieces, shards, text as X, toolcalls
+from stratus.llm import lm, pieces, queries, shards, text as X, toolcalls
 
 
 # Pieces -----------------------------------------------------------------------
@@ -147,6 +147,25 @@ def test_scores_match_a_model_of_dictionaries(frame, words, odd_rows, monkeypatc
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
 
 
+def test_registered_query_keeps_ngrams_seen_once(spark, frame, words, tmp_path):
+    rows = [(i, " ".join(words(12))) for i in range(60)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows += [(i, t) for i, t in zip(held, learned)]          # held-out copies of texts that training holds once
+    frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    total, score = plain_model(rows, 1)
+    cut = plain_model(rows, 2)[1]
+    got = {r.doc_id: r for r in queries.op9_language_model(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        n, known, base, full = score(t)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total)
+        assert got[i].base_score == pytest.approx(base, rel=1e-9)
+        assert abs(got[i].score - full) <= 0.03 * n
+    for i, t in zip(held, learned):
+        assert got[i].held_out and got[i].score > cut(t)[3] + 0.3 * got[i].n_tokens
+
+
 def test_probabilities_sum_to_about_one(frame, words):
     rows = [(i, " ".join(words(4) + ["red", "green", "blue"] * 3)) for i in range(0, 60)]
     docs = frame(rows).selectExpr("text", "true AS training")
