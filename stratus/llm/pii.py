@@ -3,14 +3,18 @@
 Base rules find e-mail addresses, IP addresses, card numbers and phone numbers with
 regular expressions and validate them; these spans always stay.  High-recall
 generators then propose further, overlapping spans: spelled-out addresses, and every
-longer run of digits as card and as phone number, every dotted quad.  Boosted trees
-score the proposals from their format and from the text around them; per kind, the
-cut-off is the least score at which proposals are right often enough.  Proposals
-above it that touch no base span and no better proposal are added.
+longer run of digits as card and as phone number, every dotted quad.  A proposal must
+be valid in its normalised form ('[at]', '[dot]' and separators undone, then checks
+like those of the base rules).  Boosted trees score the valid proposals from their
+format and from the text around them; per kind, the cut-off is the least score at
+which the proposals that touch no base span are right often enough.  Those above it
+that touch no better proposal are added.
 
 The trees learn from a bounded number of proposals (``TRAIN_ROWS``, lowest text
-hashes first) whose labels are the base rules' verdicts; proposals outside that
-sample, all of them, set the cut-offs.
+hashes first, one fold in ``FOLDS`` left out).  A label says that the span is a base
+span, or that its form or the text around it speaks for its kind (:func:`verdict`);
+no feature restates the checks.  Proposals outside that sample, all of them, set the
+cut-offs (of a kind that has none there, those of the sample).
 
 Regular expressions use possessive repeats and start at the head of a run, so they
 match what the plain forms match, in linear time and constant stack, however long
@@ -18,8 +22,8 @@ the text.  Matches are found per document and only when a cheap test says that t
 can be any.
 
 Defined results: null and empty texts have no spans; null ids and repeated rows give
-one row each; an empty table gives no rows; where the base rules accept all proposals
-or none, nothing is added; other columns are ignored (kept by :func:`redact`).
+one row each; an empty table gives no rows; where all proposals are labelled right all
+are above the cut-off, where none is, none; other columns are ignored (kept by :func:`redact`).
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ KINDS = ["email", "ip", "card", "phone"]
 TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 3
-#: Share of the proposals above a cut-off that the base rules must confirm.
+FOLDS = 5
+#: Share of the proposals above a cut-off that must be labelled right.
 PRECISION = 0.98
 LEAST_SCORE = 0.5
 
@@ -58,6 +63,13 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 #: Words that often stand before a span of each kind.
 CUES = {"email": "mail|contact|write", "ip": "ip|host|server|addr", "card": "card|visa|credit|pay",
         "phone": "phone|tel|call|fax|mobil"}
+#: What is read as '@' and as '.' in a spelled-out address.
+AT = r"\x20?(?:@|[\[(]at[\])]|\x20at\x20)\x20?"
+DOT = r"\x20?[\[(]dot[\])]\x20?|\x20dot\x20"
+ADDRESS = r"^[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)+[A-Za-z]{2,}$"
+#: Phone numbers without '+': an area code in brackets, a trunk zero before groups, three-three-four.
+PHONE = r"\([0-9]+\)|^0[0-9]{1,4}(?:[\x20().-]{1,2}[0-9]{2,4}){2,}$|^[0-9]{3}([\x20.-])[0-9]{3}\1[0-9]{4}$"
+DATE = r"(?<![0-9])(?:[0-9]{1,2}[\x20.-][0-9]{1,2}[\x20.-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[\x20.-][0-9]{1,2}[\x20.-][0-9]{1,2})(?![0-9])"
 
 
 def _matches(df: DataFrame, name: str, pattern: str, possible: Column) -> DataFrame:
@@ -108,7 +120,10 @@ def with_base_spans(docs: DataFrame) -> DataFrame:
 
 
 def proposals(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Loose spans with the text around them: ``keep`` + (k, s, e, t, before, after, label)."""
+    """Valid loose spans with the text around them: ``keep`` + (k, s, e, t, before, after, own, touches, label).
+
+    ``own``: is a base span; ``touches``: overlaps one; ``label``: the :func:`verdict`.
+    """
     digit = F.col("text").rlike("[0-9]{3}")
     possible = {"email": F.col("text").rlike(r"@|[\[(]dot[\])]|\x20dot\x20"), "ip": digit, "number": digit}
     df, parts = docs.where(possible["email"] | digit), []
@@ -120,25 +135,47 @@ def proposals(docs: DataFrame, keep: list[str]) -> DataFrame:
                 f"transform({m}, (t, i) -> named_struct('k', {KINDS.index(kind)}, 's', {s}[i], 'e', {s}[i] + char_length(t), "
                 f"'t', t, 'before', right({g}[i], 24), 'after', left({g}[i + 1], 8)))"))
     each = df.select(*keep, "base", F.explode(F.concat(*parts)).alias("c"))
-    label = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
-    return each.select(*keep, "c.*", label.cast("double").alias("label"))
+    own = F.exists("base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
+    touches = F.exists("base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
+    each = each.select(*keep, "c.*", own.alias("own"), touches.alias("touches")).withColumn("norm", normalised())
+    kind_valid = reduce(lambda a, k: a.when(F.col("k") == k, F.expr(_valid(KINDS[k], "norm"))), (1, 2, 3),
+                        F.when(F.col("k") == 0, F.col("norm").rlike(ADDRESS)))
+    return each.where(F.col("own") | kind_valid).withColumn("label", verdict().cast("double")).drop("norm")
+
+
+def normalised() -> Column:
+    """A proposal with spelled-out signs and separators undone."""
+    t, k = F.col("t"), F.col("k")
+    return (F.when(k == 0, F.regexp_replace(F.regexp_replace(t, AT, "@"), DOT, "."))
+            .when(k == 1, F.replace(t, F.lit(" "), F.lit(""))).otherwise(F.regexp_replace(t, "[^0-9]", "")))
+
+
+def verdict() -> Column:
+    """Whether a valid proposal is a base span, or its form or the text around it speaks for its kind."""
+    t, k, before, after = (F.col(c) for c in ("t", "k", "before", "after"))
+    cue = {kind: F.lower(before).rlike(words) for kind, words in CUES.items()}
+    apart = ~before.rlike("[0-9A-Za-z_=]$") & ~after.rlike("^[0-9A-Za-z_=]")
+    email = t.rlike(r"@|[\[(]at[\])]") | t.rlike(DOT) | cue["email"]
+    ip = ~before.rlike(r"[0-9]\x20?\.\x20?$") & ~after.rlike(r"^\x20?\.\x20?[0-9]") & (~F.contains(t, F.lit(" ")) | cue["ip"])
+    card = cue["card"] | ~cue["phone"]
+    phone = cue["phone"] | (t.rlike(PHONE) & ~t.rlike(DATE) & ~cue["card"])
+    return F.col("own") | (apart & F.when(k == 0, email).when(k == 1, ip).when(k == 2, card).otherwise(phone))
 
 
 def with_features(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
     """Format and context of proposals as numbers."""
     t, before, after = F.col("t"), F.col("before"), F.col("after")
-    digits = F.regexp_replace(t, "[^0-9]", "")
     n = F.char_length(t)
     made = {f"is_{kind}": F.col("k") == i for i, kind in enumerate(KINDS)}
     made |= {
-        "length": n, "digits": F.char_length(digits),
+        "length": n,
         "letters": F.char_length(F.regexp_replace(t, "[^A-Za-z]", "")),
         "spaces": n - F.char_length(F.replace(t, F.lit(" "), F.lit(""))),
         "dots": n - F.char_length(F.replace(t, F.lit("."), F.lit(""))),
         "groups": F.size(F.split(t, "[^0-9A-Za-z]+")),
         "last_group": F.char_length(F.regexp_extract(t, "([0-9A-Za-z]+)$", 1)),
-        "has_plus": t.startswith("+"), "has_bracket": F.contains(t, F.lit("(")), "has_at": F.contains(t, F.lit("@")),
-        "check_digit": F.expr(_valid("card", "t")), "octets": F.expr(_valid("ip", "t")),
+        "first_group": F.char_length(F.regexp_extract(t, "([0-9A-Za-z]+)", 1)),
+        "has_bracket": t.rlike(r"[\[(]"), "leading_zero": t.rlike("^[(]?0"),
         "joined_before": before.rlike("[0-9A-Za-z_=]$"), "joined_after": after.rlike("^[0-9A-Za-z_=]"),
         "quoted": before.rlike("[\"'=]\\s*$"), "digits_before": F.char_length(F.regexp_replace(before, "[^0-9]", "")),
     }
@@ -146,28 +183,35 @@ def with_features(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
     return candidates.withColumns({f"f_{k}": v.cast("double") for k, v in made.items()}), [f"f_{k}" for k in made]
 
 
-def scored_proposals(docs: DataFrame, keep: list[str], train_rows: int = TRAIN_ROWS) -> DataFrame | None:
-    """Proposals with ``score`` and ``chosen``; None where there is nothing to learn from."""
+def scored_proposals(docs: DataFrame, keep: list[str], train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """Valid proposals with ``score`` and ``chosen``."""
     shared_dir(docs.sparkSession)
     rows, names = with_features(proposals(docs, keep))
-    rows = materialize(rows, "pii-proposals")
-    order = [F.xxhash64("t", "before", "after", "k"), *(F.col(c) for c in ("t", "before", "after", "k", "label"))]
+    rows = materialize(rows.withColumn("h", F.xxhash64("t", "before", "after", "k")), "pii-proposals")
+    order = [F.col(c) for c in ("h", "t", "before", "after", "k", "label")]
+    learn = F.pmod("h", F.lit(FOLDS)) != 0
     # At most train_rows rows: one partition, so that the fit sees them in one order.
-    sample = rows.select(*names, "label", *(c for c in ("t", "before", "after", "k"))).orderBy(*order).limit(train_rows)
+    sample = rows.where(learn).select(*names, "label", *(c for c in ("h", "t", "before", "after", "k"))).orderBy(*order).limit(train_rows)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     sample = materialize(sample.coalesce(1), "pii-training")
-    if sample.select("label").distinct().count() < 2:
-        return None
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=11,
-                          minInstancesPerNode=4).fit(assembler.transform(sample))
-    scored = trees.transform(assembler.transform(rows)).select(
-        *keep, "k", "s", "e", "label", F.round(vector_to_array("probability")[1], 3).alias("score"))
+    seen = sample.agg(F.max("h").alias("last"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    if seen["least"] != seen["most"]:
+        trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=TREES, maxDepth=DEPTH, seed=11,
+                              minInstancesPerNode=4).fit(assembler.transform(sample))
+        rows, score = trees.transform(assembler.transform(rows)), F.round(vector_to_array("probability")[1], 3)
+    else:       # nothing to tell apart: the proposals' only label, or without a sample each one's own
+        score = F.col("label") if seen["last"] is None else F.lit(seen["least"])
+    trained = learn & (F.col("h") <= F.lit(seen["last"])) if seen["last"] is not None else F.lit(False)
+    scored = rows.select(*keep, "k", "s", "e", "own", "touches", "label", trained.alias("trained"), score.alias("score"))
     scored = materialize(scored, "pii-scored")
-    # One row per kind and thousandth.
-    bins = scored.groupBy("k", "score").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).toPandas()
+    # Of what can be added, two rows per kind and thousandth.
+    bins = (scored.where("NOT touches").groupBy("k", "trained", "score")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).toPandas())
     chosen = []
     for k in range(len(KINDS)):
-        own = bins[bins["k"] == k].sort_values("score", ascending=False)
+        own = bins[bins["k"] == k]
+        own = own[~own["trained"]] if not own["trained"].all() else own
+        own = own.sort_values("score", ascending=False)
         exact = own["right"].cumsum() / own["n"].cumsum() >= PRECISION
         good = own["score"][exact & (own["score"] >= LEAST_SCORE)]
         chosen.append((F.col("k") == k) & (F.col("score") >= (float(good.min()) if len(good) else 2.0)))
@@ -181,9 +225,7 @@ def with_spans(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     based = with_base_spans(docs)
     light = materialize(based.select(*key, F.transform("base", lambda x: F.struct(x["s"], x["k"], x["e"])).alias("base")), "pii-base")
     scored = scored_proposals(based, key, train_rows)
-    if scored is None:
-        return light.withColumn("spans", F.col("base"))
-    extra = materialize(scored.where("chosen AND label = 0").select(*key, F.struct("s", "k", "e", "score").alias("x")).distinct()
+    extra = materialize(scored.where("chosen AND NOT touches").select(*key, F.struct("s", "k", "e", "score").alias("x")).distinct()
                         .groupBy(*key).agg(F.collect_list("x").alias("extra")), "pii-extra")
     a, b = light.alias("a"), extra.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash")), "left")

@@ -72,5 +72,35 @@ def test_trees_add_cards_inside_digit_runs(frame):
     assert all(got[i].spans for i in base)
 
 
+def spans_of(text, kind, part):
+    at = text.index(part)
+    return f"{kind}:{at}:{at + len(part)}"
+
+
+def test_spelled_out_addresses_and_separated_numbers_are_added(frame):
+    rows, want = [], {}
+    for i in range(60):
+        cards = ["4111.1111.1111.1111", "5500.0055.5555.5559", "4012.8888.8888.1881"]
+        for j, (kind, part, text) in enumerate([
+                ("email", f"jane{i} [at] example [dot] com", "note from {} on day two"),
+                ("card", cards[i % 3], "he paid with {} on day two"),
+                ("phone", f"0151 23 45 {100 + i}", "her phone is {} on day two")]):
+            rows.append((10 * i + j, text.format(part)))
+            want[10 * i + j] = spans_of(rows[-1][1], kind, part)
+        rows += [(10 * i + 5, f"bob{i}@mail.example.com and +49 151 2345{100 + i}, 4111111111111111"),
+                 (10 * i + 6, f"order {7000000000 + 13 * i} of item {i}"), (10 * i + 7, f"paid 4111.1111.1111.1{200 + i} to")]
+    luhn_bad = {i for i, t in rows if i % 10 == 7 and not any(k == 2 for _, k, _ in plain(t.replace(".", "")))}
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(rows)).collect()}
+    assert {i: got[i] for i in want} == want
+    assert all(got[i] == "" for i in got if i % 10 == 6)              # clean numbers
+    assert len(luhn_bad) > 40 and all("card" not in got[i] for i in luhn_bad)
+
+
+def test_addresses_alone_are_added(frame):
+    text = "ask jane [at] example [dot] com now"
+    got = pii.personal_data(frame([(1, text)])).collect()
+    assert [r.spans for r in got] == [spans_of(text, "email", "jane [at] example [dot] com")]
+
+
 def test_empty_table(frame):
     assert pii.personal_data(frame([])).count() == 0
