@@ -124,8 +124,9 @@ def proposals(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     ``own``: is a base span; ``touches``: overlaps one; ``label``: the :func:`verdict`.
     """
-    digit = F.col("text").rlike("[0-9]{3}")
-    possible = {"email": F.col("text").rlike(r"@|[\[(]dot[\])]|\x20dot\x20"), "ip": digit, "number": digit}
+    # Each test holds wherever its pattern matches.
+    digit = F.col("text").rlike("[0-9]")
+    possible = {"email": F.col("text").rlike(r"@|[\[(]at[\])]|\x20at\x20"), "ip": digit, "number": digit}
     df, parts = docs.where(possible["email"] | digit), []
     for name, pattern in LOOSE.items():
         df = _matches(df, f"_{name}", pattern, possible[name])

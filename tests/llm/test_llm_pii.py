@@ -102,5 +102,13 @@ def test_addresses_alone_are_added(frame):
     assert [r.spans for r in got] == [spans_of(text, "email", "jane [at] example [dot] com")]
 
 
+def test_documents_with_one_loose_span_only_propose_it(frame):
+    rows = [(1, "jane [at] example.com", "email"), (2, "mail jane at example.com", "email"),
+            (3, "06 12 34 56 78", "phone"), (4, "10 . 0 . 0 . 1", "ip"), (5, "nothing here", None)]
+    docs = pii.with_base_spans(frame([r[:2] for r in rows]))
+    got = {(r.doc_id, pii.KINDS[r.k]) for r in pii.proposals(docs, ["doc_id"]).collect()}
+    assert got == {(i, kind) for i, _, kind in rows if kind}
+
+
 def test_empty_table(frame):
     assert pii.personal_data(frame([])).count() == 0
