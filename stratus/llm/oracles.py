@@ -78,3 +78,91 @@ orphan AS (
   FROM answer ANTI JOIN asked USING (conv_id, call_id))
 SELECT * FROM calls UNION ALL SELECT * FROM orphan
 """
+
+# Unsigned crc32 of the decimal text of a whole number, bit by bit.
+_CRC = """(4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))))"""
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0} END"
+
+OP13 = """
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, sha256({doc_id} || {source} || {lang} || {n_chars} || {text}) AS h,
+         CASE WHEN doc_id IS NOT NULL AND {crc} % 7 = 0 THEN sha256({doc_id} || {source} || {lang} || {changed} || {text})
+              ELSE sha256({doc_id} || {source} || {lang} || {n_chars} || {text}) END AS shown
+  FROM (SELECT *, n_chars + 1 AS n_more FROM documents)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) AS k FROM leaf),
+node(k, l, i, n, h) AS (
+  SELECT k, 0, i, n, h FROM placed
+  UNION ALL
+  SELECT k, l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM node WHERE n > 1 GROUP BY k, l, i // 2, n),
+subroot AS (SELECT k, l AS height, h AS subroot, k - 1 AS j, count(*) OVER () AS kinds FROM node WHERE n = 1),
+upper(l, i, n, h) AS (
+  SELECT 0, j, kinds, subroot FROM subroot
+  UNION ALL
+  SELECT l + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM upper WHERE n > 1 GROUP BY l, i // 2, n),
+root AS (SELECT h FROM upper WHERE n = 1),
+step AS (
+  SELECT p.k, p.i, node.l, (p.i >> node.l) % 2 AS side, s.h AS sibling
+  FROM placed p JOIN node ON node.k = p.k AND node.i = p.i >> node.l AND node.n > 1
+  LEFT JOIN node s ON s.k = p.k AND s.l = node.l AND s.i = xor(node.i, 1)
+  UNION ALL
+  SELECT p.k, p.i, r.height + u.l, (r.j >> u.l) % 2, s.h
+  FROM placed p JOIN subroot r ON r.k = p.k JOIN upper u ON u.i = r.j >> u.l AND u.n > 1
+  LEFT JOIN upper s ON s.l = u.l AND s.i = xor(u.i, 1)),
+folded(k, i, l, h) AS (
+  SELECT k, i, 0, shown FROM placed
+  UNION ALL
+  SELECT f.k, f.i, f.l + 1, sha256(CASE WHEN sibling IS NULL THEN f.h WHEN side = 0 THEN f.h || sibling ELSE sibling || f.h END)
+  FROM folded f JOIN step USING (k, i, l)),
+proof AS (SELECT k, i, sha256(coalesce(string_agg(sibling, '' ORDER BY l), '')) AS proof_sha256 FROM step GROUP BY k, i),
+top AS (SELECT k, i, arg_max(h, l) AS folded_root FROM folded GROUP BY k, i)
+SELECT p.doc_id, p.h AS leaf, r.subroot, root.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root,
+       folded_root = root.h AS verified
+FROM placed p JOIN subroot r USING (k) JOIN top USING (k, i) LEFT JOIN proof USING (k, i), root
+""".format(crc=_CRC.format("doc_id"), changed=_FIELD.format("n_more"),
+           **{c: _FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")})
+
+OP12 = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS q, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, {crc} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+line AS (
+  SELECT c.conv_id, t.q, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.donor AND t.q <= c.h
+  UNION ALL
+  SELECT c.conv_id, 1000000 + t.q, t.role, t.text FROM conv c JOIN turns t ON t.conv_id = c.conv_id AND t.q > c.h),
+step AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path, strlen(text) AS bytes
+  FROM line WINDOW w AS (PARTITION BY conv_id ORDER BY q ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM conv),
+len AS (SELECT conv_id, max(depth) AS n FROM step GROUP BY conv_id),
+node AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM step GROUP BY depth, path),
+kids AS (SELECT depth - 1 AS depth, left(path, CAST(32 * (depth - 1) AS BIGINT)) AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT a.depth, left(a.path, CAST(32 * a.depth AS BIGINT)) AS path, sum(leaf) AS n_leaves, sum(saved) AS saved
+  FROM (SELECT unnest(range(0, node.depth + 1)) AS depth, node.path, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * bytes AS saved
+        FROM node LEFT JOIN kids ON kids.depth = node.depth AND kids.path = node.path) a GROUP BY 1, 2),
+done AS (
+  SELECT s.depth, s.path, string_agg(CAST(s.conv_id AS VARCHAR), ',' ORDER BY s.conv_id) AS ids
+  FROM step s JOIN len ON len.conv_id = s.conv_id AND len.n = s.depth GROUP BY s.depth, s.path)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, node.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN below USING (depth, path) LEFT JOIN kids USING (depth, path) LEFT JOIN done USING (depth, path)
+LEFT JOIN node up ON up.depth = node.depth - 1 AND up.path = left(node.path, CAST(32 * (node.depth - 1) AS BIGINT)) AND node.depth > 0
+""".format(crc=_CRC.format("conv_id"))
+
+OP11 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages),
+first AS (SELECT hexed, min(page_id) AS least FROM p GROUP BY hexed),
+digest AS (
+  SELECT hexed, least, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((CAST('0x' || substr(hexed, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31), 1)), '') AS payload_digest
+  FROM first)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p JOIN digest USING (hexed)
+"""

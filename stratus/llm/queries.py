@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratus.llm import decontam, lm, neardup, oracles, pieces, pii, quality, repeats, shards, toolcalls, toxicity
+from stratus.llm import decontam, lm, merkle, neardup, oracles, pieces, pii, prefixes, quality, repeats, shards, toolcalls, toxicity, warc
 
 
 def importable(spark: SparkSession) -> None:
@@ -71,6 +71,23 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (warc.archived_pages(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    copy = {"n_chars": F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))}
+    return (merkle.verified(merkle.document_manifest(table(spark, sf_dir, "documents"), copy))
+            .select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                    "folded_root", "verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
     "op2_toxicity": op2_toxicity,
@@ -82,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": op8_repeats,
     "op9_language_model": op9_language_model,
     "op10_shards": op10_shards,
+    "op11_warc": op11_warc,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -89,4 +109,7 @@ ORACLES: dict[str, str] = {
     "op5_tool_calls": oracles.OP5,
     "op6_decontamination": oracles.OP6,
     "op8_repeats": oracles.OP8,
+    "op11_warc": oracles.OP11,
+    "op12_prefix_trie": oracles.OP12,
+    "op13_merkle": oracles.OP13,
 }
