@@ -1018,7 +1018,7 @@ def hourly_climatology(spark, sf_dir) -> DataFrame:
 
 
 def q_stream_alerts(spark, sf_dir):
-    """Observation files -> watermark + dedup -> stream-static join -> alerts -> Parquet sink."""
+    """Observation files -> ids seen for the first time -> stream-static join -> alerts -> Parquet sink."""
     from stratus.streaming import alerts as stream_alerts
     source, sink, ckpt = (scratch_path(spark, n) for n in ("obs-landing", "obs-alerts", "obs-ckpt"))
     fx.observations(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(source)
@@ -1071,7 +1071,46 @@ def q_stream_features(spark, sf_dir):
     return stream_features.feature_view(spark, root)
 
 
+def _stop_before_commit(spark, checkpoint: str) -> None:
+    """Take back Spark's commit of a stream's last batch, so that the batch runs again."""
+    last = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{checkpoint}/commits").select(
+        F.max(F.regexp_extract("path", "([0-9]+)$", 1).cast("long"))).first()[0]
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits/{last}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def q_stream_replay(spark, sf_dir):
+    """T4: the last batch runs again after its compaction was committed; the view stays."""
+    from stratus.streaming import features as stream_features
+    source, root, ckpt = (scratch_path(spark, n) for n in ("daily-landing", "feature-store", "daily-ckpt"))
+    raw = fx.raw_daily(spark, sf_dir)
+    for part in (F.year("date") <= 1996, F.year("date") > 1996):
+        raw.where(part).write.mode("append").parquet(source)
+        stream_features.run(spark, source, root, ckpt, max_files_per_trigger=None, compact_every=1)
+    _stop_before_commit(spark, ckpt)
+    stream_features.run(spark, source, root, ckpt, max_files_per_trigger=None, compact_every=1)
+    return stream_features.feature_view(spark, root)
+
+
+def q_stream_redeliveries(spark, sf_dir):
+    """Every third observation comes again, dated 26 hours later; each id is scored once, as it came first."""
+    from stratus.streaming import alerts as stream_alerts
+    source, sink, ckpt = (scratch_path(spark, n) for n in ("obs-landing", "obs-alerts", "obs-ckpt"))
+    rows, climate = fx.observations(spark, sf_dir), hourly_climatology(spark, sf_dir)
+    rows.write.parquet(source)
+    stream_alerts.run(spark, source, climate, sink, ckpt)
+    again = rows.where(F.col("event_id") % 3 == 0).withColumn("ts", F.col("ts") + F.expr("INTERVAL 26 HOURS"))
+    again.write.mode("append").parquet(source)
+    stream_alerts.run(spark, source, climate, sink, ckpt, compact_every=2)
+    _stop_before_commit(spark, ckpt)
+    stream_alerts.run(spark, source, climate, sink, ckpt, compact_every=2)
+    return (stream_alerts.scored_observations(spark, sink).drop("late")
+            .withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+
+
 QUERIES.update({
+    "stream_replay": q_stream_replay,
+    "stream_redeliveries": q_stream_redeliveries,
     "stream_alerts": q_stream_alerts,
     "stream_features": q_stream_features,
     "late_observations": q_late_observations,
@@ -1088,6 +1127,7 @@ ORACLES.update({
         from observations o left join (select location_id, avg(temperature_2m) as forecast_temp from hourly
         group by location_id) f on f.location_id = o.location_id"""),
     "stream_features": O.sql("select * from processed"),
+    "stream_replay": O.sql("select * from processed"),
     "late_observations": O.sql("""select location_id, event_id % 50 = 0
           and ts < (select max(ts) from observations where event_id % 50 <> 0) - interval 1 hour as late,
         count(*) as observations, count(distinct event_id) as events, cast(sum(event_id) as bigint) as id_sum
@@ -1098,6 +1138,9 @@ ORACLES.update({
 })
 
 
+ORACLES["stream_redeliveries"] = ORACLES["stream_alerts"]
+
+
 def reset_session_caches() -> None:
     """Forget fitted models and landed payloads (benchmarks time every run from scratch)."""
     _FITTED.clear()

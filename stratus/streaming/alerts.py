@@ -1,21 +1,23 @@
 """Alert scoring of each new observation with Structured Streaming.
 
-Observation files land in a folder; a file-source stream reads them with a
-fixed schema.  Each micro-batch is an idempotent keyed merge (``foreachBatch``):
-re-deliveries of an ``event_id`` are dropped by an aggregate that combines before
-its shuffle and by an anti join against the ids stored so far for the same days,
-so no observation is lost however late it comes and none is scored twice.  New
-observations are joined to the latest batch forecast of their location (a table
-that may grow, left to Catalyst) and run through the alert cascade and the wind
-caution.
-
-An observation is late when its event time lies more than ``delay`` behind the
-newest event time of the batches before its own.  Late rows are scored and
-stored like any other, marked ``late``; :func:`late_observations` lists them.
-
-The sink is Parquet partitioned by batch and day (dynamic overwrite: a replayed
-batch rewrites its own partitions), the checkpoint lies in the shared folder, so a
-restarted query resumes where it stopped.
+Observation files land in a folder; a file-source stream reads them with a fixed
+schema.  Ids are unique over all time: a streaming aggregate per ``event_id`` keeps in the
+state store (RocksDB) the batch in which the id came first, and that batch's earliest row.
+It combines map-side, so a storm of one id is one row per task before the shuffle; a batch
+touches the state of its own ids only, whatever day their times lie on and however many
+batches there were.  An id is new in the batch that is its first and its last so far; all
+others are re-deliveries, also with a corrected time, and the row scored first stays.
+
+New observations are joined to the latest batch forecast of their location (a table
+that may grow, left to Catalyst) and run through the alert cascade and the wind caution.
+No observation is lost, however late.  One is late when its event time lies more than
+``delay`` behind the newest event time of the batches before its own; late rows are scored
+and stored like any other, marked ``late``; :func:`late_observations` lists them.
+
+Each batch's rows are a folder listed by one commit (:mod:`stratus.streaming.manifest`),
+which also notes the newest event time; a batch that is run again replaces its own commit.
+:func:`compact` writes the sink as few files, ordered by time.  The checkpoint lies in the
+shared folder, so a restarted query resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import types as T
 from stratus.operators import alerts
 from stratus.schemas import HIGH_WIND
 from stratus.session import materialize
+from stratus.streaming import manifest
 
 OBSERVATION = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -45,17 +48,24 @@ ALERT = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("forecast_temp", T.DoubleType()),
     T.StructField("alert_level", T.StringType()), T.StructField("risk_pct", T.DoubleType()),
     T.StructField("wind_caution", T.BooleanType()), T.StructField("late", T.BooleanType()),
-    T.StructField("batch_id", T.LongType()), T.StructField("day", T.DateType())])
-MARK = T.StructType([T.StructField("newest", T.TimestampType()), T.StructField("batch_id", T.LongType())])
+])
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def first_deliveries(observations: DataFrame) -> DataFrame:
+    """Per ``event_id`` the time of its first and of its last batch, and the earliest row
+    (then the least) of the first.  On a stream: the ids that a batch touches."""
+    body = [f for f in OBSERVATION.fieldNames() if f != "event_id"]
+    arrived = observations.withColumn("_at", F.current_timestamp())       # a stream fixes it per batch
+    first = F.min_by(F.struct(*body), F.struct("_at", "ts", *[c for c in body if c != "ts"]))
+    return arrived.groupBy("event_id").agg(F.min("_at").alias("first_at"), F.max("_at").alias("last_at"), first.alias("v"))
 
 
-def dedupe(observations: DataFrame) -> DataFrame:
-    """One row per ``event_id``: the earliest in time, then the least row.  A hash
-    aggregate, so a storm of one id is combined before the shuffle."""
+def new_rows(touched: DataFrame) -> DataFrame:
+    """Observations whose id came in this batch for the first time."""
     body = [f for f in OBSERVATION.fieldNames() if f != "event_id"]
-    first = F.min_by(F.struct(*body), F.struct("ts", *[c for c in body if c != "ts"]))
-    return observations.groupBy("event_id").agg(first.alias("v")).select(
-        "event_id", *[F.col(f"v.{c}").alias(c) for c in body])
+    return touched.where("first_at = last_at").select("event_id", *[F.col(f"v.{c}").alias(c) for c in body])
 
 
 def score(observations: DataFrame, forecasts: DataFrame) -> DataFrame:
@@ -69,51 +79,57 @@ def score(observations: DataFrame, forecasts: DataFrame) -> DataFrame:
         (F.col("wind_speed_10m") > HIGH_WIND).alias("wind_caution"))
 
 
-def _merge(batch: DataFrame, batch_id: int, forecasts: DataFrame, sink: str, marks: str, delay: str) -> None:
-    spark = batch.sparkSession
-    day = F.to_date(F.coalesce("ts", F.lit(0).cast("timestamp")))
-    rows = materialize(dedupe(batch).withColumn("day", day), "observation-batch")
-    stored = spark.read.schema(ALERT).parquet(sink).where(F.col("batch_id") < batch_id)
-    # Ids are compared per day: only the days of this batch are read from the store.
-    days = rows.select("day").distinct()
-    known = stored.select("day", "event_id").join(days, "day", "left_semi")
-    fresh = rows.join(known, ["day", "event_id"], "left_anti")
-    # One value: the newest event time so far (null before the first batch).
-    newest = spark.read.schema(MARK).parquet(marks).where(F.col("batch_id") < batch_id).agg(F.max("newest")).first()[0]
-    late = F.coalesce(F.col("ts") < F.col("newest") - F.expr(f"INTERVAL {delay}"), F.lit(False))
-    scored = (score(fresh, forecasts).withColumn("newest", F.lit(newest).cast("timestamp"))
-              .withColumn("late", late).drop("newest")
-              .withColumn("day", day).withColumn("batch_id", F.lit(batch_id).cast("long")))
-    (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", "day").parquet(sink))
-    (rows.agg(F.max("ts").alias("newest")).withColumn("batch_id", F.lit(batch_id).cast("long"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(marks))
+def _merge(touched: DataFrame, batch_id: int, forecasts: DataFrame, sink: str, delay: str) -> None:
+    spark = touched.sparkSession
+    base = manifest.state(spark, sink, before_batch=batch_id)
+    fresh = materialize(new_rows(touched), "observation-batch")
+    late = F.coalesce(F.col("ts") < F.lit(base.note).cast("timestamp") - F.expr(f"INTERVAL {delay}"), F.lit(False))
+    folder = manifest.write(score(fresh, forecasts).withColumn("late", late), sink, "alerts")
+    # One value: the newest event time so far.
+    newest = fresh.agg(F.greatest(F.max("ts"), F.lit(base.note).cast("timestamp")).cast("string")).first()[0]
+    manifest.commit(spark, sink, batch_id, {"alerts": [*base.folders.get("alerts", []), folder]}, newest)
+
+
+def compact(spark: SparkSession, sink: str) -> None:
+    """Rewrite the scored rows ordered by time: one swap of the list."""
+    now = manifest.state(spark, sink)
+    rows = manifest.read(spark, sink, now, "alerts", ALERT)
+    folder = manifest.write(rows.repartitionByRange("ts", "event_id").sortWithinPartitions("ts"), sink, "alerts")
+    manifest.commit(spark, sink, now.batch_id, {"alerts": [folder]}, now.note)
+    manifest.vacuum(spark, sink)
 
 
 def run(spark: SparkSession, source: str, forecasts: DataFrame, sink: str, checkpoint: str,
-        max_files_per_trigger: int | None = None, delay: str = DELAY) -> None:
+        max_files_per_trigger: int | None = None, delay: str = DELAY, compact_every: int = 16) -> None:
     """Process everything landed so far (``availableNow``) and stop.
 
     The static side is written once to the shared folder first: each batch then
     reads a small Parquet table instead of recomputing the forecasts.
     """
     forecasts = materialize(forecasts.select("location_id", "forecast_temp"), "alert-forecasts")
-    marks = f"{checkpoint}-marks"
-    for schema, path, parts in ((ALERT, sink, ["batch_id", "day"]), (MARK, marks, ["batch_id"])):
-        # An empty table (mode "ignore" keeps an existing one) so the first batch can read it.
-        spark.createDataFrame([], schema).write.mode("ignore").partitionBy(*parts).parquet(path)
+    manifest.begin(spark, sink)
+
+    def step(touched: DataFrame, batch_id: int) -> None:
+        _merge(touched, batch_id, forecasts, sink, delay)
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, sink)
+
     reader = spark.readStream.schema(OBSERVATION)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    query = (reader.parquet(source).writeStream
-             .foreachBatch(lambda df, bid: _merge(df, bid, forecasts, sink, marks, delay))
-             .option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (first_deliveries(reader.parquet(source)).writeStream.outputMode("update")
+                 .foreachBatch(step).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def scored_observations(spark: SparkSession, sink: str) -> DataFrame:
-    return spark.read.schema(ALERT).parquet(sink).drop("batch_id", "day")
+    return manifest.read(spark, sink, manifest.state(spark, sink), "alerts", ALERT)
 
 
 def late_observations(spark: SparkSession, sink: str) -> DataFrame:

@@ -4,8 +4,7 @@ Positional windows (lag, lead, row frames) are not supported on streaming
 DataFrames, so each micro-batch is handled with ``foreachBatch`` using the
 same batch feature function:
 
-1. the batch's rows are written to the raw store (partition ``batch_id``,
-   dynamic overwrite: a replayed batch rewrites the same partition);
+1. the batch's rows, normalised, go to a fresh folder of the raw store;
 2. per touched location, the context is the last 30 stored rows before the
    batch's earliest date plus every stored row from that date on (so late
    or re-sent rows are handled, not just appends).  Only a recent date
@@ -14,21 +13,22 @@ same batch feature function:
    the window holds fewer rows than its halo needs (a per-location row-count
    index, rewritten per batch for touched locations, bounds what it can have);
 3. features are computed over the context; every row from the last pre-batch
-   row onward is written to the feature store under ``batch_id`` with a flag that
+   row onward goes to a fresh folder of the feature store, with a flag that
    says whether it is complete, so a correction that makes a row incomplete
-   supersedes the complete one.
+   supersedes the complete one;
+4. one commit (:mod:`stratus.streaming.manifest`) lists the new folders.
 
 The stores are merge-on-read: per (location_id, date) the row from the highest
-batch wins; the view keeps the complete ones.  Replaying a batch is idempotent.
-:func:`compact` rewrites the stores as their newest rows, so their size follows
-places and days, not batches; ``run`` does so after every ``compact_every`` batches.
-A generation folder is current once its number is in ``generations``.
+batch wins; the view keeps the complete ones.  A batch starts from what was
+committed before it, so running it again, before, during or after a compaction,
+gives the same view.  :func:`compact` writes the stores as their newest rows and
+commits that list under the same batch, so their size follows places and days,
+not batches; ``run`` does so after every ``compact_every`` batches.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,20 +39,17 @@ from stratus.operators import features
 from stratus.schemas import RAW_DAILY, RAW_ORDER
 from stratus.sources.files import PROCESSED
 from stratus.sources.payload import normalise_raw
+from stratus.streaming import manifest
 
 HALO = 30   # rows of history the widest window (30-row mean) needs
 
 
-def _write_partition(df: DataFrame, path: str) -> None:
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(path))
-
-
 FEATURES = T.StructType(PROCESSED.fields + [T.StructField("complete", T.BooleanType()),
                                             T.StructField("batch_id", T.LongType())])
 STORE = T.StructType(RAW_DAILY.fields + [T.StructField("batch_id", T.LongType())])
 INDEX = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("n_rows", T.LongType()),
                       T.StructField("batch_id", T.LongType())])
+STORES = {"raw": (STORE, ["location_id", "date"]), "features": (FEATURES, ["location_id", "date"]), "index": (INDEX, ["location_id"])}
 LOOKBACK_DAYS = 120   # date window expected to hold the 30-row halo of a daily series
 
 
@@ -61,29 +58,22 @@ def _newest(df: DataFrame, keys: list[str], cols: list[str], version: str = "bat
     return df.groupBy(*keys).agg(pick.alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in cols])
 
 
-def _generation(spark: SparkSession, root: str) -> int:
-    return spark.read.schema("generation long").parquet(os.path.join(root, "generations")).agg(
-        F.max("generation")).first()[0]
-
-
-def _folder(spark: SparkSession, root: str, name: str, generation: int | None = None) -> str:
-    number = _generation(spark, root) if generation is None else generation
-    return os.path.join(root, f"generation-{number:06d}", name)
+def _folder(spark: SparkSession, root: str, name: str) -> str:
+    """The path (a pattern, if there are several) of a store's folders."""
+    where = manifest.state(spark, root).folders[name]
+    return f"{root}/{name}/{where[0]}" if len(where) == 1 else f"{root}/{name}/{{{','.join(where)}}}"
 
 
 def compact(spark: SparkSession, root: str) -> None:
-    """Rewrite raw, feature and index stores as their newest rows under a new generation."""
-    now = _generation(spark, root)
-    for name, schema, keys in (("raw", STORE, ["location_id", "date"]), ("features", FEATURES, ["location_id", "date"]),
-                               ("index", INDEX, ["location_id"])):
-        rows = spark.read.schema(schema).parquet(_folder(spark, root, name, now))
-        cols = [c for c in rows.columns if c not in keys]
-        newest = _newest(rows.withColumn("version", F.col("batch_id")), keys, cols, "version")
-        # One partition for what is merged: its rows keep the order of later batches.
-        last = newest.withColumn("batch_id", F.lit(rows.agg(F.max("batch_id")).first()[0]).cast("long"))
-        last.write.mode("overwrite").partitionBy("batch_id").parquet(_folder(spark, root, name, now + 1))
-    spark.createDataFrame([(now + 1,)], "generation long").coalesce(1).write.mode("append").parquet(
-        os.path.join(root, "generations"))
+    """Rewrite raw, feature and index stores as their newest rows: one swap of the list."""
+    now = manifest.state(spark, root)
+    folders = {}
+    for name, (schema, keys) in STORES.items():
+        rows = manifest.read(spark, root, now, name, schema)
+        newest = _newest(rows.withColumn("version", F.col("batch_id")), keys, [c for c in rows.columns if c not in keys], "version")
+        folders[name] = [manifest.write(newest.repartitionByRange(*keys).sortWithinPartitions(*keys), root, name)]
+    manifest.commit(spark, root, now.batch_id, folders)
+    manifest.vacuum(spark, root)
 
 
 def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -97,24 +87,21 @@ def process_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
 def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
-    now = _generation(spark, root)
-    raw_path, out_path, idx_path = (_folder(spark, root, n, now) for n in ("raw", "features", "index"))
+    base = manifest.state(spark, root, before_batch=batch_id)
     earliest = batch.agg(F.min("date")).first()[0]
     if earliest is None:          # empty micro-batch
         return
     # The ingest rule of all sources; copies within a batch have no fetch time, so the greatest row wins.
     unique = normalise_raw(batch.withColumn("fetched_at", F.lit(None).cast("timestamp")))
-    _write_partition(unique.withColumn("batch_id", F.lit(batch_id)), raw_path)
-
-    store = spark.read.schema(STORE).parquet(raw_path)
-    new = store.where(F.col("batch_id") == batch_id)
+    this = F.lit(batch_id).cast("long")
+    added = {"raw": manifest.write(unique.withColumn("batch_id", this), root, "raw")}
+    older = manifest.read(spark, root, base, "raw", STORE)
+    new = spark.read.schema(STORE).parquet(f"{root}/raw/{added['raw']}")
     cut = new.groupBy("location_id").agg(F.min("date").alias("_cutoff"), F.count(F.lit(1)).alias("_added"))
     # Upper bound of each touched location's stored rows (re-sent rows only over-count).
-    index = _newest(spark.read.schema(INDEX).parquet(idx_path).where(F.col("batch_id") < batch_id),
-                    ["location_id"], ["n_rows"])
+    index = _newest(manifest.read(spark, root, base, "index", INDEX), ["location_id"], ["n_rows"])
     # Read only a recent date window (Parquet min/max statistics skip old row groups) ...
     start = earliest - dt.timedelta(days=LOOKBACK_DAYS)
-    older = store.where(F.col("batch_id") < batch_id)
     recent = older.where(F.col("date") >= F.lit(start))
     recent = recent.join(cut.select("location_id", "_cutoff"), "location_id").where(
         F.col("date") >= F.date_sub("_cutoff", LOOKBACK_DAYS)).drop("_cutoff")      # each place from its own cut-off
@@ -143,19 +130,16 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
             .withColumn("_first", first_emit)
             .where(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
             .drop("_rb", "_first"))
-    _write_partition(emit.withColumn("batch_id", F.lit(batch_id)), out_path)
+    added["features"] = manifest.write(emit.withColumn("batch_id", this), root, "features")
     touched = (cut.join(index, "location_id", "left")
                .select("location_id", (F.coalesce("n_rows", F.lit(0)) + F.col("_added")).alias("n_rows")))
-    _write_partition(touched.withColumn("batch_id", F.lit(batch_id).cast("long")), idx_path)
+    added["index"] = manifest.write(touched.withColumn("batch_id", this), root, "index")
+    manifest.commit(spark, root, batch_id, {name: [*base.folders.get(name, []), folder] for name, folder in added.items()})
 
 
 def run(spark: SparkSession, source: str, root: str, checkpoint: str,
         max_files_per_trigger: int | None = 1, compact_every: int = 16) -> None:
-    spark.createDataFrame([(0,)], "generation long").coalesce(1).write.mode("ignore").parquet(
-        os.path.join(root, "generations"))
-    # An empty index (mode "ignore" keeps an existing one) so the first batch can read it.
-    spark.createDataFrame([], INDEX).write.mode("ignore").partitionBy("batch_id").parquet(
-        _folder(spark, root, "index", 0))
+    manifest.begin(spark, root)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, root)
@@ -174,6 +158,6 @@ def run(spark: SparkSession, source: str, root: str, checkpoint: str,
 
 def feature_view(spark: SparkSession, root: str) -> DataFrame:
     """Merge-on-read: the newest batch's row per (location_id, date), if it is complete."""
-    out = spark.read.schema(FEATURES).parquet(_folder(spark, root, "features"))
+    out = manifest.read(spark, root, manifest.state(spark, root), "features", FEATURES)
     cols = [c for c in out.columns if c not in ("location_id", "date", "batch_id")]
     return _newest(out, ["location_id", "date"], cols).where("complete").drop("complete")
