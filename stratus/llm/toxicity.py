@@ -16,9 +16,12 @@ The model is linear after the embedding, so at scoring time every n-gram has one
 fixed-point number; a task looks the numbers up for its distinct words and takes
 integer sums, hence equal texts get equal scores wherever they are scored.
 
-Training reads a bounded number of labelled rows (``train_rows``, half of each
-class, lowest id hashes first); scoring reads whole texts of all rows, has no
-shuffle and keeps a fixed-size table.
+Training reads a bounded sample of labelled rows: ``TRAIN_ROWS`` documents, half of each
+class, lowest id hashes first, and of these at most ``TRAIN_BYTES`` of passages, half of
+each class, whole passages by the hash of their place (all of them below the bound; never
+one above ``PASSAGE_BYTES``).  Tasks turn texts into numbers: the driver gets word names
+per passage and bucket numbers per distinct word, not texts.  Scoring reads whole texts of
+all rows, has no shuffle and keeps a fixed-size table.
 
 Defined results: null and empty texts have no passage and score as a passage
 whose words are all unknown; null ids and repeated rows give one row each; an
@@ -33,13 +36,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratus.llm import text as X
+from stratus.session import materialize
 
 TRAIN_ROWS = 4000
+#: Bytes of words that training takes.  The driver holds up to twelve times as much (an int32 per n-gram).
+TRAIN_BYTES = 16 << 20
+PASSAGE_BYTES = 1 << 16
+#: Word n-grams whose embeddings the driver sums at once.
+STEP = 1 << 20
+BINS = 1024
 FOLDS = 5
 BUCKETS = 1 << 17
 DIM = 4
@@ -115,28 +126,61 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.where(x == -np.inf, 0.0, 1 / (1 + np.exp(-np.clip(x, -40, 40))))
 
 
-def fit(buf: X.Buffer, toxic: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS,
-        rate: float = RATE, share_toxic: float | None = None, seed: int = 7) -> Model:
-    """Train embeddings and softmax jointly (full-batch Adam) on labelled documents."""
+@dataclass
+class Sample:
+    """Training passages as numbers; word i has the buckets bucket[edge[i]:edge[i + 1]]."""
+    toxic: np.ndarray          # per document
+    doc: np.ndarray            # document of each passage
+    token: np.ndarray          # word of each occurrence
+    first: np.ndarray          # occurrences of passage i: first[i]:first[i + 1]
+    bucket: np.ndarray
+    edge: np.ndarray
+
+
+def _word_sums(sample: Sample, entries: np.ndarray) -> np.ndarray:
+    """Sum of ``entries`` (per bucket) over the buckets of each word, a step at a time."""
+    out = np.empty(len(sample.edge) - 1)
+    for lo, hi in _steps(sample.edge):
+        part = slice(sample.edge[lo], sample.edge[hi])
+        out[lo:hi] = np.add.reduceat(entries[sample.bucket[part]], sample.edge[lo:hi] - sample.edge[lo])
+    return out
+
+
+def _bucket_sums(sample: Sample, per_word: np.ndarray, buckets: int) -> np.ndarray:
+    """The transpose: every bucket's sum of ``per_word`` over the words that have it."""
+    out = np.zeros(buckets)
+    for lo, hi in _steps(sample.edge):
+        part = slice(sample.edge[lo], sample.edge[hi])
+        out += np.bincount(sample.bucket[part], np.repeat(per_word[lo:hi], np.diff(sample.edge[lo:hi + 1])), buckets)
+    return out
+
+
+def _steps(edge: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words with about ``STEP`` buckets."""
+    lo, n = 0, len(edge) - 1
+    while lo < n:
+        hi = max(int(np.searchsorted(edge, edge[lo] + STEP, "right")) - 1, lo + 1)
+        yield lo, min(hi, n)
+        lo = min(hi, n)
+
+
+def fit(sample: Sample, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE,
+        share_toxic: float | None = None, seed: int = 7) -> Model:
+    """Train embeddings and softmax jointly (full-batch Adam) on labelled passages."""
+    toxic, doc, token, first = sample.toxic, sample.doc, sample.token, sample.first
     base = float(toxic.mean()) if len(toxic) else 0.0
     if not 0 < base < 1:
         return Model(np.zeros(buckets, np.int64), 0.0, -np.inf)
-    buf = buf.lower_ascii()
-    words = X.split_words(buf, BREAK)
-    at, token = distinct_words(buf, words)
-    bucket, edge = subwords(buf, words.start[at], words.end[at], buckets)
-    word_of = np.repeat(np.arange(len(at)), np.diff(edge))
-    share = 1.0 / np.maximum(np.diff(edge), 1)
-    passage, doc = passages(words)
-    n = len(doc)
-    size = np.maximum(np.bincount(passage, minlength=n), 1)
+    share = 1.0 / np.diff(sample.edge)
+    n, n_words = len(doc), len(sample.edge) - 1
+    size = np.diff(first)
     rng = np.random.default_rng(seed)
     params = {"emb": rng.normal(0, 0.1, (dim, buckets)), "out": rng.normal(0, 0.3, (2, dim)), "bias": np.zeros(2)}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in params.items()}
 
     def forward():
-        word = np.stack([np.bincount(word_of, e[bucket], len(at)) * share for e in params["emb"]])
-        mean = np.stack([np.bincount(passage, w[token], n) / size for w in word])
+        word = np.stack([_word_sums(sample, e) * share for e in params["emb"]])
+        mean = np.stack([np.add.reduceat(w[token], first[:-1]) / size if n else np.zeros(0) for w in word])
         return mean, params["out"] @ mean + params["bias"][:, None]
 
     positive, step = toxic[doc].astype(bool), 0
@@ -147,9 +191,8 @@ def fit(buf: X.Buffer, toxic: np.ndarray, buckets: int = BUCKETS, dim: int = DIM
         grad_scores = np.stack((-error, error))
         grad_mean = params["out"].T @ grad_scores
         grads = {"out": grad_scores @ mean.T, "bias": grad_scores.sum(1)}
-        grads["emb"] = np.stack([
-            np.bincount(bucket, (np.bincount(token, (g / size)[passage], len(at)) * share)[word_of], buckets)
-            for g in grad_mean])
+        grads["emb"] = np.stack([_bucket_sums(sample, np.bincount(token, np.repeat(g / size, size), n_words) * share, buckets)
+                                 for g in grad_mean])
         step += 1
         for k, g in grads.items():
             m, v = moments[k]
@@ -197,13 +240,69 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     return (docs.select("doc_id", "text").join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def _training_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> a row per passage: its words' names.  A document without words has one empty row."""
+    for rows, buf in X.chunks(batches):
+        buf = buf.lower_ascii()
+        words = X.split_words(buf, BREAK)
+        passage, doc = passages(words)
+        first = np.concatenate(([0], np.cumsum(np.bincount(passage, minlength=len(doc)))))
+        size = X.per_doc_sum(words.end - words.start, first)
+        bare = np.setdiff1d(np.arange(buf.n), doc)
+        doc = np.concatenate((doc, bare))
+        place = np.concatenate((np.arange(len(size)), -np.ones(len(bare), np.int64)))
+        edges = np.concatenate((first, np.full(len(bare), words.n)))
+        yield pa.RecordBatch.from_arrays(
+            [rows.column(0).take(pa.array(doc)), rows.column(1).take(pa.array(doc)), pa.array(place),
+             pa.array(np.concatenate((size, np.zeros(len(bare), np.int64)))),
+             pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(X.signed(X.word_hashes(buf, words)))).cast(pa.list_(pa.int64()))],
+            names=["doc_id", "toxic", "place", "bytes", "words"])
+
+
+def _training_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents -> the name and the buckets of each distinct word."""
+    for _, buf in X.chunks(batches):
+        buf = buf.lower_ascii()
+        words = X.split_words(buf, BREAK)
+        short = words.end - words.start <= PASSAGE_BYTES
+        words = X.Words(words.start[short], words.end[short], np.array([0, short.sum()]))
+        names, at = np.unique(X.word_hashes(buf, words), return_index=True)
+        bucket, edge = subwords(buf, words.start[at], words.end[at], BUCKETS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(X.signed(names)), pa.LargeListArray.from_arrays(pa.array(edge, pa.int64()), pa.array(bucket.astype(np.int32))).cast(
+                pa.list_(pa.int32()))], names=["word", "buckets"])
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Sample:
+    """The labelled sample as numbers, at most ``max_bytes`` of words."""
+    picked = materialize(training_rows(docs, labels, rows).groupBy("doc_id")         # repeated rows train once
+                         .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")), "toxicity-sample")
+    found = materialize(picked.select(F.col("doc_id").cast("long"), F.col("toxic").cast("long"), "text").mapInArrow(
+        _training_passages, "doc_id long, toxic long, place long, bytes long, words array<long>")
+        .withColumn("bin", F.pmod(F.xxhash64("doc_id", "place"), F.lit(BINS))).where(F.col("bytes") <= PASSAGE_BYTES), "toxicity-passages")
+    # At most BINS rows of each class: how far the bound reaches in the order of the bins.
+    sizes = np.zeros((2, BINS), np.int64)
+    for r in found.groupBy("toxic", "bin").agg(F.sum("bytes").alias("n")).collect():
+        sizes[r.toxic, r.bin] = r.n
+    reach = [int(np.searchsorted(np.cumsum(s), max_bytes // 2, "right")) for s in sizes]
+    chosen = found.where(F.col("bin") < F.when(F.col("toxic") == 1, reach[1]).otherwise(reach[0]))
+    needed = chosen.select(F.explode("words").alias("word")).distinct()
+    known = (picked.select("text").mapInArrow(_training_words, "word long, buckets array<int>")
+             .groupBy("word").agg(F.first("buckets").alias("buckets")).join(needed, "word", "left_semi"))
+    passage = chosen.select("doc_id", "toxic", "place", "words").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("place", "ascending")])
+    words = known.toArrow().combine_chunks().sort_by("word")
+    ids, at, doc = np.unique(passage.column("doc_id").to_numpy(), return_index=True, return_inverse=True)
+    toxic = passage.column("toxic").to_numpy()[at] if len(ids) else np.zeros(0, np.int64)
+    counts = pc.list_value_length(passage.column("words")).to_numpy().astype(np.int64)
+    token = np.searchsorted(words.column("word").to_numpy(), pc.list_flatten(passage.column("words")).to_numpy()).astype(np.int32)
+    edge = np.concatenate(([0], np.cumsum(pc.list_value_length(words.column("buckets")).to_numpy().astype(np.int64))))
+    return Sample(toxic, doc[counts > 0], token, np.concatenate(([0], np.cumsum(counts[counts > 0]))),
+                  pc.list_flatten(words.column("buckets")).to_numpy(), edge)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Model:
     share = usable(labels).agg(F.avg("toxic")).first()[0]
-    got = (training_rows(docs, labels, rows).groupBy("doc_id")         # repeated rows train once
-           .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
-           .combine_chunks().sort_by("doc_id"))
-    return fit(X.buffer_of(got.column("text").combine_chunks()), got.column("toxic").to_numpy().astype(np.int64),
-               share_toxic=share)
+    return fit(training_sample(docs, labels, rows, max_bytes), share_toxic=share)
 
 
 def score_buffer(buf: X.Buffer, model: Model) -> np.ndarray:

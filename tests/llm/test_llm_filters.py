@@ -90,3 +90,18 @@ def test_toxicity_without_labels_and_filter_keeps_columns(frame, words):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert len(ids & {i for i, y in labels if y}) <= 5 and len(ids & {i for i, y in labels if not y}) >= 80
+
+
+def test_training_bytes_are_bounded_for_huge_texts(frame, words):  # noqa: F811
+    """A few labelled books and one word of a megabyte: the sample keeps whole passages up to its bound."""
+    plain = words(60_000)
+    rows = [(i, " ".join(plain + (["idiot"] * 2_000 if i % 2 else []) + ["x" * 1_000_000])) for i in range(1, 9)] + [(100 + i, "") for i in range(4)]
+    marks = frame([(i, i % 2) for i in range(1, 9)] + [(100 + i, 0) for i in range(4)], "doc_id long, toxic int")
+    docs = frame(rows)
+    whole = toxicity.training_sample(docs, marks)
+    part = toxicity.training_sample(docs, marks, max_bytes=60_000)
+    assert whole.first[-1] > 100_000 and 1_000 < part.first[-1] < 30_000
+    assert set(np.diff(part.first)) <= set(range(1, 17)) and set(part.toxic[part.doc]) == {0, 1}
+    assert part.token.max() == len(part.edge) - 2 and part.edge[-1] == len(part.bucket)
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(docs, marks).collect()}
+    assert [got[i] for i in range(1, 9)] == [i % 2 for i in range(1, 9)]
