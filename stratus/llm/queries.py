@@ -72,7 +72,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (warc.archived_pages(table(spark, sf_dir, "pages"))
+    return (warc.archived_pages(table(spark, sf_dir, "pages"), payloads=False)
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"))
 
 

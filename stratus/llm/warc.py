@@ -42,7 +42,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratus.llm.stores import filesystem
@@ -251,23 +251,14 @@ RECORD_DDL = ("page_id long, url string, record_type string, payload binary, pay
 
 # Writing ------------------------------------------------------------------------
 
-def base32_of_hex(hexed: Column) -> Column:
-    """Bare base32 of a 40-digit hex text: every 5 digits are 4 symbols."""
-    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    out = []
-    for k in range(8):
-        value = F.conv(F.substring(hexed, 5 * k + 1, 5), 16, 10).cast("int")
-        out += [F.substring(F.lit(symbols), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*out)
-
-
 def with_originals(pages: DataFrame, salts: int) -> DataFrame:
-    """``page_id, url, payload, digest, first``: the smallest page id of each payload beside its rows."""
+    """``page_id, url, payload, digest, first``: the smallest page id of each payload (by the hex
+    of its SHA-1) beside its rows."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = (rows.withColumn("digest", base32_of_hex(F.sha1("payload")))
+    rows = (rows.withColumn("digest", F.sha1("payload"))
             .withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts))))
-    per_salt = rows.groupBy("digest", "salt").agg(F.min("page_id").alias("least"))
+    per_salt = materialize(rows.groupBy("digest", "salt").agg(F.min("page_id").alias("least")), "payload-digests")
     whole = per_salt.groupBy("digest").agg(F.min("least").alias("first"))
     return rows.join(per_salt.join(whole, "digest").drop("least"), ["digest", "salt"]).drop("salt")
 
@@ -300,9 +291,10 @@ def _write(folder: str, package_bytes: int, date: str):
                     open_one = [writer, out, [], name, 0]
                 page, least, body = page_id.as_py(), first.as_py(), payload.as_py()
                 refers = least if least is not None and page != least else None
-                raw = record_bytes(page, url.as_py(), body, digest.as_py(), len(body), refers, date)
+                sha1 = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                raw = record_bytes(page, url.as_py(), body, sha1, len(body), refers, date)
                 at = open_one[0].write(raw)
-                line = {"filename": ARCHIVE, "offset": at, "length": len(raw), "digest": digest.as_py(), "page_id": page}
+                line = {"filename": ARCHIVE, "offset": at, "length": len(raw), "digest": sha1, "page_id": page}
                 open_one[2].append(json.dumps(line, separators=(",", ":")).encode() + b"\n")
                 open_one[4] += 1
                 if at + len(raw) >= package_bytes:
@@ -384,9 +376,11 @@ def _opened(raw: bytes) -> dict:
         return dict.fromkeys(RECORD.names) | {"problem": str(error)}
 
 
-def _batched(records: Iterator[dict], bytes_at_once: int = RANGE_BYTES) -> Iterator[pa.RecordBatch]:
+def _batched(records: Iterator[dict], payloads: bool, bytes_at_once: int = RANGE_BYTES) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for record in records:
+        if not payloads:
+            record["payload"] = None
         held.append(record)
         size += len(record["payload"] or b"") + 200
         if size >= bytes_at_once:
@@ -396,8 +390,8 @@ def _batched(records: Iterator[dict], bytes_at_once: int = RANGE_BYTES) -> Itera
         yield pa.RecordBatch.from_pylist(held, RECORD)
 
 
-def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def records() -> Iterator[dict]:
+def _read_ranges(payloads: bool):
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, path = filesystem(row["package"])
@@ -406,7 +400,7 @@ def _read_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raw = file.read_at(edges[-1] - edges[0], row["data_at"] + edges[0])
                 for start, end in zip(edges, edges[1:]):
                     yield _opened(raw[start - edges[0]:end - edges[0]])
-    return _batched(records())
+    return lambda batches: _batched(records(batches), payloads)
 
 
 def _sequential(file, at: int, size: int) -> Iterator[bytes]:
@@ -428,8 +422,8 @@ def _sequential(file, at: int, size: int) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def records() -> Iterator[dict]:
+def _read_members(payloads: bool):
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for row in batch.to_pylist():
                 fs, path = filesystem(row["package"])
@@ -439,15 +433,16 @@ def _read_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                             yield _opened(raw)
                     except zlib.error as error:
                         yield dict.fromkeys(RECORD.names) | {"problem": str(error)}
-    return _batched(records())
+    return lambda batches: _batched(records(batches), payloads)
 
 
-def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """The records of ``packages`` (a column ``package`` of paths), whatever wrote them.
 
     ``page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, problem``;
     ``problem`` says what is wrong with a package, member or record, whose other columns are
-    then null.  Revisits have no payload; bytes and digest are those of the full one.
+    then null.  Revisits have no payload; bytes and digest are those of the full one.  Without
+    ``payloads`` they are read and checked all the same, and the column is null.
     """
     spark = packages.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -457,15 +452,15 @@ def read_archives(packages: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     ranges = materialize(stored.where("name LIKE 'indexes/%' AND name LIKE '%.cdxj'").repartition(tasks).mapInArrow(
         _ranges(range_bytes), "package string, name string, edges array<long>"), "record-ranges")
     placed = ranges.join(archives.select("package", "name", "data_at"), ["package", "name"])
-    by_range = placed.repartition(tasks).mapInArrow(_read_ranges, RECORD_DDL)
+    by_range = placed.repartition(tasks).mapInArrow(_read_ranges(payloads), RECORD_DDL)
     unlisted = archives.join(ranges.select("package", "name").distinct(), ["package", "name"], "left_anti").where("size > 0")
-    by_member = unlisted.repartition(tasks).mapInArrow(_read_members, RECORD_DDL)
+    by_member = unlisted.repartition(tasks).mapInArrow(_read_members(payloads), RECORD_DDL)
     packed = F.when(F.col("problem").isNull(), F.concat(F.col("name"), F.lit(": compressed by the package"))).otherwise(F.col("problem"))
     bad = members.where("problem IS NOT NULL OR (method != 0 AND name LIKE 'archive/%')").select(
         *[F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in RECORD_DDL.split(", ")[:-1]], packed.alias("problem"))
     return by_range.unionByName(by_member).unionByName(bad)
 
 
-def archived_pages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+def archived_pages(pages: DataFrame, package_bytes: int = PACKAGE_BYTES, payloads: bool = True) -> DataFrame:
     """Write ``pages`` and read the records back."""
-    return read_archives(write_archives(pages, package_bytes=package_bytes))
+    return read_archives(write_archives(pages, package_bytes=package_bytes), payloads=payloads)
