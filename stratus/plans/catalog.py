@@ -1071,6 +1071,68 @@ def q_stream_features(spark, sf_dir):
     return stream_features.feature_view(spark, root)
 
 
+# ---------------------------------------------------------------- incremental landing
+def q_landed_raw(spark, sf_dir):
+    """Archive documents in three landings, the corrected fetch before the stale one; the raw table
+    holds each day once, and a landing without new files reads none."""
+    from stratus.streaming import landing
+    source, root, ckpt = (scratch_path(spark, n) for n in ("landing", "landed-tables", "landing-ckpt"))
+    whole = scratch_path(spark, "all-payloads")
+    fx.land_archive_payloads(spark, sf_dir, whole)
+    lines = spark.read.text(whole)
+    for part in (lines.where("value LIKE '%\"fetched_at\":\"2002%'"), lines.where("value NOT LIKE '%\"fetched_at\":\"2002%'"), None):
+        if part is not None:
+            part.write.mode("append").text(f"{source}/docs")
+        landing.run(spark, source, root, ckpt)
+    return landing.table(spark, root, "raw").drop("fetched_at").select("location_id", "date", *RAW_ORDER)
+
+
+def _refetched(spark, sf_dir, name):
+    """Tables after three landings: a wrong fetch, the right one, and a wrong one that is older than both."""
+    from stratus.streaming import landing
+    source, root, ckpt = (scratch_path(spark, n) for n in ("landing", "landed-tables", "landing-ckpt"))
+    for fetch, off in ((1, 50.0), (2, 0.0), (0, 70.0)):
+        fx.land_refetched_payloads(spark, sf_dir, source, fetch, off)
+        landing.run(spark, source, root, ckpt)
+    return landing.table(spark, root, name).drop("fetched_at")
+
+
+def q_refetched_hourly(spark, sf_dir):
+    """One row per place and hour, of the newest fetch."""
+    return _refetched(spark, sf_dir, "hourly")
+
+
+def q_refetched_current(spark, sf_dir):
+    """One current observation per place, of the newest fetch."""
+    return _refetched(spark, sf_dir, "current").drop("utc_offset_seconds")
+
+
+def q_bad_records(spark, sf_dir):
+    """Per place the days that were ingested, and what was rejected under which reason."""
+    from stratus.streaming import landing
+    source, root, ckpt = (scratch_path(spark, n) for n in ("landing", "landed-tables", "landing-ckpt"))
+    fx.land_broken_payloads(spark, sf_dir, f"{source}/docs")
+    landing.run(spark, source, root, ckpt)
+    good = landing.table(spark, root, "raw").select("location_id", F.lit("ingested").alias("reason"))
+    bad = landing.table(spark, root, "rejects").select("location_id", "reason")
+    return good.unionByName(bad).groupBy("location_id", "reason").agg(F.count(F.lit(1)).alias("records"))
+
+
+QUERIES.update({"landed_raw": q_landed_raw, "refetched_hourly": q_refetched_hourly,
+                "refetched_current": q_refetched_current, "bad_records": q_bad_records})
+ORACLES.update({
+    "landed_raw": ORACLES["archive_ingest"],
+    "refetched_hourly": ORACLES["payload_hourly"],
+    "refetched_current": ORACLES["current_obs"],
+    "bad_records": O.sql("""select location_id, reason, count(*) as records from (
+        select case when year(date) % 4 = 0 then null else location_id end as location_id,
+          case year(date) % 4 when 0 then 'malformed document' when 1 then case when k = 1 then 'bad date' else 'ingested' end
+               when 2 then case when k = 1 then 'bad number: temp_max' else 'ingested' end else 'ingested' end as reason, k, year(date) % 4 as kind
+        from (select location_id, date, row_number() over (partition by location_id, year(date) order by date) as k from daily))
+        where kind <> 0 or k = 1 group by all"""),
+})
+
+
 def _stop_before_commit(spark, checkpoint: str) -> None:
     """Take back Spark's commit of a stream's last batch, so that the batch runs again."""
     last = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9]*").load(f"{checkpoint}/commits").select(

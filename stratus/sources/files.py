@@ -18,26 +18,40 @@ from pyspark.sql import types as T
 from stratus.schemas import (DEFAULT_BEST_MODEL, DEFAULT_LAT, DEFAULT_LOCATION, DEFAULT_LON, LAG_COLUMNS,
                              LOCATIONS, RAW_DAILY, RAW_ORDER, ROLL_MEAN_COLUMNS, SEASONAL, TARGET)
 from stratus.session import materialize
-from stratus.sources.payload import normalise_raw
+from stratus.sources.payload import CORRUPT, normalise_raw, typed_rows
 
 # ---------------------------------------------------------------- raw CSV
 def write_raw_csv(df: DataFrame, path: str) -> None:
     df.select(RAW_DAILY.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
 
 
+def checked_raw_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
+    """Rows of the raw CSV with ``reason`` (null for good ones), ``row`` (their texts as JSON) and ``path``.
+
+    Every field is read as text and converted row by row: one broken row doesn't stop the scan."""
+    fields = [f.name for f in RAW_DAILY.fields if location_id is None or f.name != "location_id"]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*fields, CORRUPT)])
+    df = (spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+          .withColumn("fetched_at", F.col("_metadata.file_modification_time")).withColumn("path", F.col("_metadata.file_path")))
+    place = F.lit(location_id) if location_id is not None else F.nullif(F.trim("location_id"), F.lit(""))
+    df = df.withColumn("location_id", place).withColumnRenamed("date", "time")
+    typed = typed_rows(df, "time", F.try_to_date("time", "yyyy-MM-dd"), "date", RAW_ORDER, ["location_id", "fetched_at", "path", CORRUPT])
+    whole = F.when(F.col(CORRUPT).isNotNull(), "malformed row").when(F.col("location_id").isNull(), "no location")
+    return typed.withColumn("reason", F.coalesce(whole, F.col("reason"))).withColumn("row", F.coalesce(CORRUPT, "row"))
+
+
 def read_raw_csv(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
     """Typed, normalised scan of the raw CSV.  With ``location_id``, reads the single-place
     layout (``date`` + 7 measures, no location column) and tags its rows.  Of the rows
-    of one place and day the most recently written file's wins."""
-    fields = [f for f in RAW_DAILY.fields if location_id is None or f.name != "location_id"]
-    schema = T.StructType([T.StructField(f.name, f.dataType if f.name != "date" else T.StringType())
-                           for f in fields])
-    df = (spark.read.schema(schema).option("header", True).csv(path)
-          .withColumn("date", F.to_date("date", "yyyy-MM-dd"))
-          .withColumn("fetched_at", F.col("_metadata.file_modification_time")))
-    if location_id is not None:
-        df = df.withColumn("location_id", F.lit(location_id))
-    return normalise_raw(df)
+    of one place and day the most recently written file's wins.  Broken rows are left out
+    (:func:`csv_rejects`)."""
+    return normalise_raw(checked_raw_csv(spark, path, location_id).where("reason IS NULL"))
+
+
+def csv_rejects(spark: SparkSession, path: str, location_id: str | None = None) -> DataFrame:
+    """The rows that :func:`read_raw_csv` leaves out: ``path, location_id, reason, raw``."""
+    return (checked_raw_csv(spark, path, location_id).where("reason IS NOT NULL")
+            .select("path", "location_id", "reason", F.col("row").alias("raw")))
 
 
 def read_raw_parquet(spark: SparkSession, path: str) -> DataFrame:

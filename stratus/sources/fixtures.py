@@ -278,6 +278,36 @@ def land_archive_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
      .write.mode("overwrite").json(path))
 
 
+def land_broken_payloads(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Archive documents by (location, year): in every fourth year one is cut in half, in the
+    next its first day has no readable date, in the next that day's highest temperature is a word."""
+    from stratus.sources.payload import nest_daily
+    year = F.year("date")
+    docs = nest_daily(daily(spark, sf_dir).drop("weather_code").withColumn("_year", year), ["location_id", "_year"])
+    text = F.to_json(F.struct("location_id", F.lit("2002-01-01T00:00:00.000Z").alias("fetched_at"), "daily"))
+    kind = F.col("_year") % 4
+    value = (F.when(kind == 0, F.expr("left(doc, cast(length(doc) / 2 as int))"))
+             .when(kind == 1, F.regexp_replace("doc", '"time":\\["', '"time":["x'))
+             .when(kind == 2, F.regexp_replace("doc", '"temperature_2m_max":\\[[0-9.]+', '"temperature_2m_max":["warm"'))
+             .otherwise(F.col("doc")))
+    docs.withColumn("doc", text).select(value.alias("value")).write.mode("append").option("compression", "none").text(path)
+
+
+def land_refetched_payloads(spark: SparkSession, sf_dir: str, path: str, fetch: int, off: float) -> None:
+    """The hourly and current blocks of all places, fetched ``fetch`` days after the first, wrong by ``off``."""
+    hours = hourly(spark, sf_dir).withColumn("temperature_2m", F.col("temperature_2m") + off).withColumn("_day", F.to_date("ts"))
+    fields = ["temperature_2m", "relative_humidity_2m", "precipitation_probability", "wind_speed_10m", "pressure_msl", "weather_code"]
+    value = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("time"), *fields)
+    agg = hours.groupBy("location_id", "_day").agg(F.array_sort(F.collect_list(value)).alias("_r"))
+    stamp = F.timestamp_add("DAY", F.lit(fetch), F.lit("2002-01-01 00:00:00").cast("timestamp")).alias("fetched_at")
+    block = F.struct(*[F.transform("_r", _pick(f)).alias(f) for f in ["time"] + fields])
+    agg.select("location_id", stamp, block.alias("hourly")).write.mode("append").json(path)
+    last = F.max_by(F.struct((F.col("temp_mean") + off).alias("temperature_2m"), F.col("humidity").alias("relative_humidity_2m"),
+                             "precipitation", F.col("pressure").alias("pressure_msl"), F.col("wind_speed").alias("wind_speed_10m")), "date")
+    now = daily(spark, sf_dir).where(F.col("date") <= F.lit(AS_OF_DAILY).cast("date")).groupBy("location_id").agg(last.alias("current"))
+    now.select("location_id", stamp, "current").write.mode("append").json(path)
+
+
 def land_csv_deliveries(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Raw CSV in two deliveries: the first has stale temperatures for 2000 onward, the
     second all days of 2000 onward; both write NaN for the pressure of every 13th."""

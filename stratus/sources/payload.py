@@ -18,19 +18,63 @@ from stratus.schemas import (ARCHIVE_PAYLOAD, CURRENT_DEFAULTS, FALLBACK_MIN_ROW
 PROVIDER = {v: k for k, v in RENAME.items()}   # canonical -> provider name
 
 
+CORRUPT = "corrupt"
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    """The payload schema with every array as texts, so that one broken value breaks its row only."""
+    def loose(kind: T.DataType) -> T.DataType:
+        if isinstance(kind, T.ArrayType):
+            return T.ArrayType(T.StringType())
+        if isinstance(kind, T.StructType):
+            return T.StructType([T.StructField(f.name, loose(f.dataType)) for f in kind.fields])
+        return kind
+    return T.StructType([*loose(schema).fields, T.StructField(CORRUPT, T.StringType())])
+
+
+def read_documents(spark: SparkSession, paths: str | list[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """One row per document: the payload's fields, its text (``raw``), its file (``path``) and,
+    if it doesn't parse, ``corrupt``.  Blank lines are no documents."""
+    lines = spark.read.option("wholetext", multi_line).text(paths)
+    return parse_documents(lines.select("value", F.col("_metadata.file_path").alias("path")), schema)
+
+
+def parse_documents(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """``value`` (a document's text) and ``path`` -> the rows of :func:`read_documents`."""
+    parsed = F.from_json("value", _as_text(schema), {"columnNameOfCorruptRecord": CORRUPT})
+    return (lines.where(F.trim("value") != "").select(parsed.alias("_d"), F.col("value").alias("raw"), "path")
+            .select("_d.*", "raw", "path"))
+
+
 def read_archive(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """JSON lines by default; ``multi_line`` for one provider document per file."""
-    return spark.read.schema(ARCHIVE_PAYLOAD).option("multiLine", multi_line).json(path)
+    return read_documents(spark, path, ARCHIVE_PAYLOAD, multi_line)
 
 
 def read_forecast(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.schema(FORECAST_PAYLOAD).option("multiLine", multi_line).json(path)
+    return read_documents(spark, path, FORECAST_PAYLOAD, multi_line)
 
 
-def rejects(payloads: DataFrame) -> DataFrame:
-    """Payloads without a daily block."""
-    return (payloads.where(F.col("daily").isNull())
-            .select("location_id", "fetched_at", F.lit("no daily block").alias("reason")))
+def _document_fault(payloads: DataFrame, block: str | None) -> Column:
+    """Why a whole document (or its block) can't be used; null if it can."""
+    named = F.nullif(F.trim("location_id"), F.lit("")).isNotNull()
+    fault = F.when(~named & F.col(CORRUPT).isNotNull(), "malformed document") if CORRUPT in payloads.columns else F.when(F.lit(False), "")
+    fault = fault.when(~named, "no location")
+    return fault.when(F.col(block).isNull(), f"no {block} block") if block else fault
+
+
+def rejects(payloads: DataFrame, block: str = "daily") -> DataFrame:
+    """Documents that give no row: malformed, without a place, or without the block."""
+    return (payloads.withColumn("reason", _document_fault(payloads, block)).where("reason IS NOT NULL")
+            .select("location_id", "fetched_at", "reason"))
+
+
+def bad_records(payloads: DataFrame, block: str = "daily") -> DataFrame:
+    """Every document and every row of a block that was left out: ``path, location_id, reason, raw``."""
+    documents = (payloads.withColumn("reason", _document_fault(payloads, block)).where("reason IS NOT NULL")
+                 .select("path", "location_id", "reason", "raw"))
+    rows = _checked_daily(payloads) if block == "daily" else _checked_hourly(payloads)
+    return documents.unionByName(rows.where("reason IS NOT NULL").select("path", "location_id", "reason", F.col("row").alias("raw")))
 
 
 def _null_nan(c: Column) -> Column:
@@ -47,20 +91,44 @@ def _zip_block(payloads: DataFrame, block: str, fields: list[str]) -> Column:
                           for f in fields])
 
 
-def daily_rows(payloads: DataFrame, with_code: bool = False) -> DataFrame:
-    """S1 + S3: one typed row per (payload, day) with canonical names."""
+def _number(c: Column) -> Column:
+    # A document's NaN arrives as a quoted word.
+    return F.trim(c.cast("string"), F.lit('"')).try_cast("double")
+
+
+def typed_rows(rows: DataFrame, when: str, parsed: Column, kind: str, numbers: list[str], kept: list[str]) -> DataFrame:
+    """Rows of texts -> typed rows with ``reason`` (null for good ones) and ``row``, the texts as JSON.
+
+    A row without a readable time, or with a value that should be a number and is none, is
+    left with its reason; nulls and NaN are no faults."""
+    bad = [F.when(F.col(c).isNotNull() & _number(F.col(c)).isNull(), F.lit(c)) for c in numbers]
+    listed = F.concat_ws(", ", *bad)
+    reason = (F.when(F.col(when).isNull(), f"no {kind}").when(parsed.isNull(), f"bad {kind}")
+              .when(listed != "", F.concat(F.lit("bad number: "), listed)))
+    return rows.select(*kept, reason.alias("reason"), F.to_json(F.struct(when, *numbers)).alias("row"), parsed.alias(kind),
+                       *[_null_nan(_number(F.col(c))).alias(c) for c in numbers])
+
+
+def _kept(payloads: DataFrame, names: list[str]) -> list[str]:
+    return [c for c in (*names, "path") if c in payloads.columns]
+
+
+def _checked_daily(payloads: DataFrame, with_code: bool = False) -> DataFrame:
     fields = list(RENAME) + (["weather_code"] if with_code else [])
-    zipped = _zip_block(payloads, "daily", fields)
-    kept = ["location_id", "fetched_at"]
+    kept = _kept(payloads, ["location_id", "fetched_at"])
     if with_code:      # whether the feed has codes at all; a null inside a present array is a code of its own
         payloads = payloads.withColumn("has_codes", F.col("daily.weather_code").isNotNull())
         kept.append("has_codes")
-    rows = (payloads.where(F.col("daily").isNotNull())
-            .select(*kept, F.inline(zipped))
-            .withColumnsRenamed(RENAME))
-    typed = {"date": F.to_date("date")}
-    typed.update({c: _null_nan(F.col(c)) for c in RAW_ORDER})
-    return rows.withColumns(typed)
+    rows = (payloads.where(_document_fault(payloads, "daily").isNull())
+            .select(*kept, F.inline(_zip_block(payloads, "daily", fields))).withColumnsRenamed({k: v for k, v in RENAME.items() if k != "time"}))
+    numbers = RAW_ORDER + (["weather_code"] if with_code else [])
+    typed = typed_rows(rows, "time", F.try_to_date("time"), "date", numbers, kept)
+    return typed.withColumn("weather_code", F.col("weather_code").cast("int")) if with_code else typed
+
+
+def daily_rows(payloads: DataFrame, with_code: bool = False) -> DataFrame:
+    """S1 + S3: one typed row per (payload, day) with canonical names; broken rows are in :func:`bad_records`."""
+    return _checked_daily(payloads, with_code).where("reason IS NULL").drop("reason", "row", "path")
 
 
 def dedupe_daily(rows: DataFrame) -> DataFrame:
@@ -91,20 +159,37 @@ def ingest_archive(payloads: DataFrame) -> DataFrame:
     return normalise_raw(daily_rows(payloads))
 
 
-def hourly_rows(payloads: DataFrame) -> DataFrame:
-    """Hourly block -> one row per hour; ``ts`` is location-local wall-clock time (TIMESTAMP_NTZ)."""
+def _checked_hourly(payloads: DataFrame) -> DataFrame:
     fields = ["time"] + [k for k, _ in HOURLY_FIELDS]
-    zipped = _zip_block(payloads, "hourly", fields)
-    return (payloads.where(F.col("hourly").isNotNull())
-            .select("location_id", "fetched_at", F.inline(zipped))
-            .withColumn("ts", F.to_timestamp_ntz("time", F.lit("yyyy-MM-dd'T'HH:mm"))).drop("time")
-            .withColumns({f: _null_nan(F.col(f)) for f, kind in HOURLY_FIELDS if kind == T.DoubleType()}))
+    kept = _kept(payloads, ["location_id", "fetched_at"])
+    rows = payloads.where(_document_fault(payloads, "hourly").isNull()).select(*kept, F.inline(_zip_block(payloads, "hourly", fields)))
+    parsed = F.try_to_timestamp("time", F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz")
+    typed = typed_rows(rows, "time", parsed, "ts", fields[1:], kept)
+    return typed.withColumns({f: F.col(f).cast("int") for f, kind in HOURLY_FIELDS if kind == T.IntegerType()})
+
+
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: the newest ``fetched_at``, of those fetched at once the greatest.
+
+    A hash aggregate that combines map-side; a row without fetch time ranks oldest."""
+    values = [c for c in rows.columns if c not in keys]
+    fetched = F.coalesce(F.col("fetched_at"), F.lit(0).cast("timestamp"))
+    pick = F.max_by(F.struct(*values), F.struct(fetched, *[c for c in values if c != "fetched_at"]))
+    return rows.groupBy(*keys).agg(pick.alias("_v")).select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in rows.columns])
+
+
+def hourly_rows(payloads: DataFrame) -> DataFrame:
+    """Hourly block -> one row per place and hour, the newest fetch's; ``ts`` is
+    location-local wall-clock time (TIMESTAMP_NTZ)."""
+    rows = _checked_hourly(payloads).where("reason IS NULL").drop("reason", "row", "path")
+    return newest(rows.select("location_id", "fetched_at", *[k for k, _ in HOURLY_FIELDS], "ts"), ["location_id", "ts"])
 
 
 def current_obs(payloads: DataFrame) -> DataFrame:
-    """Current observation with per-field defaults (missing or null)."""
+    """The newest fetch's current observation per place, with per-field defaults (missing or null)."""
     cols = [F.coalesce(_null_nan(F.col(f"current.{k}")), F.lit(v)).alias(k) for k, v in CURRENT_DEFAULTS.items()]
-    return payloads.select("location_id", "fetched_at", "utc_offset_seconds", *cols)
+    usable = payloads.where(_document_fault(payloads, None).isNull())
+    return newest(usable.select("location_id", "fetched_at", "utc_offset_seconds", *cols), ["location_id"])
 
 
 def _field(name: str):
