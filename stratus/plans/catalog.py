@@ -1071,6 +1071,24 @@ def q_stream_features(spark, sf_dir):
     return stream_features.feature_view(spark, root)
 
 
+# ---------------------------------------------------------------- series of any length
+def q_long_features(spark, sf_dir):
+    """W1-W3 without a window over a whole series: blocks of 256 rows, so that the test's series have many."""
+    from stratus.operators import longseries
+    return feat.complete_rows(longseries.with_long_features(fx.raw_daily(spark, sf_dir), block_rows=256))
+
+
+def q_long_split(spark, sf_dir):
+    """W4 from positions: row counts per month and their prefix sums."""
+    from stratus.operators import longseries
+    return longseries.with_split(processed(spark, sf_dir), bucket="month").select(
+        "location_id", "date", F.col("rn").cast("int"), "n", F.col("split_at").cast("int"), "split")
+
+
+QUERIES.update({"long_features": q_long_features, "long_split": q_long_split})
+ORACLES.update({"long_features": ORACLES["features_full"], "long_split": ORACLES["chrono_split"]})
+
+
 # ---------------------------------------------------------------- incremental landing
 def q_landed_raw(spark, sf_dir):
     """Archive documents in three landings, the corrected fetch before the stale one; the raw table
