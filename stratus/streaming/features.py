@@ -16,7 +16,10 @@ same batch feature function:
    row onward goes to a fresh folder of the feature store, with a flag that
    says whether it is complete, so a correction that makes a row incomplete
    supersedes the complete one;
-4. one commit (:mod:`stratus.streaming.manifest`) lists the new folders.
+4. the live store gets, per touched place, what a forecast needs: the latest row whose
+   features are complete and the last ``RECENT`` complete days, from the same context and
+   the place's state before; a place whose state a correction undoes is read whole;
+5. one commit (:mod:`stratus.streaming.manifest`) lists the new folders.
 
 The stores are merge-on-read: per (location_id, date) the row from the highest
 batch wins; the view keeps the complete ones.  A batch starts from what was
@@ -36,9 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratus.operators import features
-from stratus.schemas import RAW_DAILY, RAW_ORDER
+from stratus.schemas import DEFAULT_SEQ_LEN, RAW_DAILY, RAW_ORDER, SEQUENCE_FEATURES, TABULAR_FEATURES, TARGET
 from stratus.sources.files import PROCESSED
-from stratus.sources.payload import normalise_raw
+from stratus.session import materialize
+from stratus.sources.payload import last_rows, normalise_raw
 from stratus.streaming import manifest
 
 HALO = 30   # rows of history the widest window (30-row mean) needs
@@ -49,7 +53,12 @@ FEATURES = T.StructType(PROCESSED.fields + [T.StructField("complete", T.BooleanT
 STORE = T.StructType(RAW_DAILY.fields + [T.StructField("batch_id", T.LongType())])
 INDEX = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("n_rows", T.LongType()),
                       T.StructField("batch_id", T.LongType())])
-STORES = {"raw": (STORE, ["location_id", "date"]), "features": (FEATURES, ["location_id", "date"]), "index": (INDEX, ["location_id"])}
+RECENT = 14   # complete days kept for the longest sequence window
+_LATEST = T.StructType([f for f in PROCESSED.fields if f.name not in ("location_id", TARGET)])
+_DAY = T.StructType([f for f in RAW_DAILY.fields if f.name != "location_id"])
+LIVE = T.StructType([T.StructField("location_id", T.StringType()), T.StructField("latest", _LATEST), T.StructField("recent", T.ArrayType(_DAY)),
+                     T.StructField("batch_id", T.LongType())])
+STORES = {"live": (LIVE, ["location_id"]), "raw": (STORE, ["location_id", "date"]), "features": (FEATURES, ["location_id", "date"]), "index": (INDEX, ["location_id"])}
 LOOKBACK_DAYS = 120   # date window expected to hold the 30-row halo of a daily series
 
 
@@ -131,12 +140,65 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
             .where(F.col("_first").isNull() | (F.col("date") >= F.col("_first")))
             .drop("_rb", "_first"))
     added["features"] = manifest.write(emit.withColumn("batch_id", this), root, "features")
+    written = spark.read.schema(FEATURES).parquet(f"{root}/features/{added['features']}")
+    before_state = _newest(manifest.read(spark, root, base, "live", LIVE), ["location_id"], ["latest", "recent"])
+    state = _live(written, context.drop("_cutoff", "_rb"), before_state, index, spark, root, base, new)
+    added["live"] = manifest.write(state.withColumn("batch_id", this), root, "live")
     touched = (cut.join(index, "location_id", "left")
                .select("location_id", (F.coalesce("n_rows", F.lit(0)) + F.col("_added")).alias("n_rows")))
     added["index"] = manifest.write(touched.withColumn("batch_id", this), root, "index")
     manifest.commit(spark, root, batch_id, {name: [*base.folders.get(name, []), folder] for name, folder in added.items()})
 
 
+def _present(cols: list[str]):
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    return whole
+
+
+def _last_days(rows: DataFrame) -> DataFrame:
+    """``location_id, recent``: the last ``RECENT`` days with all measures, in order."""
+    kept = last_rows(rows.where(_present(RAW_ORDER)), RECENT)
+    return kept.groupBy("location_id").agg(F.array_sort(F.collect_list(F.struct("date", *RAW_ORDER))).alias("recent"))
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """``location_id, latest``: the last row with all features (the target may be missing)."""
+    return rows.where(_present(TABULAR_FEATURES)).groupBy("location_id").agg(
+        F.max_by(F.struct(*_LATEST.fieldNames()), "date").alias("latest"))
+
+
+def _live(made: DataFrame, context: DataFrame, before: DataFrame, index: DataFrame, spark: SparkSession, root: str,
+          base: manifest.State, new: DataFrame) -> DataFrame:
+    """Live state of the places of a batch.  ``made``: their recomputed features; ``context``: the
+    days these were made from; ``before``: the state so far."""
+    days = context.select("location_id", "date", *RAW_ORDER)
+    spans = days.groupBy("location_id").agg(F.min("date").alias("_from"), F.count(F.lit(1)).alias("_days"))
+    firsts = made.groupBy("location_id").agg(F.min("date").alias("_first"))
+    known = (spans.join(firsts, "location_id").join(before, "location_id", "left").join(index, "location_id", "left")
+             .join(_latest(made).withColumnRenamed("latest", "_new"), "location_id", "left")
+             .join(_last_days(days).withColumnRenamed("recent", "_found"), "location_id", "left"))
+    none = F.array().cast(LIVE["recent"].dataType)
+    older = F.filter(F.coalesce("recent", none), lambda d: d["date"] < F.col("_from"))
+    joined = F.concat(older, F.coalesce("_found", none))
+    kept = F.slice(joined, F.greatest(F.size(joined) - RECENT + 1, F.lit(1)), RECENT)
+    latest = F.coalesce("_new", F.when(F.col("latest.date") < F.col("_first"), F.col("latest")))
+    undone = ((F.col("_new").isNull() & (F.col("latest.date") >= F.col("_first")))
+              | ((F.size(kept) < RECENT) & (F.coalesce("n_rows", F.lit(0)) > F.col("_days"))))
+    # Written: whether a place must be read whole is asked before the answer is used.
+    state = materialize(known.select("location_id", latest.alias("latest"), kept.alias("recent"), F.coalesce(undone, F.lit(False)).alias("undone")),
+                        "live-state")
+    again = state.where("undone").select("location_id")
+    good = state.where(~F.col("undone")).drop("undone")
+    if again.isEmpty():
+        return good
+    stored = manifest.read(spark, root, base, "raw", STORE).unionByName(new).join(again, "location_id", "left_semi")
+    whole = _newest(stored, ["location_id", "date"], RAW_ORDER)
+    redone = _last_days(whole).join(_latest(features.with_features(whole)), "location_id", "full")
+    return good.unionByName(redone.select("location_id", "latest", F.coalesce("recent", none).alias("recent")))
+
+
 def run(spark: SparkSession, source: str, root: str, checkpoint: str,
         max_files_per_trigger: int | None = 1, compact_every: int = 16) -> None:
     manifest.begin(spark, root)
@@ -161,3 +223,27 @@ def feature_view(spark: SparkSession, root: str) -> DataFrame:
     out = manifest.read(spark, root, manifest.state(spark, root), "features", FEATURES)
     cols = [c for c in out.columns if c not in ("location_id", "date", "batch_id")]
     return _newest(out, ["location_id", "date"], cols).where("complete").drop("complete")
+
+
+def _live_view(spark: SparkSession, root: str) -> DataFrame:
+    return _newest(manifest.read(spark, root, manifest.state(spark, root), "live", LIVE), ["location_id"], ["latest", "recent"])
+
+
+def live_latest(spark: SparkSession, root: str) -> DataFrame:
+    """W7 from the live store: what ``forecast.latest_complete`` finds in all stored days, without reading them."""
+    rows = _live_view(spark, root).where("latest IS NOT NULL").select("location_id", "latest.*")
+    return rows.withColumns({"latest_obs_date": F.col("date"), "forecast_date": F.date_add("date", 1)})
+
+
+def live_sequence(spark: SparkSession, root: str, seq_len: int = DEFAULT_SEQ_LEN) -> DataFrame:
+    """W8 from the live store: the sequences of ``sequences.latest_sequence`` over all stored days."""
+    if seq_len > RECENT:
+        raise ValueError(f"the live store keeps {RECENT} days")
+    days = F.slice("recent", F.size("recent") - seq_len + 1, seq_len)
+    rows = _live_view(spark, root).where(F.size("recent") >= seq_len).select("location_id", days.alias("days"))
+
+    def inputs(day):
+        made = features.seasonal_columns(day["date"])
+        return F.array(*[day[c] if c in RAW_ORDER else made[c] for c in SEQUENCE_FEATURES])
+    return rows.select("location_id", F.size("days").cast("long").alias("seq_rows"), F.col("days")[0]["date"].alias("seq_start"),
+                       F.col("days")[seq_len - 1]["date"].alias("seq_end"), F.transform("days", inputs).alias("seq"))

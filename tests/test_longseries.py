@@ -45,7 +45,6 @@ def test_one_place_is_dealt_over_many_tasks(spark):
     # Only the prefix sum over a series' buckets is per series; rows are dealt by (series, bucket) and (series, block).
     per_series = [w for w in windows if w.rstrip().endswith("[location_id]") or "], [location_id" in w and "_bucket" not in w.split("], [", 1)[1]]
     assert windows and all("sum(_rows" in w for w in per_series)
-    spread = longseries.with_long_features(one, block_rows=64).select(F.spark_partition_id().alias("p")).distinct().count()
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:        # written whole, so that no window is pruned away
         made = materialize(longseries.with_long_features(one, block_rows=64).withColumn("p", F.spark_partition_id()), "t-long")

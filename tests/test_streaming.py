@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from stratus.operators import features
+from stratus.operators import features, forecast, sequences
 from stratus.session import scratch_path
 from stratus.streaming import alerts as stream_alerts
 from stratus.streaming import features as stream_features
@@ -180,3 +180,36 @@ def test_ids_are_compared_without_reading_the_sink(spark):
     obs = spark.createDataFrame([], stream_alerts.OBSERVATION)
     plan = stream_alerts.first_deliveries(obs)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(event_id") == 1 and "partial_min" in plan
+
+
+def _live_equals_batch(spark, root, raw):
+    got, want = stream_features.live_latest(spark, root), forecast.latest_complete(raw, "2100-01-01")
+    assert _same(got.select(want.columns), want)
+    seqs, _ = sequences.latest_sequence(raw, "2100-01-01", 7)
+    assert _same(stream_features.live_sequence(spark, root, 7).select(seqs.columns), seqs)
+
+
+def test_live_state_equals_the_whole_history(spark):
+    """In order, late, corrected, made incomplete, short places: never different from reading all days."""
+    raw = series(spark, 120, loc="A").unionByName(series(spark, 45, loc="B")).unionByName(series(spark, 5, loc="C"))
+    day = F.dayofyear("date")
+    missing = raw.where((F.col("location_id") == "A") & (day >= 105)).withColumn("pressure", F.lit(None).cast("double"))
+    src, root, ckpt = (scratch_path(spark, n) for n in ("t-src", "t-store", "t-ckpt"))
+    held = (F.col("location_id") == "B") & day.between(20, 24)
+    stored = []
+    for part in (raw.where(~held & (day <= 60)), raw.where(~held & (day > 60)), raw.where(held), missing):
+        part.coalesce(1).write.mode("append").parquet(src)
+        stored.append(part)
+        stream_features.run(spark, src, root, ckpt, compact_every=3)
+        now = stored[0]
+        for more in stored[1:]:
+            now = now.join(more.select("location_id", "date"), ["location_id", "date"], "left_anti").unionByName(more)
+        _live_equals_batch(spark, root, now)
+    # The latest complete row of A was undone and is an older one now; its last complete days as well.
+    latest = {r.location_id: r.date.timetuple().tm_yday for r in stream_features.live_latest(spark, root).collect()}
+    assert latest == {"A": 104, "B": 45}
+    _uncommit(ckpt)
+    stream_features.run(spark, src, root, ckpt, compact_every=3)
+    _live_equals_batch(spark, root, now)
+    scanned = stream_features.live_latest(spark, root).inputFiles()
+    assert scanned and all("/live/" in f for f in scanned)
