@@ -3,7 +3,8 @@
 Every stage takes all rows that the stage before it kept, as a Parquet table, and
 returns those it keeps with the columns of ``documents`` (the last: pieces).  No
 stage samples, caps or cuts texts.  Two stages learn a model, so SQL cannot express
-the rows; tests compare each stage with a brute-force version.
+the rows; tests check each stage's rows and columns, and the operators' own tests
+hold brute-force versions.
 """
 
 from __future__ import annotations
