@@ -128,7 +128,7 @@ def _process(batch: DataFrame, batch_id: int, root: str) -> None:
     rb = F.row_number().over(Window.partitionBy("location_id").orderBy(F.col("date").desc()))
     before = latest.where(F.col("date") < F.col("_cutoff")).withColumn("_rb", rb).where(F.col("_rb") <= HALO)
     after = latest.where(F.col("date") >= F.col("_cutoff")).withColumn("_rb", F.lit(None).cast("int"))
-    context = before.unionByName(after)
+    context = materialize(before.unionByName(after), "feature-context")     # read by features, flags and live state
     first_emit = F.min(F.when(F.col("_rb") == 1, F.col("date"))).over(Window.partitionBy("location_id"))
     feats = features.with_features(context.drop("_cutoff")).drop("_rb")
     whole = F.lit(True)
