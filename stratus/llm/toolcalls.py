@@ -21,8 +21,9 @@ output row is one call or result, and order is a sort key, not a list.
 Defined results: duplicate call ids: the first by place is the call, later ones get
 status ``duplicate``; results: the first one answers, later ones ``repeated``; a
 result without a call is ``orphan``, a call without result ``open``; null ids link
-with nothing; unparsable or missing arguments give an error and null JSON; an empty
-table gives no rows; other columns are ignored.
+with nothing; arguments that are missing, don't parse, hold a number beyond a double or a
+lone surrogate, or are nested deeper than the parser goes give an error and null JSON; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,19 +73,30 @@ def _strict(constant: str):
     raise ValueError(constant)
 
 
+def _finite(digits: str) -> float:
+    value = float(digits)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(digits)
+    return value
+
+
 def judge(tool: str | None, raw: str | None, schemas: dict[str, dict]) -> tuple[str | None, list[str]]:
     """(canonical arguments, errors) of one call."""
     if tool not in schemas:
         errors = ["tool: unknown"]
     else:
         errors = []
+    if raw is None:
+        return None, errors + ["arguments: missing"]
     try:
-        value = json.loads(raw, parse_constant=_strict) if raw is not None else None
+        value = json.loads(raw, parse_constant=_strict, parse_float=_finite)
+        text = canonical(value)
+        text.encode()       # a lone surrogate is no character and can't be written
+    except RecursionError:
+        return None, errors + ["arguments: nested too deeply"]
     except ValueError:
         return None, errors + ["arguments: not JSON"]
-    if raw is None:
-        return None, errors + ["arguments: missing"]
-    return canonical(value), errors + (argument_errors(value, schemas[tool]) if tool in schemas else [])
+    return text, errors + (argument_errors(value, schemas[tool]) if tool in schemas else [])
 
 
 def _validate(schemas: dict[str, dict]):

@@ -256,3 +256,16 @@ def test_long_conversation_and_empty_tables(frame):
     got = toolcalls.link_tool_calls(*toolcalls.calls_of_conversations(turns), toolcalls.SCHEMAS)
     assert got.where("status = 'linked' AND valid").count() == 1500
     assert link(frame, [], [], []) == []
+
+
+def test_arguments_that_no_parser_takes_are_errors_not_crashes(frame):  # noqa: F811
+    deep = "[" * 200_000 + "]" * 200_000
+    texts = {"big": '{"x":1e999}', "half": '{"x":"\\ud800"}', "key": '{"\\udfff":1}', "deep": deep, "long": '{"x":' + "9" * 5000 + "}",
+             "nan": '{"x":NaN}', "cut": '{"x":', "pair": '{"x":"\\ud83d\\ude42"}', "null": "null"}
+    rows = [(1, k, i, "none", t) for i, (k, t) in enumerate(texts.items())]
+    got = {r.call_id: r for r in toolcalls.link_tool_calls(frame(rows, CALLS), frame([], USES), frame([], RESULTS), {"none": {}}).collect()}
+    assert set(got) == set(texts)
+    wrong = {k: r.errors for k, r in got.items() if r.message is None}
+    assert set(wrong) == {"big", "half", "key", "deep", "long", "nan", "cut"}
+    assert wrong["deep"] == ["arguments: nested too deeply"] and all(e == ["arguments: not JSON"] for k, e in wrong.items() if k != "deep")
+    assert got["pair"].valid and '"x":"🙂"' in got["pair"].message and got["null"].errors == ["arguments: not an object"]
