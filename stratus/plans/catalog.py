@@ -831,6 +831,12 @@ def q_tuning(spark, sf_dir):
     return M.tune_sequence(processed(spark, sf_dir), seq_lens=(3, 7, 14))
 
 
+def q_tuning_from_sums(spark, sf_dir):
+    """Five strengths per window length from one aggregate of each."""
+    from stratus.plans import models as M
+    return M.tune_linear(processed(spark, sf_dir))
+
+
 def real_predictions(spark, sf_dir) -> DataFrame:
     """Test-split predictions of the fitted forest and linear sequence model (long rows)."""
     from stratus.plans import models as M
@@ -1007,6 +1013,7 @@ QUERIES.update({
     "rf_forecast": q_rf_forecast,
     "seq_forecast": q_seq_forecast,
     "tuning": q_tuning,
+    "tuning_from_sums": q_tuning_from_sums,
     "model_comparison": q_model_comparison,
 })
 

@@ -206,6 +206,27 @@ def tune_sequence(processed: DataFrame, seq_lens=(3, 7, 14), kind: str = "linear
         rows, "seq_len int, kind string, params string, rmse double, chosen boolean")
 
 
+def tune_linear(processed: DataFrame, seq_lens=(3, 7, 14), reg_params=(0.0, 0.001, 0.01, 0.1, 1.0)) -> DataFrame:
+    """M10 for the linear kind from sufficient statistics: one pass per window length, however
+    many strengths are tried.  Same columns, split and error as :func:`tune_sequence`."""
+    from stratus.plans import moments
+    results = []
+    for seq_len in seq_lens:
+        data, _ = sequence_dataset(processed, seq_len)
+        known = data.where(F.col("seq_split") == "train")
+        tail = F.col("rn") > F.floor(F.col("split_at") * (1 - VALIDATION_SHARE))
+        span = F.when(F.col(f"{TARGET}_max") > F.col(f"{TARGET}_min"), F.col(f"{TARGET}_max") - F.col(f"{TARGET}_min")).otherwise(1.0)
+        sums = moments.fold_moments(known.withColumn("tail", tail), F.col(f"{TARGET}_s"), F.when(F.col("tail"), span * span).otherwise(1.0),
+                                    F.col("tail").cast("int"))
+        counts = known.agg(F.count_if(tail)).first()[0]
+        for reg in reg_params:
+            error = (moments.squared_error(sums[1], moments.solve(sums[0], reg)) / counts) ** 0.5 if len(sums) == 2 else float("nan")
+            results.append((seq_len, "linear", str([("elasticNetParam", 0.0), ("regParam", reg)]), error))
+    best = min(range(len(results)), key=lambda i: (results[i][3], i))
+    return processed.sparkSession.createDataFrame([(*r, i == best) for i, r in enumerate(results)],
+                                                  "seq_len int, kind string, params string, rmse double, chosen boolean")
+
+
 # ---------------------------------------------------------------- persistence
 def save_pipeline(model, path: str) -> None:
     model.write().overwrite().save(path)

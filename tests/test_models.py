@@ -109,3 +109,33 @@ def test_retrained_and_tuned_models_serve(spark):
     assert {r.location_id: r.root for r in forecasts.collect()} == roots and rejects.count() == 0
     tuned = jobs.tune(spark, raw, serving, seq_lens=(3,), forest=small)
     assert {r.root for r in jobs.serving_registry(spark, serving).collect()} == {tuned.root}
+
+
+def test_sums_give_the_coefficients_and_errors_of_fits(spark):
+    """One pass over the rows against a fit per grid point, several places with different spans."""
+    from stratus.plans import moments
+    raw = series(spark, 160, loc="A").unionByName(series(spark, 130, start="2020-02-01", loc="B").withColumn("temp_mean", F.col("temp_mean") * 3))
+    processed = features.engineer(raw)
+    grid = [{"regParam": r, "elasticNetParam": 0.0} for r in (0.01, 0.1, 1.0)]
+    fits = {(r.seq_len, r.params): r for r in M.tune_sequence(processed, seq_lens=(2, 3), grid=grid).collect()}
+    sums = {(r.seq_len, r.params): r for r in M.tune_linear(processed, seq_lens=(2, 3), reg_params=(0.01, 0.1, 1.0)).collect()}
+    assert set(fits) == set(sums) and sum(r.chosen for r in sums.values()) == 1
+    for k, r in fits.items():
+        assert abs(r.rmse - sums[k].rmse) < 1e-6 * (1 + r.rmse) and r.chosen == sums[k].chosen
+    data, _ = M.sequence_dataset(processed, 3)
+    train = data.where("seq_split = 'train'")
+    gram = moments.fold_moments(train, F.col("target_temp_s"), F.lit(1.0), F.lit(0))[0]
+    for reg in (0.01, 1.0):
+        model = M.sequence_estimator("linear", regParam=reg).fit(train)
+        got = moments.solve(gram, reg)
+        assert max(abs(a - b) for a, b in zip(got.coefficients, model.coefficients)) < 1e-8 and abs(got.intercept - model.intercept) < 1e-8
+
+
+def test_sums_without_rows_or_variance(spark):
+    from stratus.plans import moments
+    from pyspark.ml.linalg import Vectors
+    rows = spark.createDataFrame([(Vectors.dense([1.0, float(i)]), 2.0 * i) for i in range(5)], ["features", "y"])
+    gram = moments.fold_moments(rows, F.col("y"), F.lit(1.0), F.lit(0))[0]
+    got = moments.solve(gram, 0.0)
+    assert abs(got.coefficients[0]) < 1e-12 and abs(got.coefficients[1] - 2) < 1e-9 and moments.squared_error(gram, got) < 1e-9
+    assert moments.fold_moments(rows.limit(0), F.col("y"), F.lit(1.0), F.lit(0)) == {}
