@@ -52,7 +52,7 @@ def rows_of(rng, convs, most, kinds):
             for c in convs for t in range(rng.randrange(1, most))]
 
 
-@pytest.mark.parametrize("members", [2, 5, 1024])
+@pytest.mark.parametrize("members", [4, 1024])
 def test_trie_equals_a_dictionary(frame, members):  # noqa: F811
     rng = random.Random(members)
     rows = rows_of(rng, range(60), 14, 2) + [(100 + c, t, "a", f"same{t}", 1, 2, "z") for c in range(25) for t in range(12)]
