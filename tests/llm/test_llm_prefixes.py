@@ -61,7 +61,7 @@ def test_trie_equals_a_dictionary(frame, members):  # noqa: F811
 
 
 def test_long_conversations_cross_blocks(frame):  # noqa: F811
-    long = [(c, t, "a", f"t{t}", 1, 2, "z") for c in (5, 10, 11) for t in range(2500 + (c == 11))]
+    long = [(c, t, "a", f"t{t}", 1, 2, "z") for c in (5, 10, 11) for t in range(1060 + (c == 11))]
     rows = long + [(7, 0, None, None, 1, 2, "z")]
     assert found(prefixes.prefix_trie(frame(rows, SCHEMA))) == brute(rows)
 
