@@ -4,23 +4,27 @@
    value, each bin keeps its least value, and an empty bin borrows from a bin that
    its own fixed random walk reaches first (optimal densification).
 2. Documents with equal shingle sets form a class; its smallest id represents it.
-3. Bands of ``ROWS`` bins are bucket keys.  Their number follows from the
-   threshold, so that a pair at the threshold shares fewer than two buckets with a
-   chance of at most ``MISS``.
-4. Each bucket proposes a star: its centre paired with every member of another
-   component.  Pairs are confirmed on full shingle sets; links are contracted to
-   components.  Then the centre leaves the bucket (all it could link is settled) and
-   what still spans several components proposes the next star, until no bucket spans
-   two components.  A round never has more pairs than bucket rows.  In the first
-   ``HUBS`` rounds the centre is the member that meets most others over all its
-   buckets, often the text that the others are copies of; later it comes from the
-   bucket's smallest component, so a bucket needs as many rounds as it has members
-   outside its largest one, not as many as it has members.
-5. When the remaining pairs between components are at most ``FINISH`` per candidate
-   document, they are confirmed at once.  Should ``STARS`` rounds not get there, the
-   rows that remain are bucketed anew by every two of their document's keys: documents
-   that met in one bucket by chance, say over a passage that many share, part; a pair
-   at the threshold shares two keys or more but for a chance of about ``MISS``.
+3. ``BANDS`` bands of so many bins that a pair at the threshold shares one with a
+   chance of about a third are bucket keys.
+4. Each bucket proposes stars: up to three centres, each paired with every member of
+   another component.  A pair whose set sizes rule the similarity out is dropped, and
+   so is one that differs in more of ``BITS`` sketch bits than a pair at the threshold
+   does but for a chance of ``BIT_MISS``; bits and sizes travel with the bucket rows.
+   The others are confirmed on full shingle sets, and links are contracted to
+   components.  Centres are the member that meets most others over all its buckets
+   (often the text that the others are copies of) and one from each end of the
+   bucket's smallest components.  A round never has more pairs than three times its
+   bucket rows.
+5. Then the centres leave their buckets (all they could link is settled).  A bucket
+   that still spans components is refined: a member's key is extended by another band
+   key of its own, four ways at first and eight ways the second time (``STEPS``), so
+   documents that met by chance, say over a passage that many share, part.  What is
+   left after that proposes stars until no bucket spans two components.  A pair at the
+   threshold shares no twice extended key with a chance of 2e-5; it is missed
+   only if, besides, no star and no chain of links joined it before.
+
+No step depends on the number of documents or pairs: a bucket is refined or dropped by
+its own components alone.
 
 Everything is keyed joins and aggregates over tables in the shared folder: hot
 buckets and hot copies are skewed keys of plain joins (split by adaptive execution)
@@ -36,6 +40,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,19 +51,27 @@ from pyspark.sql import functions as F
 from stratus.llm import text as X
 from stratus.session import materialize
 
-ROWS = 7
-MISS = 1e-5
-STARS = 6
-HUBS = 2
-FINISH = 4
+BANDS = 73
+STEPS = ((1, 2, 4, 8), (16, 21, 27, 33, 39, 45, 50, 55))
+BITS = 512
+BIT_MISS = 1e-6
+BLOCK = 2048
 
 
-def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
-    """Bands of which a pair at ``percent`` similarity shares two or more but for a chance of ``miss``."""
-    p, n = (percent / 100) ** rows, 2
-    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > miss:
-        n += 1
-    return n
+def rows_for(percent: int) -> int:
+    """Bins of a band: a pair at ``percent`` similarity shares a band with a chance of about a third."""
+    return max(1, round(math.log(1 / 3) / math.log(min(max(percent, 1), 99) / 100)))
+
+
+def bits_for(percent: int, miss: float = BIT_MISS) -> int:
+    """Most bits of ``BITS`` in which a pair at ``percent`` similarity differs but for a chance of ``miss``."""
+    q, most, left = (1 - percent / 100) / 2, 0, 1.0
+    while most < BITS:
+        left -= math.comb(BITS, most) * q ** most * (1 - q) ** (BITS - most)
+        if left <= miss:
+            break
+        most += 1
+    return most
 
 
 def shingle_sets(buf: X.Buffer, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,21 +119,36 @@ def one_permutation(hashes: np.ndarray, edges: np.ndarray, bins: int) -> np.ndar
     return out
 
 
-def _sketch(shingle: int, bands: int, rows: int):
+def sketch_bits(sketch: np.ndarray) -> np.ndarray:
+    """One bit of each of the first ``BITS`` bins, as words of 64 bits; unequal bins agree by half."""
+    cells = np.arange(BITS, dtype=np.uint64) * X._ODD
+    bits = (X.mix(sketch[:, :BITS] ^ cells) >> np.uint64(40)).astype(np.uint8) & 1
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _sketch(shingle: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band = np.arange(BANDS, dtype=np.uint64)
         for got, buf in X.chunks(batches):
             hashes, edges = shingle_sets(buf, shingle)
-            size = np.diff(edges)
             sums = [X.per_doc_sum_wrapping(X.mix(hashes ^ np.uint64(s)), edges) for s in (1, 2)]
-            sketch = one_permutation(hashes, edges, bands * rows).reshape(-1, rows)
-            key = np.zeros(len(sketch), np.uint64)
-            for j in range(rows):
-                key = X.mix(key + sketch[:, j] + X._ODD)
-            key = X.mix(key + np.tile(np.arange(bands, dtype=np.uint64), buf.n))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(buf.n + 1) * bands, pa.int32()), pa.array(X.signed(key)))
-            yield pa.RecordBatch.from_arrays(
-                [got.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(X.signed(sums[0])),
-                 pa.array(X.signed(sums[1])), keys], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            for lo in range(0, buf.n, BLOCK):        # short texts are many: sketches are larger than they
+                cut = edges[lo:lo + BLOCK + 1]
+                n = len(cut) - 1
+                sketch = one_permutation(hashes[cut[0]:cut[-1]], cut - cut[0], max(BITS, BANDS * rows))
+                bands = sketch[:, :BANDS * rows].reshape(n, BANDS, rows)
+                key = np.zeros((n, BANDS), np.uint64)
+                for j in range(rows):
+                    key = X.mix(key + bands[:, :, j] + X._ODD)
+                key = X.mix(key + band)
+
+                def lists(values: np.ndarray) -> pa.Array:
+                    at = np.arange(n + 1) * values.shape[1]
+                    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [got.column("doc_id").slice(lo, n), got.column("mark").slice(lo, n), pa.array(np.diff(cut).astype(np.int64)),
+                     *(pa.array(X.signed(x[lo:lo + n])) for x in sums), lists(X.signed(key)), lists(sketch_bits(sketch))],
+                    names=["doc_id", "mark", "n_shingles", "set_a", "set_b", "bands", "bits"])
     return run
 
 
@@ -167,12 +195,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("n") >= percent * (F.col("m") - F.col("n"))).select("a", "b"))
 
 
-def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, rep) of every row, and the bucket rows (key, rep) of buckets of two or more."""
-    bands = bands_for(percent)
-    schema = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text")
-                           .mapInArrow(_sketch(shingle, bands, ROWS), schema), "sketches")
+def _spanning(rows: DataFrame) -> DataFrame:
+    """The rows of the buckets that have members of two components or more."""
+    alive = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
+    return rows.join(alive, "key")
+
+
+def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) of every row; (rep, bands) of the texts that share a key; their bucket rows."""
+    schema = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+    sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+                           .mapInArrow(_sketch(shingle, rows_for(percent)), schema), "sketches")
     usable = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     name = ["n_shingles", "set_a", "set_b"]
     least = materialize(usable.groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
@@ -180,35 +213,51 @@ def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[Da
                         .select("doc_id", "n_shingles", "rep"), "class-members")
     rest = sketched.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("rep"))
-    reps = usable.join(least.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    rows = reps.select(F.explode(F.array_distinct("bands")).alias("key"), F.col("doc_id").alias("rep"))
-    shared = (rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n"))
-              .where("lo != hi").select("key", "n"))
-    shared = materialize(shared, "shared-keys")
-    buckets = materialize(rows.join(shared.select("key"), "key").distinct(), "bucket-rows")
-    meets = (buckets.join(shared, "key").groupBy("rep").agg(F.sum("n").alias("meets")))
-    buckets = materialize(buckets.join(meets, "rep"), "buckets")
-    return known.unionByName(rest), buckets
-
-
-def _span(buckets: DataFrame, hubs: bool) -> DataFrame:
-    """Per bucket of two components or more: its centre, its rows and its pairs across components."""
-    parts = buckets.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"),
-                                            F.min_by(F.struct("rep", "meets"), F.struct(-F.col("meets"), "rep")).alias("r"))
-    parts = parts.select("key", "c", "m", "r.rep", "r.meets")
-    rank = F.struct(-F.col("meets"), "rep") if hubs else F.struct("m", -F.col("meets"), "rep")
-    return (parts.groupBy("key").agg(F.min_by(F.struct("rep", "c"), rank).alias("centre"),
-                                     F.count(F.lit(1)).alias("k"), F.sum("m").alias("n"),
-                                     ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("across"))
-            .where("k > 1").select("key", "centre", "n", "across"))
-
-
-def _narrowed(buckets: DataFrame) -> DataFrame:
-    """Rows of buckets that span components, bucketed by every two keys of a document (at most its bands)."""
-    alive = _span(buckets, False).select("key")
-    keys = (buckets.join(alive, "key").groupBy("rep", "c", "meets").agg(F.sort_array(F.collect_set("key")).alias("keys")))
-    two = F.expr("flatten(transform(keys, (x, i) -> transform(filter(keys, (y, j) -> j > i), y -> xxhash64(x, y))))")
-    return materialize(keys.select(F.explode(two).alias("key"), "rep", "c", "meets"), "narrowed")
+    reps = usable.join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    keys = reps.select(F.col("doc_id").alias("rep"), "mark", F.posexplode("bands").alias("at", "key"))
+    # Rows of one id share keys with themselves; the centres tell components apart.
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    rows = materialize(keys.join(shared, "key"), "shared-rows")
+    # One text of an id: the marks of all its rows are compared before the aggregate, which has few rows.
+    wanted = (rows.groupBy("rep", "mark").agg(F.sum("n").alias("meets"))
+              .groupBy("rep").agg(F.max(F.struct("mark", "meets")).alias("m")).select("rep", "m.mark", "m.meets"))
+    nodes = (reps.select(F.col("doc_id").alias("rep"), "mark", F.col("n_shingles").alias("n"), "bands", "bits")
+             .join(wanted, ["rep", "mark"]).dropDuplicates(["rep"]))
+    nodes = materialize(nodes, "nodes")
+    light = nodes.select("rep", "mark", "n", "bits", "meets")
+    buckets = (rows.select("key", "at", "rep", "mark").join(light, ["rep", "mark"]).drop("mark")
+               .dropDuplicates(["key", "rep"]).withColumn("c", F.col("rep")))
+    return known.unionByName(rest), nodes, materialize(buckets, "buckets")
+
+
+def _centres(buckets: DataFrame) -> DataFrame:
+    """(key, centre) of the buckets that span components: at most three centres a bucket."""
+    card = F.struct("rep", "n", "bits", "meets")
+    parts = (buckets.groupBy("key", "c")
+             .agg(F.count(F.lit(1)).alias("m"), F.min_by(card, F.struct(-F.col("meets"), "rep")).alias("card")))
+    one = F.struct("card.rep", "card.n", "card.bits", "c")
+    orders = [F.struct(-F.col("card.meets"), F.col("card.rep")), F.struct("m", F.col("card.rep")), F.struct("m", -F.col("card.rep"))]
+    return (parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.array_distinct(F.array(*(F.min_by(one, o) for o in orders))).alias("centres"))
+            .where("k > 1").select("key", "centres"))
+
+
+def _star_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a member and a centre of another component that sizes and bits do not rule out."""
+    star = left.select("rep", "c", "n", "bits", F.explode("centres").alias("centre"))
+    apart = F.lit(0)
+    for i in range(BITS // 64):
+        apart = apart + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("centre.bits")[i]))
+    alike = ((F.col("c") != F.col("centre.c")) & (100 * F.least("n", "centre.n") >= percent * F.greatest("n", "centre.n"))
+             & (apart <= bits_for(percent)))
+    return star.where(alike).select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b")).distinct()
+
+
+def _refined(rest: DataFrame, nodes: DataFrame, steps: tuple[int, ...]) -> DataFrame:
+    """Bucket rows under keys extended by the band keys ``steps`` further on."""
+    ways = F.explode(F.array(*(F.lit(s) for s in steps))).alias("step")
+    extended = rest.join(nodes.select("rep", "bands"), "rep").select("*", ways)
+    other = F.element_at("bands", ((F.col("at") + F.col("step")) % BANDS + 1).cast("int"))
+    return extended.withColumn("key", F.xxhash64("key", other)).drop("bands", "step")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -217,46 +266,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Documents are linked when their sets of ``shingle``-word shingles have at least
     ``percent`` / 100 of their union in common.
     """
-    members, buckets = classes_and_buckets(docs, shingle, percent)
-    wanted = materialize(buckets.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    members, nodes, buckets = classes_and_buckets(docs, shingle, percent)
+    wanted = nodes.select(F.col("rep").alias("doc_id"))
     # The join has put rows of one id together, so the aggregate needs no exchange.
     texts = (docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-             .groupBy("doc_id").agg(F.max("text").alias("text")))
+             .groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text")))
     sets = materialize(texts.mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "shingle-sets")
-    comp = wanted.select(F.col("doc_id").alias("rep"), F.col("doc_id").alias("c"))
-    candidates = wanted.count()
-    buckets = buckets.withColumn("c", F.col("rep"))
+    comp = nodes.select("rep", F.col("rep").alias("c"))
     tried, rounds = None, 0
     while True:
-        if rounds == STARS:
-            buckets = _narrowed(buckets)
-        centres = materialize(_span(buckets, rounds < HUBS), "centres")
-        across = centres.agg(F.sum("across")).first()[0]
-        if not across:
+        centres = materialize(_centres(buckets), "centres")
+        if centres.isEmpty():
             break
-        left = buckets.join(centres.select("key", "centre"), "key")
-        if across <= FINISH * candidates:
-            other = buckets.select("key", F.col("rep").alias("b"), F.col("c").alias("d"))
-            pairs = (left.join(other, "key").where("rep < b AND c != d").select(F.col("rep").alias("a"), "b"))
-            rest = None
-        else:
-            pairs = left.where("c != centre.c").select(
-                F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
-            rest = left.where("rep != centre.rep").select("key", "rep", "meets")
-        pairs = pairs.distinct()
+        left = buckets.join(centres, "key")
+        pairs = _star_pairs(left, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        rest = left.where(~F.exists("centres", lambda x: x["rep"] == F.col("rep"))).drop("centres")
         linked = materialize(confirm(pairs, sets, percent), "confirmed")
         if not linked.isEmpty():
             ends = (linked.join(comp.select(F.col("rep").alias("a"), F.col("c").alias("u")), "a")
                     .join(comp.select(F.col("rep").alias("b"), F.col("c").alias("v")), "b").where("u != v").select("u", "v"))
             roots = components(ends)
             comp = materialize(comp.join(roots, "c", "left").select("rep", F.coalesce("root", "c").alias("c")), "components")
-        if rest is None:
-            break
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        buckets = materialize(rest.join(comp, "rep"), "buckets")
+            rest = rest.drop("c").join(comp, "rep")
+        if rounds < len(STEPS):        # what no longer spans components is not refined
+            rest = _refined(_spanning(rest), nodes, STEPS[rounds])
+        buckets = materialize(_spanning(materialize(rest, "refined")), "buckets")
         rounds += 1
     out = members.join(comp, "rep", "left")
     component = F.coalesce("c", "rep")

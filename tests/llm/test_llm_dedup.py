@@ -61,14 +61,44 @@ def test_components_match_brute_force(frame, words, n, percent):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
-def test_star_rounds_and_narrowing_lose_nothing(frame, words, monkeypatch):
-    monkeypatch.setattr(neardup, "FINISH", -1)          # never confirm all remaining pairs at once
-    monkeypatch.setattr(neardup, "STARS", 3)
+def test_refined_buckets_lose_nothing(frame, words):
     passage = words(60)
     rows = [(i, " ".join(passage + words(25))) for i in range(60)]
     rows += [(100 + i, " ".join(passage + words(6))) for i in range(20)]
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(rows), 3, 85).collect()}
-    assert got == {i: c for i, (_, c) in plain_components(rows, 3, 85).items()}
+    near = words(100)
+    for i in range(60):                      # copies of one text, some beyond the threshold from it
+        w = list(near)
+        for j in range(1 + i % 4):
+            w[(i * 7 + j * 25) % 100] = f"x{i}y{j}"
+        rows.append((200 + i, " ".join(w)))
+    for n, percent in ((3, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(rows), n, percent).collect()}
+        assert got == {i: c for i, (_, c) in plain_components(rows, n, percent).items()}
+
+
+def test_twice_extended_keys_miss_few_pairs():
+    rng = np.random.default_rng(1)
+    for percent in (80, 85):
+        chance = (percent / 100) ** neardup.rows_for(percent)
+        shared = rng.random((100_000, neardup.BANDS)) < chance
+        found = np.zeros(len(shared), bool)
+        for a in neardup.STEPS[0]:
+            for b in neardup.STEPS[1]:
+                found |= (shared & np.roll(shared, -a, 1) & np.roll(shared, -b, 1)).any(1)
+        assert (~found).sum() <= 10
+
+
+def test_bits_of_a_pair_at_the_threshold_stay_below_the_bound():
+    rng = np.random.default_rng(2)
+    for size in (17, 170, 1700):             # 17 / 20 = 0.85
+        apart = []
+        for _ in range(300):
+            pool = rng.integers(0, 2 ** 63, size * 20 // 17, dtype=np.uint64)
+            a, b = np.sort(pool), np.sort(pool[:size])
+            sketch = neardup.one_permutation(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), neardup.BITS)
+            x, y = neardup.sketch_bits(sketch).view(np.uint64)
+            apart.append(sum(int(v).bit_count() for v in x ^ y))
+        assert max(apart) <= neardup.bits_for(85) and abs(np.mean(apart) - 512 * 0.075) < 4
 
 
 def test_near_duplicates_over_odd_rows(frame, odd_rows):
