@@ -112,7 +112,8 @@ def one_permutation(hashes: np.ndarray, edges: np.ndarray, bins: int) -> np.ndar
     out, step = sketch.copy(), 0
     while len(row):        # the walk of a bin depends on the bin and the step alone
         step += 1
-        target = (X.mix(col.astype(np.uint64) * np.uint64(0x10001) + np.uint64(step << 40)) % np.uint64(bins)).astype(np.int64)
+        walk = X.mix(np.arange(bins, dtype=np.uint64) * np.uint64(0x10001) + np.uint64(step << 40)) % np.uint64(bins)
+        target = walk.astype(np.int64)[col]
         hit = filled[row, target]
         out[row[hit], col[hit]] = sketch[row[hit], target[hit]]
         row, col = row[~hit], col[~hit]
@@ -188,6 +189,9 @@ def components(links: DataFrame) -> DataFrame:
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` whose full shingle sets reach the similarity."""
+    # Late rounds have few pairs: only their ends' sets are shuffled.
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    sets = sets.join(ends, "doc_id", "left_semi")
     members = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     both = members.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
@@ -213,20 +217,17 @@ def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[Da
                         .select("doc_id", "n_shingles", "rep"), "class-members")
     rest = sketched.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.col("doc_id").alias("rep"))
-    reps = usable.join(least.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keys = reps.select(F.col("doc_id").alias("rep"), "mark", F.posexplode("bands").alias("at", "key"))
-    # Rows of one id share keys with themselves; the centres tell components apart.
-    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
+    # The join has put rows of one id together; of several texts the one of the greatest hash stands for the id.
+    reps = (usable.join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+            .groupBy(F.col("doc_id").alias("rep"))
+            .agg(F.max_by(F.struct(F.col("n_shingles").alias("n"), "bands", "bits"), F.struct("mark", "n_shingles", "set_a")).alias("r"))
+            .select("rep", "r.*"))
+    reps = materialize(reps, "representatives")
+    keys = reps.select("rep", F.posexplode("bands").alias("at", "key"))
+    shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-keys")
     rows = materialize(keys.join(shared, "key"), "shared-rows")
-    # One text of an id: the marks of all its rows are compared before the aggregate, which has few rows.
-    wanted = (rows.groupBy("rep", "mark").agg(F.sum("n").alias("meets"))
-              .groupBy("rep").agg(F.max(F.struct("mark", "meets")).alias("m")).select("rep", "m.mark", "m.meets"))
-    nodes = (reps.select(F.col("doc_id").alias("rep"), "mark", F.col("n_shingles").alias("n"), "bands", "bits")
-             .join(wanted, ["rep", "mark"]).dropDuplicates(["rep"]))
-    nodes = materialize(nodes, "nodes")
-    light = nodes.select("rep", "mark", "n", "bits", "meets")
-    buckets = (rows.select("key", "at", "rep", "mark").join(light, ["rep", "mark"]).drop("mark")
-               .dropDuplicates(["key", "rep"]).withColumn("c", F.col("rep")))
+    nodes = materialize(reps.join(rows.groupBy("rep").agg(F.sum("m").alias("meets")), "rep"), "nodes")
+    buckets = rows.drop("m").join(nodes.drop("bands"), "rep").withColumn("c", F.col("rep"))
     return known.unionByName(rest), nodes, materialize(buckets, "buckets")
 
 
