@@ -4,24 +4,25 @@
    value, each bin keeps its least value, and an empty bin borrows from a bin that
    its own fixed random walk reaches first (optimal densification).
 2. Documents with equal shingle sets form a class; its smallest id represents it.
-3. ``BANDS`` bands of so many bins that a pair at the threshold shares one with a
-   chance of about a third are bucket keys.
-4. Each bucket proposes stars: up to three centres, each paired with every member of
+3. ``BANDS`` keys of so many bins that a pair at the threshold shares one with a
+   chance of about a seventh are bucket keys; it shares none with a chance of 1e-5 to 3e-5.
+4. Each bucket proposes stars: up to five centres, each paired with every member of
    another component.  A pair whose set sizes rule the similarity out is dropped, and
    so is one that differs in more of ``BITS`` sketch bits than a pair at the threshold
    does but for a chance of ``BIT_MISS``; bits and sizes travel with the bucket rows.
    The others are confirmed on full shingle sets, and links are contracted to
    components.  Centres are the member that meets most others over all its buckets
-   (often the text that the others are copies of) and one from each end of the
-   bucket's smallest components.  A round never has more pairs than three times its
-   bucket rows.
-5. Then the centres leave their buckets (all they could link is settled).  A bucket
-   that still spans components is refined: a member's key is extended by another band
-   key of its own, four ways at first and eight ways the second time (``STEPS``), so
-   documents that met by chance, say over a passage that many share, part.  What is
-   left after that proposes stars until no bucket spans two components.  A pair at the
-   threshold shares no twice extended key with a chance of 2e-5; it is missed
-   only if, besides, no star and no chain of links joined it before.
+   (often the text that the others are copies of) and four of the bucket's smallest
+   components.  A round never has more pairs than five times its bucket rows.
+5. Then the centres leave their buckets (all they could link is settled).  In the first
+   ``RARE_ROUNDS`` rounds the shingles of the documents whose buckets still span
+   components are counted.  One that reaches the threshold with no other document of its
+   buckets' sizes unless both share a shingle that at most ``RARE`` of them have is paired
+   by those shingles and leaves too (a bound, no estimate): texts that met over a common
+   passage, or far copies of a text with many copies.
+6. What is left proposes stars until no bucket spans two components.  After ``STARS``
+   rounds a key is extended by a band of bins that a pair at the threshold shares with a
+   chance of a third, four ways and then eight ways (``STEPS``).
 
 No step depends on the number of documents or pairs: a bucket is refined or dropped by
 its own components alone.
@@ -52,6 +53,9 @@ from stratus.llm import text as X
 from stratus.session import materialize
 
 BANDS = 73
+STARS = 8
+RARE_ROUNDS = 2
+RARE = 16
 STEPS = ((1, 2, 4, 8), (16, 21, 27, 33, 39, 45, 50, 55))
 BITS = 512
 BIT_MISS = 1e-6
@@ -63,6 +67,11 @@ def rows_for(percent: int) -> int:
     return max(1, round(math.log(1 / 3) / math.log(min(max(percent, 1), 99) / 100)))
 
 
+def bins_for(percent: int) -> int:
+    """Bins of a bucket key: a pair at ``percent`` similarity shares a key with a chance of about a seventh."""
+    return max(1, round(math.log(1 / 7) / math.log(min(max(percent, 1), 99) / 100)))
+
+
 def bits_for(percent: int, miss: float = BIT_MISS) -> int:
     """Most bits of ``BITS`` in which a pair at ``percent`` similarity differs but for a chance of ``miss``."""
     q, most, left = (1 - percent / 100) / 2, 0, 1.0
@@ -127,29 +136,33 @@ def sketch_bits(sketch: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _sketch(shingle: int, rows: int):
+def _band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
+    """A hash of each of ``BANDS`` bands of ``rows`` bins."""
+    bands = sketch[:, :BANDS * rows].reshape(len(sketch), BANDS, rows)
+    key = np.zeros((len(sketch), BANDS), np.uint64)
+    for j in range(rows):
+        key = X.mix(key + bands[:, :, j] + X._ODD)
+    return X.mix(key + np.arange(BANDS, dtype=np.uint64))
+
+
+def _sketch(shingle: int, bins: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(BANDS, dtype=np.uint64)
         for got, buf in X.chunks(batches):
             hashes, edges = shingle_sets(buf, shingle)
             sums = [X.per_doc_sum_wrapping(X.mix(hashes ^ np.uint64(s)), edges) for s in (1, 2)]
             for lo in range(0, buf.n, BLOCK):        # short texts are many: sketches are larger than they
                 cut = edges[lo:lo + BLOCK + 1]
                 n = len(cut) - 1
-                sketch = one_permutation(hashes[cut[0]:cut[-1]], cut - cut[0], max(BITS, BANDS * rows))
-                bands = sketch[:, :BANDS * rows].reshape(n, BANDS, rows)
-                key = np.zeros((n, BANDS), np.uint64)
-                for j in range(rows):
-                    key = X.mix(key + bands[:, :, j] + X._ODD)
-                key = X.mix(key + band)
+                sketch = one_permutation(hashes[cut[0]:cut[-1]], cut - cut[0], max(BITS, BANDS * bins))
 
                 def lists(values: np.ndarray) -> pa.Array:
                     at = np.arange(n + 1) * values.shape[1]
                     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [got.column("doc_id").slice(lo, n), got.column("mark").slice(lo, n), pa.array(np.diff(cut).astype(np.int64)),
-                     *(pa.array(X.signed(x[lo:lo + n])) for x in sums), lists(X.signed(key)), lists(sketch_bits(sketch))],
-                    names=["doc_id", "mark", "n_shingles", "set_a", "set_b", "bands", "bits"])
+                     *(pa.array(X.signed(x[lo:lo + n])) for x in sums), lists(X.signed(_band_keys(sketch, bins))),
+                     lists(X.signed(_band_keys(sketch, rows))), lists(sketch_bits(sketch))],
+                    names=["doc_id", "mark", "n_shingles", "set_a", "set_b", "keys", "bands", "bits"])
     return run
 
 
@@ -207,9 +220,9 @@ def _spanning(rows: DataFrame) -> DataFrame:
 
 def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n_shingles, rep) of every row; (rep, bands) of the texts that share a key; their bucket rows."""
-    schema = "doc_id long, mark long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
+    schema = "doc_id long, mark long, n_shingles long, set_a long, set_b long, keys array<long>, bands array<long>, bits array<long>"
     sketched = materialize(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
-                           .mapInArrow(_sketch(shingle, rows_for(percent)), schema), "sketches")
+                           .mapInArrow(_sketch(shingle, bins_for(percent), rows_for(percent)), schema), "sketches")
     usable = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     name = ["n_shingles", "set_a", "set_b"]
     least = materialize(usable.groupBy(*name).agg(F.min("doc_id").alias("rep")), "classes")
@@ -220,24 +233,24 @@ def classes_and_buckets(docs: DataFrame, shingle: int, percent: int) -> tuple[Da
     # The join has put rows of one id together; of several texts the one of the greatest hash stands for the id.
     reps = (usable.join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
             .groupBy(F.col("doc_id").alias("rep"))
-            .agg(F.max_by(F.struct(F.col("n_shingles").alias("n"), "bands", "bits"), F.struct("mark", "n_shingles", "set_a")).alias("r"))
+            .agg(F.max_by(F.struct(F.col("n_shingles").alias("n"), "keys", "bands", "bits"), F.struct("mark", "n_shingles", "set_a")).alias("r"))
             .select("rep", "r.*"))
     reps = materialize(reps, "representatives")
-    keys = reps.select("rep", F.posexplode("bands").alias("at", "key"))
+    keys = reps.select("rep", F.posexplode("keys").alias("at", "key"))
     shared = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "shared-keys")
     rows = materialize(keys.join(shared, "key"), "shared-rows")
-    nodes = materialize(reps.join(rows.groupBy("rep").agg(F.sum("m").alias("meets")), "rep"), "nodes")
+    nodes = materialize(reps.join(rows.groupBy("rep").agg(F.sum("m").alias("meets")), "rep").drop("keys"), "nodes")
     buckets = rows.drop("m").join(nodes.drop("bands"), "rep").withColumn("c", F.col("rep"))
     return known.unionByName(rest), nodes, materialize(buckets, "buckets")
 
 
 def _centres(buckets: DataFrame) -> DataFrame:
-    """(key, centre) of the buckets that span components: at most three centres a bucket."""
+    """(key, centre) of the buckets that span components: at most five centres a bucket."""
     card = F.struct("rep", "n", "bits", "meets")
     parts = (buckets.groupBy("key", "c")
              .agg(F.count(F.lit(1)).alias("m"), F.min_by(card, F.struct(-F.col("meets"), "rep")).alias("card")))
     one = F.struct("card.rep", "card.n", "card.bits", "c")
-    orders = [F.struct(-F.col("card.meets"), F.col("card.rep")), F.struct("m", F.col("card.rep")), F.struct("m", -F.col("card.rep"))]
+    orders = [F.struct(-F.col("card.meets"), F.col("card.rep")), *(F.struct("m", x) for x in (F.col("card.rep"), -F.col("card.rep"), F.xxhash64("card.rep"), -F.xxhash64("card.rep")))]
     return (parts.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.array_distinct(F.array(*(F.min_by(one, o) for o in orders))).alias("centres"))
             .where("k > 1").select("key", "centres"))
 
@@ -261,6 +274,37 @@ def _refined(rest: DataFrame, nodes: DataFrame, steps: tuple[int, ...]) -> DataF
     return extended.withColumn("key", F.xxhash64("key", other)).drop("bands", "step")
 
 
+def _by_rare_shingles(rest: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rows): pairs by rare shingles of the documents that link by no others, and the rows of the rest.
+
+    Two sets have at most the rare shingles that both hold and the lesser number of their
+    common ones in common; sizes below are those of the bucket's least member.
+    """
+    lows = rest.groupBy("key").agg(F.min("n").alias("low"))
+    docs = rest.join(lows, "key").groupBy("rep").agg(F.max("n").cast("long").alias("n"), F.min("low").cast("long").alias("low"))
+    docs = materialize(docs, "spanning-documents")
+    wanted = docs.select(F.col("rep").alias("doc_id"))
+    shingles = materialize(sets.join(wanted, "doc_id", "left_semi")
+                           .select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("shingle")), "spanning-shingles")
+    seen = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") <= RARE)
+    rare = materialize(shingles.join(seen, "shingle"), "rare-shingles")
+    docs = (docs.join(rare.groupBy("rep").agg(F.count(F.lit(1)).alias("rare")), "rep", "left")
+            .withColumn("common", F.col("n") - F.coalesce("rare", F.lit(0))))
+    most = percent * (100 * F.col("n") + F.greatest(100 * F.col("low"), percent * F.col("n")))
+    docs = materialize(docs.select("rep", "n", "common", (100 * (100 + percent) * F.col("common") < most).alias("leaves")), "rare-counts")
+    ends = materialize(rare.where("m > 1").join(docs, "rep").drop("m"), "rare-ends")
+    a, b = ends.where("leaves").alias("a"), ends.alias("b")
+    met = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.rep") != F.col("b.rep"))
+    once = ~F.col("b.leaves") | (F.col("a.rep") < F.col("b.rep"))
+    alike = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+    room = (100 + percent) * F.least("a.common", "b.common") - percent * (F.col("a.n") + F.col("b.n"))
+    pairs = (a.join(b, met & once & alike)
+             .select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"), room.alias("room"))
+             .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("room").alias("room"))
+             .where((100 + percent) * F.col("shared") + F.col("room") >= 0).select("a", "b"))
+    return pairs, rest.join(docs.where("leaves").select("rep"), "rep", "left_anti")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -274,13 +318,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
              .groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text")))
     sets = materialize(texts.mapInArrow(_sets(shingle), "doc_id long, shingles array<long>"), "shingle-sets")
     comp = nodes.select("rep", F.col("rep").alias("c"))
-    tried, rounds = None, 0
+    tried, rounds, extra = None, 0, None
     while True:
         centres = materialize(_centres(buckets), "centres")
-        if centres.isEmpty():
+        if centres.isEmpty() and extra is None:
             break
         left = buckets.join(centres, "key")
         pairs = _star_pairs(left, percent)
+        if extra is not None:
+            pairs, extra = pairs.unionByName(extra).distinct(), None
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
@@ -293,8 +339,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             roots = components(ends)
             comp = materialize(comp.join(roots, "c", "left").select("rep", F.coalesce("root", "c").alias("c")), "components")
             rest = rest.drop("c").join(comp, "rep")
-        if rounds < len(STEPS):        # what no longer spans components is not refined
-            rest = _refined(_spanning(rest), nodes, STEPS[rounds])
+        if rounds < RARE_ROUNDS:
+            found, rest = _by_rare_shingles(materialize(_spanning(materialize(rest, "left")), "spanning"), sets, percent)
+            found = materialize(found, "rare-pairs")
+            extra = None if found.isEmpty() else found
+        elif STARS <= rounds < STARS + len(STEPS):        # what no longer spans components is not refined
+            rest = _refined(_spanning(rest), nodes, STEPS[rounds - STARS])
         buckets = materialize(_spanning(materialize(rest, "refined")), "buckets")
         rounds += 1
     out = members.join(comp, "rep", "left")

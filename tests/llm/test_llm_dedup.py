@@ -76,6 +76,26 @@ def test_refined_buckets_lose_nothing(frame, words):
         assert got == {i: c for i, (_, c) in plain_components(rows, n, percent).items()}
 
 
+def test_far_copies_of_a_copied_text_do_not_multiply_bucket_rows(frame, words, monkeypatch):
+    body, rows = words(150), []
+    for i in range(260):                     # some 60 % within the threshold of the first, the others not
+        w = list(body)
+        for j in range(1 + i % 13):
+            w[(i * 11 + j * 149 // (1 + i % 13)) % 150] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    made, write = [], neardup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name in ("buckets", "refined"):
+            made.append(out.count())
+        return out
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(frame(rows), 3, 85).collect()}
+    assert got == {i: c for i, (_, c) in plain_components(rows, 3, 85).items()}
+    assert sum(made) < 4 * made[0]
+
+
 def test_twice_extended_keys_miss_few_pairs():
     rng = np.random.default_rng(1)
     for percent in (80, 85):
