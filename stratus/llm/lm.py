@@ -259,6 +259,8 @@ def _word_shard(names: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _by_shard(shard: np.ndarray):
+    if len(shard) and shard.max() < 1 << 16:
+        shard = shard.astype(np.uint16)         # sorted by radix
     order = np.argsort(shard, kind="stable")
     cut = np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(order, cut):
@@ -293,6 +295,13 @@ def node_counts(level: Level, node: np.ndarray) -> np.ndarray:
     return out
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each run of equal neighbours, and the run of each position."""
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    return values[fresh], np.cumsum(fresh) - 1
+
+
 def find_next(level: Level, words: int, context: np.ndarray, word: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, a, rest) of context-word pairs; unseen pairs: -1 and 0; unseen contexts: rest 1."""
@@ -303,15 +312,17 @@ def find_next(level: Level, words: int, context: np.ndarray, word: np.ndarray
         if level.offsets[shard] == level.offsets[shard + 1]:
             continue
         part = asked[part]
-        rank = level.sequence(shard, "contexts").find(context[part])
+        own, run = _runs(context[part])         # pairs of one context lie together: it is looked up once
+        rank = level.sequence(shard, "contexts").find(own)
         known = rank >= 0
-        part, rank = part[known], rank[known]
-        rest[part] = _VALUE[level.array(shard, "rest")[rank]]
-        seen = word[part] >= 0
-        part, rank = part[seen], rank[seen]
+        value, lo, hi = np.ones(len(own)), np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        value[known] = _VALUE[level.array(shard, "rest")[rank[known]]]
         ranges = level.sequence(shard, "ranges")
-        lo, hi = ranges.get(rank).astype(np.int64), ranges.get(rank + 1).astype(np.int64)
-        at = level.sequence(shard, "next").find(rank * words + word[part], lo, hi)
+        lo[known], hi[known] = ranges.get(rank[known]), ranges.get(rank[known] + 1)
+        rest[part] = value[run]
+        seen = known[run] & (word[part] >= 0)
+        part, run = part[seen], run[seen]
+        at = level.sequence(shard, "next").find(rank[run] * words + word[part], lo[run], hi[run])
         hit = at >= 0
         node[part[hit]] = at[hit] + level.offsets[shard]
         a[part[hit]] = _VALUE[level.array(shard, "a")[at[hit]]]
@@ -348,7 +359,13 @@ def _summed(keys: list[np.ndarray], count: np.ndarray) -> tuple[list[np.ndarray]
     """Sorted distinct keys and their summed counts."""
     if not len(count):
         return keys, count
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    width = int(keys[-1].max()) + 1
+    if len(keys) == 1:
+        order = np.argsort(keys[0])
+    elif len(keys) == 2 and (int(keys[0].max()) + 1) * width < 1 << 63:
+        order = np.argsort(keys[0].astype(_U64) * _U64(width) + keys[1].astype(_U64))
+    else:
+        order = np.lexsort(keys[::-1])
     keys, count = [k[order] for k in keys], count[order]
     fresh = np.ones(len(count), bool)
     fresh[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)

@@ -90,6 +90,32 @@ def test_elias_fano_reads_and_finds(n, universe):
     assert got.find(asked).tolist() == [where.get(int(v), -1) for v in asked]
 
 
+def test_a_context_is_looked_up_once_for_all_its_words(monkeypatch):
+    sequences = {k: lm.Monotone(lm.ef_build(np.array(v), n)) for k, v, n in (("contexts", [2, 5], 8), ("ranges", [0, 3, 4], 5), ("next", [1, 3, 7, 14], 20))}
+    bytes_of = {"a": np.array([0, 32, 64, 96], np.uint8), "rest": np.array([32, 64], np.uint8)}
+
+    class Flat:
+        shards, offsets = 1, np.array([0, 4])
+        sequence = staticmethod(lambda shard, name: sequences[name])
+        array = staticmethod(lambda shard, name: bytes_of[name])
+    asked, find = [], lm.Monotone.find
+    monkeypatch.setattr(lm.Monotone, "find", lambda self, x, *ends: asked.append((self, len(x))) or find(self, x, *ends))
+    node, a, rest = lm.find_next(Flat, 10, np.array([2, 2, 2, 2, 5, 5, 6, -1]), np.array([1, 3, 4, 7, 4, -1, 1, 1]))
+    assert node.tolist() == [0, 1, -1, 2, 3, -1, -1, -1]
+    assert np.allclose(a, [1, 0.1, 0, 0.01, 0.001, 0, 0, 0]) and np.allclose(rest, [0.1] * 4 + [0.01] * 2 + [1, 1])
+    assert sum(n for of, n in asked if of is sequences["contexts"]) == 3
+
+
+@pytest.mark.parametrize("columns,top", [(1, 50), (2, 50), (2, 1 << 40)])
+def test_summed_counts_distinct_keys(columns, top):
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 40, 500).astype(np.uint64) * np.uint64(top) for _ in range(columns)]
+    want = Counter(zip(*(k.tolist() for k in keys)))
+    got, count = lm._summed(keys, np.ones(500, np.int64))
+    assert dict(zip(zip(*(k.tolist() for k in got)), count.tolist())) == want
+    assert sorted(want) == list(zip(*(k.tolist() for k in got)))
+
+
 def plain_model(rows, min_count=2):
     """The same interpolated model with dictionaries, without rounding to bytes."""
     def tokens(t):
