@@ -13,18 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratus.llm import decontam, neardup, pieces, pii, toxicity
-from stratus.llm.queries import importable, table
+from stratus.llm.queries import bound_batches, importable, table
 from stratus.session import materialize
 
+#: Bytes of an Arrow batch.  Executors and their Python workers outlive a stage: what one stage's batches took stays with the next.
+STAGE_BATCH_BYTES = 2 << 20
+
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that score 0.5 or more."""
+    bound_batches(spark, STAGE_BATCH_BYTES)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group (five-word shingles, similarity 0.8)."""
     importable(spark)
+    bound_batches(spark, STAGE_BATCH_BYTES)
     return neardup.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
@@ -44,6 +49,7 @@ def stage_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def stage_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document."""
     importable(spark)
+    bound_batches(spark, STAGE_BATCH_BYTES)
     return pieces.encode_pieces(docs)
 
 

@@ -24,11 +24,11 @@ def importable(spark: SparkSession) -> None:
 BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Batches of at most ``BATCH_BYTES``, unless the session asks for less."""
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF, f"{BATCH_BYTES + 1}b"))
-    if now <= 0 or now > BATCH_BYTES:
-        spark.conf.set(BATCH_CONF, f"{BATCH_BYTES}b")
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Batches of at most ``most`` bytes, unless the session asks for less."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_CONF, f"{most + 1}b"))
+    if now <= 0 or now > most:
+        spark.conf.set(BATCH_CONF, f"{most}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,10 +1,15 @@
 import sys
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import frame, odd_rows, words  # noqa: F401
 
+from stratus.llm import pieces, text as X, toxicity
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 
@@ -40,3 +45,37 @@ def test_stages_take_an_empty_table(spark, frame, tables):  # noqa: F811
     docs = frame([], "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables).count() == 0, name
+
+
+@pytest.mark.parametrize("name", ["toxicity", "pieces"])
+def test_memory_of_a_task_does_not_grow_with_its_batch(words, name):  # noqa: F811
+    """Workers outlive stages: what a large batch takes in one stage is missing in the next."""
+    run = {"toxicity": lambda: toxicity._score(toxicity.Model(np.ones(toxicity.BUCKETS, np.int64), 1.0, 0.0), ["doc_id"]),
+           "pieces": lambda: pieces._encode(pieces.default_model(), ["doc_id"])}[name]
+    known = words(4_000)
+    text = [" ".join(known[i % 400:i % 400 + 3_600]) for i in range(200)]
+    small = pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": text[:40]})
+    large = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": text})
+    assert small.nbytes < X.CHUNK_BYTES < large.nbytes / 4
+    peaks = []
+    for batch in (small, small, large):        # the first call loads what a process keeps
+        tracemalloc.start()
+        assert sum(out.num_rows for out in run()([batch])) == batch.num_rows
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[2] < 3 * peaks[1]        # the pieces of a batch overlap while one follows the other
+
+
+def test_stages_with_python_tasks_ask_for_small_batches(spark, frame, tables):  # noqa: F811
+    import corpus_pipeline
+    from stratus.llm.queries import BATCH_CONF
+    docs = frame([(1, "a b c d e f", "en", "s", 11)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get(BATCH_CONF, None)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name in ("toxicity", "near_duplicates", "pieces"):
+                spark.conf.unset(BATCH_CONF)
+                stage(spark, docs, tables)
+                assert spark.conf.get(BATCH_CONF) == f"{2 << 20}b", name
+    finally:
+        spark.conf.unset(BATCH_CONF) if before is None else spark.conf.set(BATCH_CONF, before)
